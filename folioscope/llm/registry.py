@@ -8,6 +8,12 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _PLACES = {
+    "op1_url_filter": "folioscope.llm.url_filter",
+    "op4_secret_scan": "folioscope.llm.secret_scan",
+    "op5_quality_rules": "folioscope.llm.quality_rules",
+    "op6_quality_crf": "folioscope.llm.quality_crf",
+    "op7_term_fingerprint": "folioscope.llm.term_fingerprint",
+    "op9_source_mix": "folioscope.llm.source_mix",
     "op10_bpe_codec": "folioscope.llm.bpe_codec",
 }
 
