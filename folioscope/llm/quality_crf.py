@@ -288,3 +288,13 @@ def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, model: LineField | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(batch.schema.get_field_index(text_col))
+        return batch.filter(pa.array(model.score(*line_features(column), batch.num_rows) >= threshold)) if model else batch
+
+    return map_text(docs, lambda: step, docs.schema, column=text_col)

@@ -9,18 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PLACES = {
     "op1_url_filter": "folioscope.llm.url_filter",
+    "op2_ngram_join": "folioscope.llm.ngram_join",
+    "op3_suffix_tree_lm": "folioscope.llm.suffix_tree_lm",
     "op4_secret_scan": "folioscope.llm.secret_scan",
     "op5_quality_rules": "folioscope.llm.quality_rules",
     "op6_quality_crf": "folioscope.llm.quality_crf",
     "op7_term_fingerprint": "folioscope.llm.term_fingerprint",
+    "op8_bwt_dedup": "folioscope.llm.bwt_dedup",
     "op9_source_mix": "folioscope.llm.source_mix",
     "op10_bpe_codec": "folioscope.llm.bpe_codec",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(place), name) for name, place in _PLACES.items()}
+    import corpus_pipeline
+
+    return {name: getattr(import_module(place), name) for name, place in _PLACES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, place in _PLACES.items() if (sql := getattr(import_module(place), "ORACLE_SQL", None))}
+    import corpus_pipeline
+
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {name: sql for name, place in _PLACES.items() if (sql := getattr(import_module(place), "ORACLE_SQL", None))}
