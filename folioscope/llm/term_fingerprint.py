@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import LOWER, UPPER, conf_int, table, text_column
+from folioscope.llm._common import LOWER, UPPER, checkpoint, conf_int, table, text_column
 
 LEAST, MOST = 0.001, 0.05
 #: One in so many terms of the lexicon is in the subset.
@@ -101,20 +101,24 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = F.broadcast(known.unionByName(own.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast("long").alias("hash"), F.lit(0).alias("mask"))))
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    keys = ["part", "place", "doc_id", "next_part", "next_place", "n_chars", "edited_sha256"]
+    keys = ["part", "place"]
+    once = ["doc_id", "next_part", "next_place", "n_chars", "edited_sha256"]
     pairs = (
         with_follower(own)
         .withColumn("edited", edited)
         .withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
-        .select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("_x"))
-        .select(*keys, F.col("_x.kind").alias("kind"), terms(F.col("_x.text")).alias("_terms"))
-        .select(*keys, "kind", "_terms", F.xxhash64(F.sort_array("_terms")).alias("rest"))
-        .select(*keys, "kind", "rest", F.explode("_terms").alias("term"))
+        .select(*keys, *once, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("_x"))
+        .select(*keys, *once, F.col("_x.kind").alias("kind"), terms(F.col("_x.text")).alias("_terms"))
+        .select(*keys, *once, "kind", "_terms", F.xxhash64(F.sort_array("_terms")).alias("rest"))
+        .select(*keys, *once, "kind", "rest", F.explode("_terms").alias("term"))
         .join(known, "term")
+        # What belongs to the document goes with its empty term alone, so that the other rows stay narrow.
+        .select(*keys, "kind", "hash", "mask", *(F.when(F.col("term") == "", F.col(c)).alias(c) for c in [*once, "rest"]))
     )
-    both = pairs.groupBy(*keys, "kind", "rest").agg(F.sort_array(F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "mask")))).alias("found"))
-    printed = both.select(*keys, "kind", fingerprint(F.col("found"), F.col("rest")).alias("print"))
-    rows = printed.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, F.col("print"))).alias("edited_fingerprint"))
+    of = lambda kind: F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & F.col("hash").isNotNull(), F.struct("hash", "mask"))))
+    rest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rest")))
+    both = pairs.groupBy(*keys).agg(*(F.max(c).alias(c) for c in once), of(0).alias("_a"), of(1).alias("_b"), rest(0).alias("_rest_a"), rest(1).alias("_rest_b"))
+    rows = checkpoint(both.select(*keys, *once, fingerprint(F.col("_a"), F.col("_rest_a")).alias("fingerprint"), fingerprint(F.col("_b"), F.col("_rest_b")).alias("edited_fingerprint")))
     follower = rows.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("fingerprint").alias("_next"))
     return rows.join(follower, ["next_part", "next_place"], "left").select(
         F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
