@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.plans import language, registry, relational, search, streams, structure
+
+_PLANS = (search, structure, registry, language, relational, streams)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
