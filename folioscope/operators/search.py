@@ -30,14 +30,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query
     Postings are pre-aggregated before the shuffle; only terms that a query has are joined, and the
     corpus statistics are one row.
     """
-    postings = docs.select(doc, F.explode(tokens(F.col("text"))).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
-    sizes = docs.select(doc, F.size(tokens(F.col("text"))).alias("size"))
-    totals = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    cut = docs.select(doc, tokens(F.col("text")).alias("_t")).select(doc, "_t", F.size("_t").alias("size"))
+    postings = cut.select(doc, "size", F.explode("_t").alias("term")).groupBy(doc, "size", "term").agg(F.count("*").alias("tf"))
+    totals = cut.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = df.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select(query, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
     weights = df.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean_idf)).select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "mean")
-    part = postings.join(weights, "term").join(sizes, doc).withColumn("_part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))))
+    part = postings.join(weights, "term").withColumn("_part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))))
     scores = part.join(asked, "term").groupBy(query, doc).agg(F.sum(F.col("_part") * F.col("times")).alias("score"))
     top = ranked(scores.withColumn("score", scaled(F.col("score"))), query, [F.col("score").desc(), F.col(doc)])
     return top.where((F.col("rank") <= k) & (F.col("score") > 0))
