@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import answers, language, registry, relational, search, streams, structure
+from folioscope.plans import answers, figures, language, registry, relational, search, streams, structure
 
-_PLANS = (search, structure, registry, language, answers, relational, streams)
+_PLANS = (search, structure, registry, language, answers, figures, relational, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
