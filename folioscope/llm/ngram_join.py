@@ -14,9 +14,10 @@ their prefixes, the first n - ceil(3n/4) + 1 tokens, so prefix postings find eve
    Nodes of one group are linked already and are not compared.
 3. Verified links give the components.
 
-The order only steers the cost: frequent tokens are those found in ``FREQUENT`` or more nodes by
-counts inside each partition, at most ``MOST_FREQUENT`` of them, kept as a bit array; two tokens that
-share a bit are both treated as frequent, by every document alike.
+The order only steers the cost: frequent tokens are those counted in ``FREQUENT`` or more sets, at most
+``MOST_FREQUENT`` of them, kept as a bit array; two tokens that share a bit are both treated as frequent,
+by every document alike.  Of the members of a group that are left open to a node, those that share most
+are verified first; the others only if none of these links.
 
 Defined results: a null text, or one without a word, has an empty set and is its own component;
 repeated rows are exact copies of each other; a null id never becomes a component's id unless all its
@@ -29,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +38,9 @@ from folioscope.llm._common import checkpoint, conf_int, id_field, table
 from folioscope.llm._kernels import mix, shingle_hashes, slices, text_bytes, word_bounds, word_hashes
 from folioscope.llm.components import components
 
-FREQUENT, MOST_FREQUENT = 32, 2_000_000
+FREQUENT, MOST_FREQUENT = 5, 2_000_000
+LOW = np.uint64(int(0.35 * (1 << 63)))
+FIRST = 3
 HELD = 4_000_000
 SMALL = 200_000
 
@@ -83,34 +87,43 @@ def first_of_each(nodes: np.ndarray) -> np.ndarray:
     return np.sort(first)
 
 
-def document_nodes(docs: DataFrame, parts: int, k: int) -> DataFrame:
-    """kind 0: (doc_id, n, node) of every document; kind 1: packed tokens, by range, that several nodes of a partition hold."""
-    fields = T.StructType([T.StructField("kind", T.IntegerType()), id_field(docs), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("tokens", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+def document_nodes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, node) of every document."""
+    fields = T.StructType([id_field(docs), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                hashes, edge = sets_of(part.column(1), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edge)), pa.array(node_ids(hashes, edge))], names=fields.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, fields)
+
+
+def token_counts(docs: DataFrame, parts: int, k: int) -> DataFrame:
+    """part, tokens, counts: in how many different sets of a partition each token is.
+
+    A prefix takes the smallest quarter of a set's rare tokens, so tokens above ``LOW`` are hardly ever in
+    one: of those, only the ones that several sets of a partition hold are counted.
+    """
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
-        token, count = token[count > 1], count[count > 1]
+        keep = (count > 1) | (token < LOW)
+        token, count = token[keep], count[keep]
         part = (token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(31)
         at = np.searchsorted(part, np.arange(parts + 1))
         full = np.flatnonzero(np.diff(at))
-        none = pa.nulls(len(full))
         return pa.RecordBatch.from_arrays([
-            pa.array(np.ones(len(full), np.int32)), none.cast(fields_arrow), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(full.astype(np.int32)),
-            pa.array([token[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()), pa.array([count[at[p] : at[p + 1]].astype("<i8").tobytes() for p in full], pa.binary()),
-        ], names=fields.names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields_arrow = to_arrow_type(fields["doc_id"].dataType)
+            pa.array(full.astype(np.int32)), pa.array([token[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()), pa.array([np.minimum(count[at[p] : at[p + 1]], 65535).astype("<u2").tobytes() for p in full], pa.binary()),
+        ], names=["part", "tokens", "counts"])
 
     def run(batches):
         held, size, seen = [], 0, set()
         for batch in batches:
             for part in slices(batch):
-                hashes, edge = sets_of(part.column(1), k)
+                hashes, edge = sets_of(part.column(0), k)
                 nodes, n = node_ids(hashes, edge), np.diff(edge)
-                m = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), pa.array(n), pa.array(nodes), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=fields.names)
                 fresh = np.array([i for i in first_of_each(nodes).tolist() if nodes[i] not in seen], dtype=np.int64)
                 seen.update(nodes[fresh].tolist())
                 held.append(hashes[np.repeat(edge[fresh], n[fresh]) + flat(n[fresh])])
@@ -121,17 +134,17 @@ def document_nodes(docs: DataFrame, parts: int, k: int) -> DataFrame:
         if size:
             yield packed(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    return docs.select("text").mapInArrow(run, "part int, tokens binary, counts binary")
 
 
 def frequent_bits(packed: DataFrame, parts: int) -> np.ndarray:
-    """A bit for (the top bits of) every frequent token; 0 bits if there is none."""
+    """A bit for (the top bits of) every frequent token; no bit set if there is none."""
 
     def run(batches):
         token, count = [], []
         for b in batches:
             token += [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
-            count += [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
+            count += [np.frombuffer(x, "<u2") for x in b.column(1).to_pylist()]
         if token:
             one, at = np.unique(np.concatenate(token), return_inverse=True)
             total = np.bincount(at, np.concatenate(count))
@@ -149,7 +162,7 @@ def frequent_bits(packed: DataFrame, parts: int) -> np.ndarray:
         sizes[0] = kept.agg(F.sum(F.octet_length("tokens")) / 8).first()[0] or 0
     rows = (_above(summed, level) if level > FREQUENT else summed.select("tokens")).collect()
     tokens = np.concatenate([np.frombuffer(bytes(r["tokens"]), np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
-    bits = np.zeros(1 << max(16, int(len(tokens) * 64).bit_length()), dtype=bool)
+    bits = np.zeros(1 << max(16, int(len(tokens) * 16).bit_length()), dtype=bool)
     bits[_slot(tokens, len(bits))] = True
     return np.packbits(bits)
 
@@ -347,8 +360,10 @@ def open_groups(lists: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
     asked = left.where("size > 1").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "grp")
     rows = asked.join(known.select(F.col("node").alias("a"), "token"), "a")
     members = known.where("size > 1").select("grp", "token", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    within = rows.join(members, ["grp", "token"]).where(may_link(F.col("n_a"), F.col("n_b"))).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return single.unionByName(within.where(F.col("shared") >= needed(F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    within = rows.join(members, ["grp", "token"]).where(may_link(F.col("n_a"), F.col("n_b"))).groupBy("grp", "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    within = within.where(F.col("shared") >= needed(F.col("n_a"), F.col("n_b")))
+    order = W.partitionBy("a", "grp").orderBy(F.col("shared").desc(), "b")
+    return single.withColumn("turn", F.lit(1)).unionByName(within.select("a", "b", F.row_number().over(order).alias("turn")))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -356,9 +371,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     parts = 2 * conf_int(spark, "spark.sql.shuffle.partitions", 200)
     docs = docs.select(F.col(id_col).alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    first = checkpoint(document_nodes(docs, parts, k))
-    own = first.where("kind = 0").select("doc_id", "n", "node")
-    bits = frequent_bits(first.where("kind = 1").select("part", "tokens", "counts"), parts)
+    own = checkpoint(document_nodes(docs, k))
+    bits = frequent_bits(token_counts(docs, parts, k), parts)
     nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     lists = checkpoint(posting_lists(docs, bits, parts, k))
     stars = (
@@ -371,8 +385,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = own.select("node", "n").distinct()
     roots = checkpoint(components(links).join(sizes, "node"))
     groups = roots.join(roots.groupBy("root").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")), "root").select("node", "root", "size", "low", "high")
-    more = verified(open_groups(lists, groups, parts), nodes, docs, k)
-    final = components(links.unionByName(more))
+    left = checkpoint(open_groups(lists, groups, parts))
+    links = checkpoint(links.unionByName(verified(left.where(F.col("turn") <= FIRST), nodes, docs, k)))
+    rest = left.where(F.col("turn") > FIRST)
+    if not rest.isEmpty():
+        so_far = checkpoint(components(links))
+        for end in ("a", "b"):
+            rest = rest.join(so_far.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        links = links.unionByName(verified(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")), nodes, docs, k))
+    final = components(links)
     placed = own.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = placed.where("n > 0").join(smallest, "root").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
