@@ -1,6 +1,6 @@
 """Operator 7 (native): I-Match document fingerprints.
 
-Terms are lower-cased words without ASCII punctuation.  The lexicon holds the terms whose share of
+Terms are lower-cased runs of characters other than ASCII blanks and punctuation.  The lexicon holds the terms whose share of
 documents lies in a band, that is, whose inverse document frequency does.  As each of its terms is in
 at least ``least`` of the documents, it has at most (mean distinct terms of a document) / ``least``
 terms, however large the corpus is, and can be broadcast.  A document's distinct terms in the lexicon
@@ -24,17 +24,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import LOWER, UPPER, checkpoint, conf_int, table, text_column
+from folioscope.llm._common import checkpoint, conf_int, table, text_column
 
 LEAST, MOST = 0.001, 0.05
 #: One in so many terms of the lexicon is in the subset.
 CHANCES = (2, 2, 4, 4, 8, 8, 16, 16, 32, 32, 64, 64, 128, 128, 256, 256)
-_SPLIT = "\t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPLIT = r"[\x00-\x20!-/:-@\[-`{-\x7F]+"
 
 
 def terms(text: Column) -> Column:
     """Distinct terms, with the empty string among them exactly once."""
-    return F.array_distinct(F.split(F.concat(F.translate(text, UPPER + _SPLIT, LOWER + " " * len(_SPLIT)), F.lit(" ")), " ", -1))
+    return F.array_distinct(F.concat(F.split(F.lower(text), _SPLIT, -1), F.array(F.lit(""))))
 
 
 def lexicon(docs: DataFrame, n_docs: int, least: float = LEAST, most: float = MOST, seed: int = 11) -> DataFrame:
