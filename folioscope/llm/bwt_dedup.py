@@ -215,7 +215,7 @@ def shared_runs(docs: DataFrame, parts: int, length: int) -> DataFrame:
 
     def deal(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=1 << 20):
                 keys = part.column(0).to_numpy()
                 data, offsets = text_bytes(part.column(1))
                 row, begin, count, seed, same = window_runs(data, offsets, length)
@@ -275,7 +275,7 @@ def fetched(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, budget=4 << 20):
+            for part in slices(batch, budget=1 << 20):
                 data, offsets = text_bytes(part.column(1))
                 spans, edge = _spans(part.column(2))
                 size = spans.field(1).to_numpy()
@@ -365,7 +365,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=1 << 20):
                 data, offsets = text_bytes(part.column(1))
                 delta = np.zeros(len(data) + 1, dtype=np.int32)
                 for c in (2, 3):
