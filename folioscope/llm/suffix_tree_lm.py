@@ -1,18 +1,20 @@
 """Operator 3: language-model scoring with a probabilistic suffix tree over tokens.
 
 A text is its words, A-Z lower-cased, and one end; the end also stands before the first word.  The tree
-holds contexts of up to ``DEPTH`` tokens.  Strings of tokens are counted level by level: a string of
-k + 1 tokens is counted only where both of its strings of k are frequent, that is, make up ``LEAST`` of
-all training tokens.  So at most 1 / LEAST strings of each length come to the driver or are broadcast,
-however large the corpus is.  A follower of a context stays if its probability there diverges from the
-one under the context's suffix by ``GAIN`` nats over its occurrences; a context stays if it has such a
-follower, or is the suffix of one that stays.  The mass that a context's followers leave goes to the
+holds contexts of up to ``DEPTH`` tokens.  A string of tokens is in the tree's tables if it is counted
+``LOWEST`` times or more, so they grow with the corpus.  A follower of a context stays if its
+probability there diverges from the one under the context's suffix by ``GAIN`` nats over its
+occurrences.  The mass that a context's followers leave goes to the
 distribution of its suffix; the root is the add-one distribution of all training tokens.  A token is
 scored by the longest suffix of what precedes it that is in the tree.
 
-Counts cover all training rows, those with crc32(doc_id as text) mod 7 not 2.  Word counts are looked up
-by shuffling each chunk's distinct words to the counts and back, so no vocabulary is broadcast.  Tokens
-are known by 64-bit hashes.
+Counts cover all training rows, those with crc32(doc_id as text) mod 7 not 2.  No part of the tree is
+collected or broadcast.  The texts are dealt to chunks; a chunk sends its distinct strings of k tokens
+with their counts to the parts that own them and gets the totals back.  It sends a string of k + 1 tokens
+only if both of its strings of k are frequent, which holds for every frequent one.  One of the chunks that
+sent a string is told to account for it; so each follower that stays is added once to the mass that its
+context has used, which is summed and sent back in the same way.  With counts and masses a chunk has the
+probabilities of its own tokens.  Tokens are known by 64-bit hashes.
 
 Defined results: a null text is empty and has only its end; a null id counts as held out; repeated rows
 give repeated results; without training rows every token has log10 probability 0 at the root; an empty
@@ -30,12 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm._common import checkpoint, conf_int, id_field, table
-from folioscope.llm._kernels import mix, slices, text_bytes, word_bounds, word_hashes
+from folioscope.llm._kernels import mix, text_bytes, word_bounds, word_hashes
 
-DEPTH, LEAST, GAIN, DISCOUNT, ESCAPE = 3, 2e-6, 6.0, 0.75, 0.02
+DEPTH, GAIN, DISCOUNT, ESCAPE = 3, 6.0, 0.75, 0.02
 LOWEST = 3
 CHUNK_BYTES = 4 << 20
-HELD = 3_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 
@@ -57,272 +58,185 @@ def join(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mix(prefix * _A + suffix * _B)
 
 
-def _slot(x: np.ndarray, size: int) -> np.ndarray:
-    return (mix(x) >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64)
-
-
-class Lookup:
-    """Sorted hashes behind a bit array."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.bits = np.zeros(1 << max(16, (64 * len(hashes)).bit_length()), dtype=bool)
-        self.bits[_slot(self.hashes, len(self.bits))] = True
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each hash, -1 if absent."""
-        out = np.full(len(x), -1, dtype=np.int64)
-        may = np.flatnonzero(self.bits[_slot(x, len(self.bits))])
-        if len(may) and len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, x[may]), len(self.hashes) - 1)
-            out[may] = np.where(self.hashes[at] == x[may], at, -1)
-        return out
-
-
-def levels(token: np.ndarray, edge: np.ndarray, known: list[Lookup]):
-    """For k = 1, 2, ...: hashes of the strings of k tokens that end at each place, and whether all their parts are frequent."""
-    gram, fine = token, np.ones(len(token), dtype=bool)
-    yield gram, fine
-    place = np.arange(len(token)) - np.repeat(edge[:-1], np.diff(edge))
-    for k, look in enumerate(known, 1):
-        often = fine & (look.find(gram) >= 0)
-        new, ok = np.zeros_like(gram), np.zeros(len(gram), dtype=bool)
-        ok[1:] = often[1:] & often[:-1] & (place[1:] >= k)
-        at = np.flatnonzero(ok)
-        new[at] = join(gram[at - 1], gram[at])
-        gram, fine = new, ok
-        yield gram, fine
-
-
-def _packed(part_of: np.ndarray, columns: list[np.ndarray], parts: int, extra: int, names: list[str]) -> pa.RecordBatch:
-    order = np.argsort(part_of, kind="stable")
-    at = np.searchsorted(part_of[order], np.arange(parts + 1))
-    columns = [c[order] for c in columns]
-    tokens = np.zeros(parts, dtype=np.int64)
-    tokens[0] = extra
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), *(pa.array([c[at[p] : at[p + 1]].tobytes() for p in range(parts)], pa.binary()) for c in columns), pa.array(tokens)], names=names)
-
-
 def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return ((x >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
 
 
-_COUNTED = "part int, grams binary, prefixes binary, suffixes binary, counts binary, tokens long"
-
-
-def count_level(docs: DataFrame, known: list[np.ndarray], parts: int, floor: int) -> DataFrame:
-    """Strings of len(known) + 1 tokens with their counts, from ``floor`` on, and each part's tokens and distinct strings."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    names = [f.split()[0] for f in _COUNTED.split(", ")]
-
-    def deal(batches):
-        look = [Lookup(k) for k in shared.value]
-        held: list[tuple] = []
-
-        def pack(extra):
-            gram, prefix, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-            one, first, count = np.unique(gram, return_index=True, return_counts=True)
-            none = np.zeros(0, np.uint64)
-            both = [prefix[first], suffix[first]] if look else [none, none]
-            if look:
-                return _packed(_part(one, parts), [one, *both, count.astype("<i4")], parts, extra, names)
-            batch = _packed(_part(one, parts), [one, count.astype("<i4")], parts, extra, ["part", "grams", "counts", "tokens"])
-            empty = pa.array([b""] * parts, pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), empty, empty, batch.column(2), batch.column(3)], names=names)
-
-        size = extra = 0
-        for batch in batches:
-            for part in slices(batch):
-                token, edge = tokens_of(part.column(0))
-                before = None
-                for gram, fine in levels(token, edge, look):
-                    last, before = before, (gram, fine)
-                gram, fine = before
-                use = np.flatnonzero(fine)
-                if not look:
-                    first = np.zeros(len(token), dtype=bool)
-                    first[edge[:-1]] = True  # the end before the first word isn't counted
-                    use = np.flatnonzero(~first)
-                    held.append((gram[use], gram[:0], gram[:0]))
-                else:
-                    held.append((gram[use], last[0][use - 1], last[0][use]))
-                size += len(use)
-                extra += len(token) - part.num_rows
-                if size > HELD:
-                    yield pack(extra)
-                    held, size, extra = [], 0, 0
-        if held:
-            yield pack(extra)
-
-    def add(batches):
-        got = [[] for _ in range(4)]
-        tokens = part = 0
-        for b in batches:
-            tokens += int(np.sum(b.column(5).to_numpy()))
-            for c, kind in enumerate((np.uint64, np.uint64, np.uint64, "<i4")):
-                got[c] += [np.frombuffer(x, kind) for x in b.column(c + 1).to_pylist()]
-        if not got[0]:
-            return
-        gram, prefix, suffix, count = (np.concatenate(x) for x in got)
-        one, first, at = np.unique(gram, return_index=True, return_inverse=True)
-        total = np.bincount(at, count, minlength=len(one)).astype(np.int64)
-        keep = np.flatnonzero(total >= floor)
-        pick = (lambda x: x[first[keep]].tobytes() if len(x) else b"")
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (one[keep].tobytes(), pick(prefix), pick(suffix), total[keep].astype("<i8").tobytes())] + [pa.array([tokens]), pa.array([len(one)])], names=["grams", "prefixes", "suffixes", "counts", "tokens", "distinct"])
-
-    dealt = docs.select("text").mapInArrow(deal, _COUNTED)
-    return dealt.repartition(parts, "part").mapInArrow(add, "grams binary, prefixes binary, suffixes binary, counts binary, tokens long, distinct long")
-
-
-def _rows(counted: DataFrame, floor: int) -> tuple[np.ndarray, ...]:
-    """(gram, prefix, suffix, count) of the strings counted ``floor`` times or more, ordered by gram; they are at most 1 / LEAST."""
-
-    def above(batches):
-        for b in batches:
-            for gram, prefix, suffix, count in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                keep = np.frombuffer(count, "<i8") >= floor
-                cut = lambda x, kind: (np.frombuffer(x, kind)[keep].tobytes() if x else b"")  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (cut(gram, np.uint64), cut(prefix, np.uint64), cut(suffix, np.uint64), cut(count, "<i8"))], names=["grams", "prefixes", "suffixes", "counts"])
-
-    rows = counted.select("grams", "prefixes", "suffixes", "counts").mapInArrow(above, "grams binary, prefixes binary, suffixes binary, counts binary").collect()
-    out = [np.concatenate([np.frombuffer(bytes(r[c]), kind) for r in rows] or [np.zeros(0, kind)]) for c, kind in enumerate((np.uint64, np.uint64, np.uint64, np.int64))]
-    order = np.argsort(out[0])
-    return tuple(x[order] if len(x) else x for x in out)
-
-
-class SuffixTree:
-    """For each depth: the contexts with the log10 mass they leave to their suffix, and their followers' log10 probabilities."""
-
-    def __init__(self, contexts: list[np.ndarray], rest: list[np.ndarray], grams: list[np.ndarray], log: list[np.ndarray]):
-        self.contexts, self.rest, self.grams, self.log = contexts, rest, grams, log
-
-    @classmethod
-    def build(cls, counted: list[tuple[np.ndarray, ...]], tokens: int, distinct: int, gain: float = GAIN) -> SuffixTree:
-        """``counted``: (gram, prefix, suffix, count) of the frequent strings of 1, 2, ... tokens, ordered by gram."""
-        if not counted:
-            return cls([], [], [], [])
-        chance = (counted[0][3] + 1) / (tokens + distinct + 1)  # of each frequent string's last token after the ones before
-        contexts, rests, grams, logs, parents = [], [], [], [], []
-        for depth in range(1, len(counted)):
-            gram, prefix, suffix, count = counted[depth]
-            states = counted[depth - 1]
-            state, below = np.searchsorted(states[0], prefix), np.searchsorted(states[0], suffix)
-            total = states[3][state].astype(float)
-            plain = count / np.maximum(total, count)
-            keep = count * np.log(np.maximum(plain / chance[below], 1e-300)) >= gain
-            share = (1 - ESCAPE) * np.maximum(count - DISCOUNT, 0) / np.maximum(total, count)
-            used = np.bincount(state[keep], share[keep], minlength=len(states[0]))
+#: In the answer to a count: this chunk accounts for the string.
+_OWN = np.uint64(1 << 63)
+_MASS = 10  # kind of the masses at depth 0; kinds below are the numbers of tokens of counted strings
+
+
+class Chunk:
+    """A chunk's strings of tokens, with what the answers so far say about them."""
+
+    def __init__(self, t: pa.Table, answers: pa.Table):
+        self.rows = t.num_rows
+        self.token, self.edge = tokens_of(t.column("text"))
+        self.place = np.arange(len(self.token)) - np.repeat(self.edge[:-1], np.diff(self.edge))
+        self.train = np.repeat(~t.column("held_out").to_numpy(zero_copy_only=False), np.diff(self.edge)) & (self.place > 0)
+        order = answers.sort_by([("kind", "ascending"), ("part", "ascending")])
+        kinds, raw = order.column("kind").to_numpy(), order.column("answers").to_pylist()
+        self.answers = {int(k): np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(kinds == k)), "<f8" if k > _MASS else "<u8") for k in np.unique(kinds)}
+        self.gram, self.count, self.total = self.token, np.zeros(0), np.zeros(0)
+
+    def strings(self, k: int) -> tuple[np.ndarray, ...]:
+        """Places where a string of k tokens that may be frequent ends, its distinct hashes, and which of these each place has."""
+        if k == 1:
+            self.at = np.arange(len(self.token))
+        else:
+            often = self.count >= LOWEST
+            ok = np.zeros(len(self.token), dtype=bool)
+            ok[1:] = often[1:] & often[:-1] & (self.place[1:] >= k - 1)
+            self.at = np.flatnonzero(ok)
+            longer = np.zeros_like(self.gram)
+            longer[self.at] = join(self.gram[self.at - 1], self.gram[self.at])
+            self.gram = longer
+        self.one, self.which = np.unique(self.gram[self.at], return_inverse=True)
+        return self.at, self.one, self.which
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.which, self.train[self.at].astype(float), minlength=len(self.one)).astype("<i4")
+
+    def take_counts(self, k: int) -> np.ndarray:
+        """Sets the count of the string that ends at each place; which distinct strings this chunk accounts for."""
+        got = self.answers[k]
+        self.total, self.count = self.count, np.zeros(len(self.token), dtype=np.int64)
+        self.count[self.at] = (got & ~_OWN).astype(np.int64)[self.which]
+        return (got & _OWN) > 0
+
+    def run(self, rounds: int, tokens: int, distinct: int):
+        """What the chunk asks after ``rounds`` rounds, as (kind, hashes, values); without anything left to ask, the root's and the tree's probabilities."""
+        self.strings(1)
+        if not rounds:
+            return [(1, self.one, self.counts())]
+        self.take_counts(1)
+        root = value = (self.count + 1.0) / (tokens + distinct + 1)
+        if rounds == 1:
+            self.strings(2)
+            return [(2, self.one, self.counts())]
+        for depth in range(1, DEPTH + 1):
+            before = self.gram
+            self.strings(depth + 1)
+            own = self.take_counts(depth + 1)
+            # Contexts: frequent strings of ``depth`` tokens with a token after them.
+            at = np.flatnonzero((self.place >= depth) & (np.concatenate([[0], self.total[:-1]]) >= LOWEST))
+            context, which = np.unique(before[at - 1], return_inverse=True)
+            count, total = self.count[at], np.concatenate([[0], self.total[:-1]])[at]
+            most = np.maximum(total, count).astype(float)
+            often = count >= LOWEST
+            gain = count * np.log(np.maximum(np.maximum(count, 1) / most / value[at], 1e-300))
+            keep = often & (gain >= GAIN)
+            share = np.where(keep, (1 - ESCAPE) * np.maximum(count - DISCOUNT, 0) / most, 0.0)
+            if rounds == depth + 1:
+                first = np.zeros(len(self.one), dtype=np.int64)
+                first[self.which[::-1]] = self.at[::-1]
+                mine = np.zeros(len(self.token), dtype=bool)
+                mine[first[own]] = True
+                mine = mine[at]
+                asked = [(_MASS + depth, context, np.bincount(which[mine], share[mine], minlength=len(context)))]
+                if depth < DEPTH:
+                    self.strings(depth + 2)
+                    asked.append((depth + 2, self.one, self.counts()))
+                return asked
+            used = self.answers[_MASS + depth]
             scale = np.where(used > 1 - ESCAPE, (1 - ESCAPE) / np.maximum(used, 1e-300), 1.0)  # counts of a context at text ends
             rest = 1 - used * scale
-            value = np.where(keep, share * scale[state], 0) + rest[state] * chance[below]
-            have = np.zeros(len(states[0]), dtype=bool)
-            have[state[keep]] = True
-            contexts.append(have)
-            rests.append(rest)
-            grams.append(gram[keep])
-            logs.append(np.log10(value[keep]))
-            parents.append(np.searchsorted(counted[depth - 2][0], states[2]) if depth > 1 else None)
-            chance = value
-        for depth in range(len(contexts) - 1, 0, -1):  # a context needs its suffix
-            contexts[depth - 1][parents[depth][contexts[depth]]] = True
-        kept = [np.flatnonzero(c) for c in contexts]
-        return cls([counted[d][0][k] for d, k in enumerate(kept)], [np.log10(r[k]) for r, k in zip(rests, kept, strict=True)], grams, logs)
-
-    def ready(self) -> SuffixTree:
-        self.find_context, self.find_gram = [Lookup(c) for c in self.contexts], [Lookup(g) for g in self.grams]
-        return self
-
-    def score(self, token: np.ndarray, edge: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability of every place's token; ``root``: the one without a context.  A row's first place is no token."""
-        log = root.copy()
-        state, gram = token, token
-        place = np.arange(len(token)) - np.repeat(edge[:-1], np.diff(edge))
-        for depth in range(1, len(self.contexts) + 1):
-            at = np.flatnonzero(place >= depth)
-            context = self.find_context[depth - 1].find(state[at - 1])
-            at, context = at[context >= 0], context[context >= 0]
-            longer = np.zeros_like(gram)
-            longer[1:] = join(gram[:-1], gram[1:])
-            found = self.find_gram[depth - 1].find(longer[at])
-            hit = found >= 0
-            log[at[hit]] = self.log[depth - 1][found[hit]]
-            log[at[~hit]] += self.rest[depth - 1][context[~hit]]
-            state = gram = longer
-        return log
-
-
-def fit_tree(docs: DataFrame, parts: int, least: float = LEAST, depth: int = DEPTH) -> tuple[SuffixTree, int, int]:
-    """The tree, the number of tokens and of distinct tokens of all rows of ``docs``."""
-    first = checkpoint(count_level(docs, [], parts, LOWEST))
-    sums = first.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("d")).first()
-    tokens, distinct = int(sums["t"] or 0), int(sums["d"] or 0)
-    floor = max(LOWEST, math.ceil(least * tokens))
-    counted = [_rows(first, floor)]
-    for _ in range(depth):
-        if not len(counted[-1][0]):
-            break
-        counted.append(_rows(count_level(docs, [c[0] for c in counted], parts, floor), floor))
-    return SuffixTree.build(counted, tokens, distinct), tokens, distinct
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold: int = 2, folds: int = 7, least: float = LEAST) -> DataFrame:
+            value = value.copy()
+            value[at] = share * scale[which] + rest[which] * value[at]
+        return root, value
+
+
+_ANSWERS = "chunk int, kind int, part int, answers binary, tokens long, distinct long"
+
+
+def answer(batches):
+    """Totals of the values that chunks sent for the same hash, to each chunk in the order of its hashes."""
+    asked: dict[int, list[tuple]] = {}
+    for b in batches:
+        for kind, *row in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), *(b.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+            asked.setdefault(kind, []).append(row)
+    for kind in sorted(asked):
+        rows = sorted(asked.pop(kind), key=lambda r: r[:2])
+        chunk, part = (np.array([r[c] for r in rows], dtype=np.int32) for c in (0, 1))
+        hashes = [np.frombuffer(r[2], np.uint64) for r in rows]
+        values = np.concatenate([np.frombuffer(r[3], "<f8" if kind > _MASS else "<i4") for r in rows])
+        del rows
+        one, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        total = np.bincount(at, values, minlength=len(one))
+        if kind > _MASS:
+            got = total[at]
+        else:
+            got = total.astype("<u8")[at]
+            got[first] |= _OWN
+        edge = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
+        sums = [np.zeros(len(hashes), dtype=np.int64) for _ in range(2)]
+        if kind == 1:
+            sums[0][0], sums[1][0] = int(total.sum()), int((total > 0).sum())
+        for i in range(0, len(hashes), 256):
+            s = range(i, min(i + 256, len(hashes)))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[s.start : s.stop]), pa.array(np.full(len(s), kind, np.int32)), pa.array(part[s.start : s.stop]), pa.array([got[edge[j] : edge[j + 1]].tobytes() for j in s], pa.binary()), *(pa.array(x[s.start : s.stop]) for x in sums)], names=["chunk", "kind", "part", "answers", "tokens", "distinct"])
+
+
+def _passing(spark: SparkSession, make) -> DataFrame:
+    """A checkpoint of ``make()`` whose shuffle files go as soon as it is written, so that the rounds don't add up on disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # read when a DataFrame is made
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return checkpoint(make())
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold: int = 2, folds: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
     parts = conf_int(spark, "spark.sql.shuffle.partitions", 200)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(fold == hold, F.lit(True)).alias("held_out"))
-    tree, tokens, distinct = fit_tree(docs.where("not held_out"), parts, least)
-    shared = spark.sparkContext.broadcast(tree)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(math.ceil(size / CHUNK_BYTES), 4 * parts)
     # Rows without an id are dealt by their text.
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(chunks)).cast("int"))
-
-    def ask(t: pa.Table) -> pa.Table:
-        token, edge = tokens_of(t.column("text"))
-        train = np.repeat(~t.column("held_out").to_numpy(zero_copy_only=False), np.diff(edge))
-        train[edge[:-1]] = False
-        one, at = np.unique(token, return_inverse=True)
-        count = np.bincount(at, train.astype(float), minlength=len(one)).astype(np.int32)
-        cut = np.searchsorted(_part(one, parts), np.arange(parts + 1))
-        pack = lambda x: pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in range(parts)], pa.binary())
-        return pa.table({"chunk": pa.array(np.full(parts, t.column("chunk")[0].as_py(), np.int32)), "part": pa.array(np.arange(parts, dtype=np.int32)), "words": pack(one), "counts": pack(count)})
-
-    def answer(batches):
-        asked = [b for b in batches if b.num_rows]
-        if not asked:
-            return
-        t = pa.Table.from_batches(asked)
-        chunk, part = t.column("chunk").to_numpy(), t.column("part").to_numpy()
-        words = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
-        counts = [np.frombuffer(x, np.int32) for x in t.column("counts").to_pylist()]
-        one, at = np.unique(np.concatenate(words), return_inverse=True)
-        got = np.bincount(at, np.concatenate(counts), minlength=len(one)).astype("<u4")[at]
-        edge = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        for i in range(0, len(words), 256):
-            s = range(i, min(i + 256, len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[s.start : s.stop]), pa.array(part[s.start : s.stop]), pa.array([got[edge[j] : edge[j + 1]].tobytes() for j in s], pa.binary())], names=["chunk", "part", "counts"])
+    answers, tokens, distinct = spark.createDataFrame([], _ANSWERS), 0, 0
+
+    def asking(rounds: int, tokens: int, distinct: int):
+        def ask(t: pa.Table, answers: pa.Table) -> pa.Table:
+            out = []
+            for kind, hashes, values in Chunk(t, answers).run(rounds, tokens, distinct):
+                cut = np.searchsorted(_part(hashes, parts), np.arange(parts + 1))
+                pack = lambda x: pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in range(parts)], pa.binary())  # noqa: E731, B023
+                out.append(pa.table({"chunk": pa.array(np.full(parts, t.column("chunk")[0].as_py(), np.int32)), "kind": pa.array(np.full(parts, kind, np.int32)), "part": pa.array(np.arange(parts, dtype=np.int32)), "hashes": pack(hashes), "values": pack(values)}))
+            return pa.concat_tables(out)
+
+        return ask
+
+    for rounds in range(DEPTH + 2):
+        ask = asking(rounds, tokens, distinct)
+        both = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        got = _passing(spark, lambda: both.applyInArrow(ask, "chunk int, kind int, part int, hashes binary, values binary").repartition(parts, "part").mapInArrow(answer, _ANSWERS))  # noqa: B023
+        if not rounds:
+            sums = got.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("d")).first()
+            tokens, distinct = int(sums["t"] or 0), int(sums["d"] or 0)
+        answers = got if not rounds else answers.unionByName(got)
 
     fields = T.StructType([id_field(docs), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def judge(t: pa.Table, answers: pa.Table) -> pa.Table:
-        token, edge = tokens_of(t.column("text"))
-        n, row = t.num_rows, np.repeat(np.arange(t.num_rows), np.diff(edge))
-        count = np.frombuffer(b"".join(answers.sort_by("part").column("counts").to_pylist()), "<u4")
-        _, at = np.unique(token, return_inverse=True)
-        seen = count[at] if len(token) else np.zeros(0)
-        root = np.log10((seen + 1.0) / (tokens + distinct + 1))
-        log = shared.value.ready().score(token, edge, root)
-        real = np.ones(len(token), dtype=bool)
-        real[edge[:-1]] = False
+        own = Chunk(t, answers)
+        root, value = own.run(DEPTH + 2, tokens, distinct)
+        n, real = own.rows, own.place > 0
+        row = np.repeat(np.arange(n), np.diff(own.edge))
         add = lambda x: np.bincount(row[real], x[real], minlength=n)
         return pa.table({
-            "doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(np.diff(edge) - 1), "n_known": pa.array(add(seen > 0).astype(np.int64)),
-            "base_score": pa.array(add(root)), "score": pa.array(add(log)),
+            "doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(np.diff(own.edge) - 1), "n_known": pa.array(add(root * (tokens + distinct + 1) > 1.5).astype(np.int64)),
+            "base_score": pa.array(add(np.log10(root))), "score": pa.array(add(np.log10(value))),
         })
 
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, part int, words binary, counts binary")
-    answers = asked.repartition(parts, "part").mapInArrow(answer, "chunk int, part int, counts binary")
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, fields)
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

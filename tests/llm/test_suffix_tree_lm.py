@@ -81,6 +81,16 @@ def test_beats_the_unigrams_on_held_out(spark):
     assert score > base
 
 
+def test_floor_does_not_grow_with_the_corpus(spark):
+    """Two million tokens: a string counted three times is known, as it is in a small corpus."""
+    ids = [i for i in range(1, 400) if not held(i)]
+    phrase = "amber basilisk cormorant dulcimer"
+    rows = [(i, " ".join(f"w{i}x{j % 100}" for j in range(10_000))) for i in ids[:200]] + [(i, phrase) for i in ids[200:203]] + [(next(i for i in range(400, 500) if held(i)), phrase)]
+    got = lm.score_texts(documents(spark, rows)).collect()
+    (r,) = [r for r in got if r["held_out"]]
+    assert r["train_tokens"] > 2_000_000 and r["score"] > r["base_score"] + 10
+
+
 def test_nulls_and_empty(spark):
     got = lm.score_texts(documents(spark, [(None, "a b"), (1, None), (1, None)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 3), (1, 1), (1, 1)]
