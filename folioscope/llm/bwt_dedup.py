@@ -6,7 +6,8 @@ same document) is removed.
 1. Sharding.  Windows of ``length`` bytes with the same smallest hash of their 32-byte strings form runs;
    equal windows have equal smallest hashes, so all places of a repeated string meet under one key.
    Runs with equal bytes are settled at once: all but the first repeat an earlier one whole.  Keys
-   with two or more different runs are left, and only their bytes are fetched.
+   with two or more different runs are left, as is the first of equal runs that have their smallest hash
+   at more than one place, since these can repeat themselves; only the bytes of what is left are fetched.
 2. Merging.  The runs left are dealt by key into collections of bounded size and each collection into
    shards.  A shard's transform comes from its own sorted rotations.  The transforms are then merged by
    iterative interleave refinement: each step deals the current interleave by the symbols that the
@@ -67,10 +68,10 @@ def flat(lengths: np.ndarray) -> np.ndarray:
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(row, first window, number of windows, key, hash of the run's bytes) of the runs of windows with one smallest hash."""
+    """(row, first window, number of windows, key, hash of the run's bytes, whether the key comes more than once in it) of the runs of windows with one smallest hash."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * powers(n), dtype=np.uint64)])
     back = _inverse_powers(n + 1)
     seeds = mix((total[SEED:] - total[:-SEED]) * back[: n - SEED + 1])
@@ -92,7 +93,14 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     begin = window[first]
     end = begin + count - 1 + length
     bytes_ = mix((total[end] - total[begin]) * back[begin] + count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return row[first], begin - starts[row[first]], count, value[first], bytes_
+    # Equal windows of one run have its smallest hash at different places, each of them the least of some window.
+    edge = np.zeros(length - SEED, dtype=np.uint64)
+    least_at = np.flatnonzero(seeds == _slide(np.concatenate([edge, least, edge]), length - SEED + 1, np.maximum))
+    low, high = np.searchsorted(least_at, begin), np.searchsorted(least_at, end - SEED, side="right")
+    own = np.repeat(np.arange(len(begin)), high - low)
+    hit = seeds[least_at[np.repeat(low, high - low) + flat(high - low)]] == value[first][own]
+    inner = np.bincount(own[hit], minlength=len(begin)) > 1
+    return row[first], begin - starts[row[first]], count, value[first], bytes_, inner
 
 
 def rotations(symbols: np.ndarray, after: np.ndarray, longest: int) -> np.ndarray:
@@ -218,33 +226,33 @@ def shared_runs(docs: DataFrame, parts: int, length: int) -> DataFrame:
             for part in slices(batch, budget=1 << 20):
                 keys = part.column(0).to_numpy()
                 data, offsets = text_bytes(part.column(1))
-                row, begin, count, seed, same = window_runs(data, offsets, length)
+                row, begin, count, seed, same, inner = window_runs(data, offsets, length)
                 part_of = ((seed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(part_of, kind="stable")
                 at = np.searchsorted(part_of[order], np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(at))
-                columns = [x[order] for x in (keys[row].astype("<i8"), begin.astype("<i4"), count.astype("u1"), seed, same)]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([x[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()) for x in columns)], names=["part", "keys", "begins", "counts", "seeds", "sames"])
+                columns = [x[order] for x in (keys[row].astype("<i8"), begin.astype("<i4"), count.astype("u1"), seed, same, inner.astype("u1"))]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([x[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()) for x in columns)], names=["part", "keys", "begins", "counts", "seeds", "sames", "inners"])
 
     def settle(batches):
-        got = [[] for _ in range(5)]
+        got = [[] for _ in range(6)]
         for b in batches:
-            for c, kind in enumerate(("<i8", "<i4", "u1", np.uint64, np.uint64)):
+            for c, kind in enumerate(("<i8", "<i4", "u1", np.uint64, np.uint64, "u1")):
                 got[c] += [np.frombuffer(x, kind) for x in b.column(c + 1).to_pylist()]
         if not got[0]:
             return
-        key, begin, count, seed, same = (np.concatenate(x) for x in got)
+        key, begin, count, seed, same, inner = (np.concatenate(x) for x in got)
         order = np.argsort(seed, kind="stable")
         ranked = seed[order]
         more = np.zeros(len(seed) + 1, dtype=bool)
         more[1:-1] = ranked[1:] == ranked[:-1]
-        order = order[more[1:] | more[:-1]]
-        key, begin, count, seed, same = (x[order] for x in (key, begin, count, seed, same))
+        order = order[more[1:] | more[:-1] | (inner[order] > 0)]
+        key, begin, count, seed, same, inner = (x[order] for x in (key, begin, count, seed, same, inner))
         order = np.lexsort((begin, key, same, seed))
-        key, begin, count, seed, same = (x[order] for x in (key, begin, count, seed, same))
+        key, begin, count, seed, same, inner = (x[order] for x in (key, begin, count, seed, same, inner))
         own = np.ones(len(seed), dtype=bool)  # a document that comes in several rows counts once
         own[1:] = (key[1:] != key[:-1]) | (begin[1:] != begin[:-1]) | (seed[1:] != seed[:-1])
-        key, begin, count, seed, same = (x[own] for x in (key, begin, count, seed, same))
+        key, begin, count, seed, same, inner = (x[own] for x in (key, begin, count, seed, same, inner))
         new_seed = np.ones(len(seed), dtype=bool)
         new_seed[1:] = seed[1:] != seed[:-1]
         new_same = new_seed.copy()
@@ -252,13 +260,13 @@ def shared_runs(docs: DataFrame, parts: int, length: int) -> DataFrame:
         first = np.flatnonzero(new_seed)
         kinds = np.repeat(np.add.reduceat(new_same.astype(np.int64), first), np.diff(np.append(first, len(seed)))) if len(first) else np.zeros(0, np.int64)
         size = np.where(new_same, -count.astype(np.int64), count.astype(np.int64) - 1 + length)
-        keep = ~new_same | (kinds > 1)
+        keep = ~new_same | (kinds > 1) | (inner > 0)
         for i in range(0, len(keep), 1 << 17):
             s = np.flatnonzero(keep[i : i + (1 << 17)]) + i
             if len(s):
                 yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(begin[s].astype(np.int32)), pa.array(size[s].astype(np.int32)), pa.array(seed[s].view(np.int64))], names=["key", "start", "size", "seed"])
 
-    dealt = docs.select("key", "text").mapInArrow(deal, "part int, keys binary, begins binary, counts binary, seeds binary, sames binary")
+    dealt = docs.select("key", "text").mapInArrow(deal, "part int, keys binary, begins binary, counts binary, seeds binary, sames binary, inners binary")
     return dealt.repartition(parts, "part").mapInArrow(settle, "key long, start int, size int, seed long")
 
 

@@ -40,6 +40,16 @@ def test_against_brute_force(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == expect
 
 
+def test_repeats_inside_one_run(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("bcdefgh ") for _ in range(n))
+    ruler = letters(80) + "-." * 75 + letters(80)
+    for rows in (["a" * 150], ["a" * 291], [ruler, ruler], [letters(90) + "xyz " * 30 + letters(90)]):
+        got = suffix_dedup(documents(spark, rows)).collect()
+        assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute([(i, t.encode()) for i, t in enumerate(rows)])
+    assert suffix_dedup(documents(spark, ["a" * 150])).first()["n_removed"] == 149
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefghij ") for _ in range(500))
