@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,17 +45,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query
     return top.where((F.col("rank") <= k) & (F.col("score") > 0))
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", vector: str = "embedding", threshold: float | None = None) -> DataFrame:
-    """query, item, distance (millionths of 1 - cosine) and rank of the k nearest items.
-
-    The queries are a bounded batch (checked); every task keeps the k best of its rows for each query,
-    so a task sends k rows for each query at most.
-    """
-    asked = queries.select(query, F.col(vector).cast("array<double>").alias("v")).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; ask in batches")
-    ids = np.array([r[0] for r in asked], dtype=np.int64)
-    matrix = np.array([r[1] for r in asked], dtype=np.float64).reshape(len(ids), -1)
+def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int, threshold: float | None, columns: list[str]):
+    """The step that keeps the k best rows of a task for each of the queries."""
     norms = np.sqrt((matrix**2).sum(axis=1))
 
     def nearest(batches):
@@ -74,15 +67,49 @@ def knn(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", quer
                 order = np.lexsort((names, every), axis=1)[:, :k]
                 best, best_id = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
         keep = np.isfinite(best)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(best_id[keep]), pa.array(best[keep].astype(np.int64))], names=[query, item, "distance"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[keep]), pa.array(best_id[keep]), pa.array(best[keep].astype(np.int64))], names=columns)
+
+    return nearest
+
+
+def _asked(queries: DataFrame, query: str, vector: str) -> DataFrame:
+    return queries.select(query, F.col(vector).cast("array<double>").alias("v"))
+
+
+def _found(items: DataFrame, asked: list, k: int, item: str, query: str, vector: str, threshold: float | None) -> DataFrame:
+    """query, item and distance of the k best rows of every task for each of the (id, vector) rows in ``asked``."""
+    ids = np.array([r[0] for r in asked], dtype=np.int64)
+    matrix = np.array([r[1] for r in asked], dtype=np.float64).reshape(len(ids), -1 if len(ids) else 0)
+    step = _nearest(ids, matrix, k, threshold, [query, item, "distance"])
+    return items.select(F.col(item).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(step, f"{query} long, {item} long, distance long")
+
+
+def knn(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", vector: str = "embedding", threshold: float | None = None) -> DataFrame:
+    """query, item, distance (millionths of 1 - cosine) and rank of the k nearest items.
+
+    The queries are a bounded batch (checked); every task keeps the k best of its rows for each query,
+    so a task sends k rows for each query at most.
+    """
+    asked = _asked(queries, query, vector).limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries; ask in batches")
+    found = _found(items, asked, k, item, query, vector, threshold)
+    return ranked(found, query, [F.col("distance"), F.col(item)]).where(F.col("rank") <= k)
+
 
-    found = items.select(F.col(item).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(nearest, f"{query} long, {item} long, distance long")
+def knn_blocks(items: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", vector: str = "embedding", threshold: float | None = None) -> DataFrame:
+    """``knn`` of any number of queries, in blocks of ``MAX_QUERIES``, so that the bound limits the memory of a task and not the job."""
+    rows = _asked(queries, query, vector).toLocalIterator()
+    found = None
+    while (block := list(islice(rows, MAX_QUERIES))) or found is None:
+        some = _found(items, block, k, item, query, vector, threshold)
+        found = some if found is None else found.unionByName(some)
     return ranked(found, query, [F.col("distance"), F.col(item)]).where(F.col("rank") <= k)
 
 
 def similar_cached(new: DataFrame, cached: DataFrame, least: float, item: str = "vec_id") -> DataFrame:
     """For each new entry the most similar cached one at ``least`` cosine or more."""
-    hits = knn(cached, new.withColumnRenamed(item, "query_id"), 1, item=item)
+    hits = knn_blocks(cached, new.withColumnRenamed(item, "query_id"), 1, item=item)
     return hits.where(F.col("distance") <= (1 - least) * 1e6).select("query_id", item, "distance")
 
 

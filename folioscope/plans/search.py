@@ -52,11 +52,11 @@ def _asked(spark, sf):
 
 
 def knn_topk(spark, sf):
-    return ops.knn(_vectors(spark, sf), _asked(spark, sf), 4)
+    return ops.knn_blocks(_vectors(spark, sf), _asked(spark, sf), 4)
 
 
 def knn_threshold(spark, sf):
-    return ops.knn(_vectors(spark, sf), _asked(spark, sf), 12, threshold=0.45)
+    return ops.knn_blocks(_vectors(spark, sf), _asked(spark, sf), 12, threshold=0.45)
 
 
 def semantic_cache_lookup(spark, sf):
@@ -79,7 +79,7 @@ def hybrid_search(spark, sf):
     """Dense and lexical hits of each question fused; question i takes vector i, document i has vector i."""
     lexical = _bm25(spark, sf, 12).select("query_id", "doc_id", F.lit(1).alias("list_no"), "rank", F.lit(0.7).alias("weight"))
     asked = _vectors(spark, sf).join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
-    dense = ops.knn(_vectors(spark, sf), asked, 12, threshold=0.9).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0).alias("list_no"), "rank", F.lit(1.0).alias("weight"))
+    dense = ops.knn_blocks(_vectors(spark, sf), asked, 12, threshold=0.9).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0).alias("list_no"), "rank", F.lit(1.0).alias("weight"))
     return ops.rrf(dense.unionByName(lexical), 4)
 
 

@@ -77,6 +77,17 @@ def test_knn_refuses_an_unbounded_batch(spark, monkeypatch):
         search.knn(rows, rows.withColumnRenamed("vec_id", "query_id"), 1)
 
 
+def test_knn_blocks_answer_every_query(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(25)], "vec_id int, embedding array<double>")
+    asked = rows.withColumnRenamed("vec_id", "query_id")
+    whole = search.knn(rows, asked, 3).collect()
+    monkeypatch.setattr(search, "MAX_QUERIES", 7)
+    assert len(whole) == 75 and sorted(search.knn_blocks(rows, asked, 3).collect()) == sorted(whole)
+    near = search.similar_cached(rows, rows, 0.0).collect()
+    assert {r["query_id"] for r in near} == set(range(25))
+
+
 def test_fidelity_is_symmetric_and_ignores_order(spark):
     df = spark.createDataFrame([(1, "a) 3,5 y 2", "2 luego a) 3.5"), (2, "1. uno\n2. dos", "2. dos\n1. uno"), (3, "(C) 7", "7")], "id int, a string, b string")
     got = {r["id"]: r["same"] for r in df.select("id", (language.fidelity_tokens(F.col("a")) == language.fidelity_tokens(F.col("b"))).alias("same")).collect()}
