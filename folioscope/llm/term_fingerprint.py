@@ -5,14 +5,15 @@ documents lies in a band, that is, whose inverse document frequency does.  As ea
 at least ``least`` of the documents, it has at most (mean distinct terms of a document) / ``least``
 terms, however large the corpus is, and can be broadcast.  A document's distinct terms in the lexicon
 are sorted and hashed once for each of several randomised lexicon subsets, whose chances differ so
-that short and long documents both have subsets with a few of their terms.  The likeness of two
-fingerprints is the share of equal hashes among the subsets that hold a term of either.
+that short and long documents both have subsets with a few of their terms.  With them goes the
+smallest hash of all of its terms in each of 16 subsets, so that documents whose terms are outside the band, as those of a group of
+copies that makes up more of the corpus than the band allows, keep what they have in common.  The
+likeness of two fingerprints is the share of equal hashes among the subsets that hold a term of either.
 
 Documents are put in ranges of their ids, so that each has its follower beside it and the text is
 shuffled once; the last of a range takes the first of the next.  All steps are DataFrame functions.
 
-Defined results: a null text is empty; without a term in the lexicon a document has the hash of all
-its distinct terms in place of every subset (likeness 1 to an equal one, else 0); documents with the
+Defined results: a null text is empty; two documents without a term have likeness 1; documents with the
 same id follow each other by text; a null id counts as the smallest; a single document is followed by
 itself; an empty table gives an empty table; only the id and text columns are read, so other columns
 cannot clash.
@@ -29,6 +30,8 @@ from folioscope.llm._common import checkpoint, conf_int, table, text_column
 LEAST, MOST = 0.001, 0.05
 #: One in so many terms of the lexicon is in the subset.
 CHANCES = (2, 2, 4, 4, 8, 8, 16, 16, 32, 32, 64, 64, 128, 128, 256, 256)
+#: Subsets of a document's own terms.
+OWN = 16
 _SPLIT = r"[\x00-\x20!-/:-@\[-`{-\x7F]+"
 
 
@@ -77,14 +80,26 @@ def with_follower(docs: DataFrame) -> DataFrame:
 _NONE = "00000000"
 
 
+def _short(hashes: Column) -> Column:
+    return F.substring(F.lpad(F.hex(F.xxhash64(hashes)), 16, "0"), 1, 8)
+
+
+def with_own(df: DataFrame) -> DataFrame:
+    """``rest``: the 8-digit hash of the least of all ``_terms`` in each of ``OWN`` subsets that part them, joined."""
+    hashes = F.transform(F.array_remove("_terms", ""), lambda t: F.xxhash64(t))
+    # The least of a subset is nearly always among these; if not, the subset counts as without a term.
+    df = df.withColumn("_own", F.slice(F.sort_array(hashes), 1, 4 * OWN))
+    least = [F.array_min(F.filter("_own", lambda h: F.pmod(h, F.lit(OWN)) == i)) for i in range(OWN)]  # noqa: B023
+    return df.withColumn("rest", F.concat_ws(".", *(_short(x) for x in least))).drop("_own")
+
+
 def fingerprint(found: Column, rest: Column) -> Column:
-    """One 8-digit hash for each subset of the sorted terms (``_NONE`` without a term), joined; ``rest`` in place of all if no term was found."""
+    """One 8-digit hash for each subset of the sorted terms (``_NONE`` without a term), joined, and ``rest``."""
 
     def one(i: int) -> Column:
-        own = F.transform(F.filter(found, lambda t: F.getbit(t["mask"], F.lit(i)) == 1), lambda t: t["hash"])
-        return F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 1, 8)
+        return _short(F.transform(F.filter(found, lambda t: F.getbit(t["mask"], F.lit(i)) == 1), lambda t: t["hash"]))
 
-    return F.when(F.size(found) == 0, F.concat(F.lit("="), F.lpad(F.hex(rest), 16, "0"))).otherwise(F.concat_ws(".", *(one(i) for i in range(len(CHANCES)))))
+    return F.concat_ws(".", *(one(i) for i in range(len(CHANCES))), rest)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -103,13 +118,15 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     keys = ["part", "place"]
     once = ["doc_id", "next_part", "next_place", "n_chars", "edited_sha256"]
-    pairs = (
+    cut_up = (
         with_follower(own)
         .withColumn("edited", edited)
         .withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
         .select(*keys, *once, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("_x"))
         .select(*keys, *once, F.col("_x.kind").alias("kind"), terms(F.col("_x.text")).alias("_terms"))
-        .select(*keys, *once, "kind", "_terms", F.xxhash64(F.sort_array("_terms")).alias("rest"))
+    )
+    pairs = (
+        with_own(cut_up)
         .select(*keys, *once, "kind", "rest", F.explode("_terms").alias("term"))
         .join(known, "term")
         # What belongs to the document goes with its empty term alone, so that the other rows stay narrow.

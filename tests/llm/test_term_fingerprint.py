@@ -25,6 +25,18 @@ def test_edits_stay_nearer_than_followers(spark, sf):
     assert sum(r["near_edited"] for r in rows) > 2 * sum(r["near_next"] for r in rows)
 
 
+def test_a_group_larger_than_the_band_stays_alike(spark):
+    words = [f"common{i}" for i in range(90)]
+    near = [" ".join([*words[: i % 90], f"edit{i}", *words[i % 90 + 1 :]]) for i in range(80)]
+    other = [" ".join(f"word{(7 * i + j * j) % 997}" for j in range(60)) for i in range(120)]
+    got = {r["doc_id"]: r for r in document_fingerprints(documents(spark, near + other)).collect()}
+    alike = [sum(got[i][c] > 0 for i in range(1, 80)) for c in ("near_next", "near_edited")]
+    assert min(alike) > 60, alike
+    # Terms that are all below the band.
+    lone = {r["doc_id"]: r for r in document_fingerprints(documents(spark, [" ".join(f"t{i}x{j}" for j in range(50)) for i in range(40)])).collect()}
+    assert sum(r["near_edited"] > 0 for r in lone.values()) > 30 and all(r["near_next"] == 0 for r in lone.values())
+
+
 def test_single_repeated_null_and_empty(spark):
     one = document_fingerprints(documents(spark, [(5, "alpha beta")])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
