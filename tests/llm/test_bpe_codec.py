@@ -2,10 +2,12 @@ import hashlib
 import random
 from array import array
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from folioscope.llm.bpe_codec import Codec, Decoder, bpe_tokens, default_path
+from folioscope.llm import bpe_codec
+from folioscope.llm.bpe_codec import Codec, Decoder, MergeTransducer, Run, bpe_tokens, default_path, digests
 from tests.llm.helpers import documents, texts
 
 
@@ -21,7 +23,7 @@ def inputs():
     rng = random.Random(6)
     odd = ["a" * 700, "İstanbul ΑΣ ς", "<|endoftext|>a<|startoftext|><|x", "it's we'll'd 'Str x\x1cy\x85z", "１２ ½ ²x٣ \U0001f600\U0001d7d8", "e\u0301 한국어 नमस्ते", "\u00a0\u3000 \u2028x", "___--__", "'" * 70]
     runs = ["".join(rng.choice(["th", "in", "er", "on", "a", "b", "ing", "é", "ß", "漢"]) for _ in range(rng.randint(30, 600))) for _ in range(60)]
-    return texts(n=10) + odd + runs + [("word " * 70_000) + "end"]
+    return texts(n=10) + odd + runs + [("word " * 70_000) + "end", "thing" * 60_000, "-'x" * 40_000, "é" * 150_000]
 
 
 def test_same_as_the_library(spark, library):
@@ -33,27 +35,46 @@ def test_same_as_the_library(spark, library):
         assert got[i] == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), t[:40]
 
 
-def test_stream_holds_a_bounded_window_and_equals_the_merge():
+def test_run_holds_a_bounded_window_and_equals_the_merge():
     t = Codec(default_path()).transducer
     rng = random.Random(8)
-    for _ in range(40):
-        symbols = t.symbols("".join(rng.choice("abcdefghinorstu") for _ in range(rng.randint(1, 300))).encode())
-        assert list(t.stream(symbols)) == t.merge(symbols)
-    held = 0
-
-    def endless():
-        nonlocal held
-        for s in t.symbols(b"thinging" * 5000):
-            held += 1
-            yield s
-
-    stream, most, emitted = t.stream(endless()), 0, 0
-    for token in stream:
-        emitted += len(t._spell[token])
-        most = max(most, held - emitted)
+    for _ in range(60):
+        word = "".join(rng.choice("abcdefghinorstué") for _ in range(rng.randint(1, 300))).encode()
+        assert t.encode(word) == t.merge(t.symbols(word))
+    words = ["".join(rng.choice(["a", "b", "th", "in", "é", "ing", "\u6f22", "'", "aa"]) for _ in range(rng.randint(0, 12))).encode() for _ in range(3000)]
+    assert [list(array("I", x)) for x in t.encode_many(words)] == [t.merge(t.symbols(w)) for w in words]
+    pairs = rng.choices(sorted(t.spell), k=4000)
+    fits = t.fits_many(np.array(pairs[::2]), np.array(pairs[1::2])).tolist()
+    assert t.regular and fits == [t.fits(a, b) for a, b in zip(pairs[::2], pairs[1::2], strict=True)]
+    run, most, emitted = Run(t), 0, 0
+    for _ in range(5000):
+        emitted += sum(len(t.spell[i]) for i in run.push(b"thinging"))
+        most = max(most, len(run.window))
+    emitted += sum(len(t.spell[i]) for i in run.finish())
     assert emitted == 40_000 and most < 12 * t.lookahead()
 
 
+def test_windows_do_not_show(library, monkeypatch):
+    """Tiny windows over texts without white space, with marks, quotes and letters of many scripts at every cut."""
+    monkeypatch.setattr(bpe_codec, "CHUNK", 8)
+    codec, rng = Codec(default_path()), random.Random(9)
+    alphabet = ["a", "b", "'s", "'", "'ll", "--", "é", "e\u0301", "漢", "9", " ", "한", "\u1112\u1161\u11ab", "Σ", "n\u0303\u0323", "\U0001f600", "x" * 30, "-" * 30]
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60)))
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_the_query_goes_through_the_transducer_and_the_decoder(monkeypatch):
+    codec, pushed, fed = Codec(default_path()), [], []
+    push, feed = Run.push, Decoder.feed
+    monkeypatch.setattr(Run, "push", lambda self, more: (pushed.append(bytes(more)), push(self, more))[1])
+    monkeypatch.setattr(Decoder, "feed", lambda self, ids: (fed.append(len(ids)), feed(self, ids))[1])
+    many, encode = [], MergeTransducer.encode_many
+    monkeypatch.setattr(MergeTransducer, "encode_many", lambda self, words: (many.extend(words), encode(self, words))[1])
+    digest = digests(codec, ["the cat <|endoftext|> sat " + "x" * 40, "the"])
+    assert sorted(many) == [b"cat", b"sat", b"the"] and pushed == [b"x" * 40] and sum(fed) == digest[0][0] + digest[1][0]
+
+
 def test_decoder_is_incremental():
     codec = Codec(default_path())
     ids = codec.encode("Héllo wörld \U0001f600 it's")
