@@ -34,9 +34,9 @@ def any_case(pattern: str) -> str:
 
 
 def clean_text(text: Column) -> Column:
-    """Line ends to LF, tabs and runs of spaces to one space, at most one blank line, no space around line ends."""
+    """Line ends to LF, tabs, form feeds, vertical tabs and runs of spaces to one space, at most one blank line, no space around line ends."""
     out = F.regexp_replace(text, r"\r\n?", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, "\t", " "), r"\n{3,}", "\n\n")
+    out = F.regexp_replace(F.regexp_replace(out, r"[\t\f\x0B]", " "), r"\n{3,}", "\n\n")
     out = F.regexp_replace(F.regexp_replace(out, " {2,}", " "), r" ?\n ?", "\n")
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
@@ -102,11 +102,27 @@ def table_anchor(line: Column) -> Column:
     return F.when(F.rlike(line, F.lit(pattern)), found)
 
 
-def struct_refs(text: Column) -> Column:
-    """Up to three cited parts as ``KIND number``, letters of the number in upper case."""
+#: The kinds of cited parts as they are written with their accents.
+ACCENTED = (("ARTICULO", "ARTÍCULO"), ("SECCION", "SECCIÓN"), ("CAPITULO", "CAPÍTULO"))
+
+
+def all_refs(text: Column) -> Column:
+    """Cited parts as ``KIND number``, the kind accented and all letters in upper case, however they are written."""
     kinds = F.regexp_extract_all(text, F.lit(any_case(STRUCT_REF)), F.lit(1))
     numbers = F.regexp_extract_all(text, F.lit(any_case(STRUCT_REF)), F.lit(2))
-    return F.slice(F.zip_with(kinds, numbers, lambda k, n: F.concat_ws(" ", F.upper(k), F.upper(n))), 1, 3)
+
+    def kind(k: Column) -> Column:
+        out = F.upper(k)
+        for plain, accented in ACCENTED:
+            out = F.when(F.upper(k) == plain, accented).otherwise(out)
+        return out
+
+    return F.zip_with(kinds, numbers, lambda k, n: F.concat_ws(" ", kind(k), F.upper(n)))
+
+
+def struct_refs(text: Column) -> Column:
+    """Up to three cited parts."""
+    return F.slice(all_refs(text), 1, 3)
 
 
 def spellings(reference: Column) -> Column:

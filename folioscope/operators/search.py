@@ -6,15 +6,18 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import tokens
+from folioscope.functions.text import all_refs, struct_refs, tokens
+from folioscope.operators.lexical_index import LexicalIndex
 
-K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
 MAX_QUERIES = 20_000
+#: Distances that a task holds at a time.
+BLOCK = 2_000_000
 
 
 def scaled(value: Column) -> Column:
@@ -29,18 +32,14 @@ def ranked(df: DataFrame, key: str, order: list[Column], name: str = "rank") ->
 def bm25(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
     """query, doc, score and rank of the best k documents with a positive score.
 
-    Postings are pre-aggregated before the shuffle; only terms that a query has are joined, and the
-    corpus statistics are one row.
+    Document frequencies of all terms are counted with one row for each term and task; postings are made
+    only of terms that a question has.
     """
-    cut = docs.select(doc, tokens(F.col("text")).alias("_t")).select(doc, "_t", F.size("_t").alias("size"))
-    postings = cut.select(doc, "size", F.explode("_t").alias("term")).groupBy(doc, "size", "term").agg(F.count("*").alias("tf"))
-    totals = cut.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean_idf = df.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select(query, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-    weights = df.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean_idf)).select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "mean")
-    part = postings.join(weights, "term").withColumn("_part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))))
-    scores = part.join(asked, "term").groupBy(query, doc).agg(F.sum(F.col("_part") * F.col("times")).alias("score"))
+    only = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    return best(LexicalIndex.build(docs, doc, only).scores(queries, doc, query), k, doc, query)
+
+
+def best(scores: DataFrame, k: int, doc: str = "doc_id", query: str = "query_id") -> DataFrame:
     top = ranked(scores.withColumn("score", scaled(F.col("score"))), query, [F.col("score").desc(), F.col(doc)])
     return top.where((F.col("rank") <= k) & (F.col("score") > 0))
 
@@ -54,16 +53,18 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int, threshold: float | Non
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), matrix.shape[1]))  # null or ragged vectors are near nothing
             own = batch.column(0).to_numpy()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            for a in range(0, len(own), 2048):
-                rows = flat[a : a + 2048]
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+            step = max(1, BLOCK // len(ids))
+            for a in range(0, len(own), step):
+                rows = flat[a : a + step]
                 size = np.outer(norms, np.sqrt((rows**2).sum(axis=1)))
                 cosine = np.divide(matrix @ rows.T, size, out=np.zeros_like(size), where=size > 0)
                 distance = np.floor((1 - cosine) * 1e6 + 0.5)
                 if threshold is not None:
                     distance[distance > threshold * 1e6] = np.inf
-                every, names = np.concatenate([best, distance], axis=1), np.concatenate([best_id, np.broadcast_to(own[a : a + 2048], distance.shape)], axis=1)
+                every, names = np.concatenate([best, distance], axis=1), np.concatenate([best_id, np.broadcast_to(own[a : a + step], distance.shape)], axis=1)
                 order = np.lexsort((names, every), axis=1)[:, :k]
                 best, best_id = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
         keep = np.isfinite(best)
@@ -78,6 +79,8 @@ def _asked(queries: DataFrame, query: str, vector: str) -> DataFrame:
 
 def _found(items: DataFrame, asked: list, k: int, item: str, query: str, vector: str, threshold: float | None) -> DataFrame:
     """query, item and distance of the k best rows of every task for each of the (id, vector) rows in ``asked``."""
+    width = max((len(r[1]) for r in asked if r[1] is not None), default=0)
+    asked = [r for r in asked if r[1] is not None and len(r[1]) == width and None not in r[1]]
     ids = np.array([r[0] for r in asked], dtype=np.int64)
     matrix = np.array([r[1] for r in asked], dtype=np.float64).reshape(len(ids), -1 if len(ids) else 0)
     step = _nearest(ids, matrix, k, threshold, [query, item, "distance"])
@@ -119,6 +122,38 @@ def rrf(lists: DataFrame, k: int, query: str = "query_id", key: str = "doc_id")
     return ranked(sums, query, [F.col("fused").desc(), F.col("_first"), F.col(key)]).where(F.col("rank") <= k).drop("_first")
 
 
+def cited_nearest(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, items: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """query, doc, distance and rank of the k nearest among the chunks that cite a part that the question names.
+
+    A chunk also cites the parts whose number its own begins with, as a search for the words would find it.
+    References are joined as keys; only the vectors of such pairs are compared.
+    """
+    numbers = F.expr("explode(transform(sequence(1, length(substring_index(r, ' ', -1))), n -> concat(substring_index(r, ' ', 1), ' ', substring(substring_index(r, ' ', -1), 1, n))))")
+    held = chunks.select(doc, F.explode(F.array_distinct(all_refs(F.col("text")))).alias("r")).select(doc, numbers.alias("reference")).distinct()
+    named = questions.select(query, F.explode(struct_refs(F.col("question"))).alias("reference")).distinct()
+    pairs = named.join(held, "reference").select(query, doc).distinct()
+    both = pairs.join(vectors.select(query, F.col("embedding").cast("array<double>").alias("_a")), query).join(items.select(doc, F.col("embedding").cast("array<double>").alias("_b")), doc)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    size = F.sqrt(dot(F.col("_a"), F.col("_a"))) * F.sqrt(dot(F.col("_b"), F.col("_b")))
+    near = both.select(query, doc, scaled(1 - F.coalesce(F.try_divide(dot(F.col("_a"), F.col("_b")), size), F.lit(0.0))).alias("distance"))
+    return ranked(near, query, [F.col("distance"), F.col(doc)]).where(F.col("rank") <= k)
+
+
+def fused_hits(lists: DataFrame, k: int, query: str = "query_id", key: str = "doc_id", lexical: int = 1) -> DataFrame:
+    """The k best of (query, key, list_no, rank, weight, score) rows, fused by rank, with the list and score of the hit that stands for each.
+
+    A hit with a distance stands before a lexical one, the last list's first.  A question with one list
+    keeps that list's order (``fused`` is minus the rank).
+    """
+    alone = F.size(F.collect_set("list_no").over(W.partitionBy(query))) == 1
+    rows = lists.withColumn("_alone", alone)
+    shown = F.max(F.struct((F.col("list_no") != lexical).alias("_near"), "list_no", "score")).alias("_hit")
+    sums = rows.groupBy(query, key).agg(F.max("_alone").alias("_alone"), F.min("rank").alias("_rank"), F.sum(F.col("weight") / (RRF_K + F.col("rank"))).alias("_sum"), F.min(F.struct("list_no", "rank")).alias("_first"), shown)
+    fused = F.when(F.col("_alone"), -F.col("_rank")).otherwise(F.floor(F.col("_sum") * 1e5 + 0.5)).cast("long")
+    top = ranked(sums.withColumn("fused", fused), query, [F.col("fused").desc(), F.col("_first"), F.col(key)])
+    return top.where(F.col("rank") <= k).select(query, key, "fused", F.col("_hit.list_no").alias("list_no"), F.col("_hit.score").cast("long").alias("score"), "rank")
+
+
 def dedupe_hits(hits: DataFrame, query: str = "query_id") -> DataFrame:
     """The best hit (smallest score, none last, first on a tie) of each (query, source, page), in order of appearance."""
     score = F.coalesce(F.col("score"), F.lit(float("inf")))

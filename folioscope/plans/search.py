@@ -109,7 +109,7 @@ def golden_recall(spark, sf):
     return asked.join(hit, "query_id", "left").agg(F.count("*").alias("n_queries"), ops.scaled(F.avg(F.coalesce("hit", F.lit(0)))).alias("recall"))
 
 
-TEXTS = "(1, 'La TABLA 220.55 fija la carga'), (2, 'Segun el ARTICULO 12 y la Seccion 3.2'), (3, 'Tabla 220.55 y anexo general'), (4, 'ANEXO GENERAL de la norma'), (5, 'nada que ver')"
+TEXTS = "(1, 'La TABLA 220.55 fija la carga'), (2, 'Segun el ARTICULO 12 y la Seccion 3.2'), (3, 'Tabla 220.55 y anexo general'), (4, 'ANEXO GENERAL de la norma'), (5, 'nada que ver'), (6, 'El Artículo 12 manda')"
 ASKS = "(1, 'que dice la tabla 220.55'), (2, 'articulo 12 o anexo general'), (3, 'sin referencias')"
 
 
@@ -120,6 +120,19 @@ def struct_ref_search(spark, sf):
     return spelled.join(F.broadcast(inline(spark, TEXTS, "chunk_id, text")), F.expr("contains(text, s)")).select("query_id", "reference", "chunk_id").distinct()
 
 
+def hybrid_three_lists(spark, sf):
+    """Dense, lexical and cited-part lists of each question fused; document i has vector i and cites part i mod 40, question i asks for part i mod 40 and takes vector i."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("segun el articulo "), (F.col("item_id") % 40).cast("string")).alias("question"))
+    vectors = _vectors(spark, sf)
+    own = vectors.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
+    dense = ops.knn_blocks(vectors, own, 12, threshold=0.9).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0).alias("list_no"), "rank", F.lit(1.0).alias("weight"), F.col("distance").alias("score"))
+    lexical = ops.bm25(table(spark, sf, "documents"), asked.select("query_id", "text"), 12).select("query_id", "doc_id", F.lit(1).alias("list_no"), "rank", F.lit(0.7).alias("weight"), "score")
+    chunks = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Artículo "), (F.col("doc_id") % 40).cast("string"), F.lit(". texto")).alias("text"))
+    cited = ops.cited_nearest(asked, own, chunks, vectors.withColumnRenamed("vec_id", "doc_id"), 4)
+    lists = dense.unionByName(lexical).unionByName(cited.select("query_id", "doc_id", F.lit(2).alias("list_no"), "rank", F.lit(1.2).alias("weight"), F.col("distance").alias("score")))
+    return ops.fused_hits(lists, 4)
+
+
 def embedding_cache_miss(spark, sf):
     items = table(spark, sf, "documents").select("doc_id", cache_key(F.lit("model-a"), F.col("text")).alias("k"))
     return cache_misses(items, items.where("doc_id % 2 = 0").select("k").distinct())
@@ -137,6 +150,13 @@ lists AS (SELECT query_id, doc_id, 1 AS list_no, rank, 0.7::DOUBLE AS weight FRO
     "dedupe_hits": f"""WITH h AS (SELECT *, coalesce(score, 'infinity'::DOUBLE) AS s FROM {inline_sql(HITS, _HIT_COLUMNS)}),
 b AS (SELECT query_id, source, page, arg_min(score, s * 1000 + ord) AS x, arg_min(text, row(s, ord)) AS text, min(ord) AS f FROM h GROUP BY ALL)
 SELECT query_id, source, page, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS score, text, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f) AS INT) AS rank FROM b""",
+    "hybrid_three_lists": f"""WITH {_bm25_sql(12)}, {_knn_sql(12, queries="vec_id IN (SELECT item_id FROM benchmark)", where='distance <= 900000')},
+cited AS (SELECT * FROM (SELECT query_id, vec_id AS doc_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs JOIN documents ON doc_id = vec_id
+  WHERE starts_with((vec_id % 40)::VARCHAR, (query_id % 40)::VARCHAR)) WHERE rank <= 4),
+lists AS (SELECT query_id, doc_id, 1 AS list_no, rank, 0.7::DOUBLE AS weight, score FROM bm25 UNION ALL SELECT query_id, vec_id, 0, rank, 1.0::DOUBLE, distance::BIGINT FROM knn UNION ALL SELECT query_id, doc_id, 2, rank, 1.2::DOUBLE, distance::BIGINT FROM cited),
+n AS (SELECT query_id, count(DISTINCT list_no) AS n FROM lists GROUP BY 1),
+s AS (SELECT query_id, doc_id, CASE WHEN any_value(n) = 1 THEN -min(rank) ELSE CAST(floor(sum(weight / (60 + rank)) * 1e5 + 0.5) AS BIGINT) END AS fused, min(list_no * 100000 + rank) AS f, arg_max(row(list_no, score), row(list_no <> 1, list_no)) AS h FROM lists JOIN n USING (query_id) GROUP BY ALL)
+SELECT query_id, doc_id, fused::BIGINT AS fused, h[1]::INT AS list_no, h[2]::BIGINT AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, f, doc_id) AS INT) AS rank FROM s) WHERE rank <= 4""",
     "page_band_expand": f"""WITH {_bm25_sql(6)}, pages AS (SELECT doc_id // 10 AS doc, doc_id % 10 + 1 AS page, text FROM documents),
 hits AS (SELECT query_id, doc_id // 10 AS doc, doc_id % 10 + 1 AS page, rank AS ord FROM bm25), full_ AS (SELECT * FROM hits JOIN pages USING (doc, page)),
 anchors AS (SELECT * FROM (SELECT query_id, doc, page, row_number() OVER (PARTITION BY query_id ORDER BY min(ord)) AS r FROM full_ GROUP BY query_id, doc, page) WHERE r <= 4),
@@ -145,8 +165,8 @@ new AS (SELECT query_id, text, min(doc * 100 + page) AS dp FROM near n WHERE NOT
 SELECT * FROM (SELECT query_id, dp // 100 AS doc, dp % 100 AS page, CAST(length(text) AS INT) AS n_chars, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dp, text) AS INT) AS rank FROM new) WHERE rank <= 30""",
     "golden_recall": f"""WITH {_bm25_sql(4)}, hit AS (SELECT query_id, max(contains(lower(d.text), lower(b.text))::INT) AS hit FROM bm25 JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) GROUP BY query_id)
 SELECT count(*) AS n_queries, CAST(floor(avg(coalesce(hit, 0)) * 1e6 + 0.5) AS BIGINT) AS recall FROM benchmark LEFT JOIN hit ON item_id = query_id""",
-    "struct_ref_search": f"""SELECT * FROM (VALUES (1, 'TABLA 220.55', 1), (1, 'TABLA 220.55', 3), (2, 'ARTICULO 12', 2), (2, 'ANEXO GENERAL', 4)) t(query_id, reference, chunk_id)
-WHERE (SELECT count(*) FROM {inline_sql(TEXTS, 'chunk_id, text')} x WHERE x.chunk_id = t.chunk_id AND (contains(text, reference) OR contains(text, upper(reference[1]) || lower(substr(reference, 2))))) > 0""",
+    "struct_ref_search": f"""SELECT * FROM (VALUES (1, 'TABLA 220.55', 1), (1, 'TABLA 220.55', 3), (2, 'ARTÍCULO 12', 2), (2, 'ARTÍCULO 12', 6), (2, 'ANEXO GENERAL', 4)) t(query_id, reference, chunk_id)
+WHERE (SELECT count(*) FROM {inline_sql(TEXTS, 'chunk_id, text')} x WHERE x.chunk_id = t.chunk_id AND (contains(strip_accents(text), strip_accents(reference)) OR contains(strip_accents(text), upper(reference[1]) || lower(substr(strip_accents(reference), 2))))) > 0""",
     "embedding_cache_miss": """WITH i AS (SELECT doc_id, sha256('model-a' || chr(0) || text) AS k FROM documents)
 SELECT k, count(*) AS n_uses FROM i WHERE k NOT IN (SELECT k FROM i WHERE doc_id % 2 = 0) GROUP BY k""",
 }

@@ -8,7 +8,7 @@ from folioscope.functions import text as tx
 from folioscope.operators import structure as ops
 from folioscope.sources.tables import inline, inline_sql, lines, table
 
-SPACED = "(1, concat('a', chr(13), chr(10), 'b', chr(9), 'c')), (2, concat('  x  ', chr(10), chr(10), chr(10), chr(10), ' y ')), (3, 'a   b'), (4, concat(chr(10), 'z', chr(10)))"
+SPACED = "(1, concat('a', chr(13), chr(10), 'b', chr(9), 'c')), (2, concat('  x  ', chr(10), chr(10), chr(10), chr(10), ' y ')), (3, 'a   b'), (4, concat(chr(10), 'z', chr(10))), (5, concat('p', chr(12), chr(11), 'q'))"
 LINES = (
     "(1, 1, 0, 'Prologo de la norma'), (1, 1, 1, 'TÍTULO I Disposiciones'), (1, 1, 2, 'CAPÍTULO II Objeto'), (1, 1, 3, 'ARTÍCULO 1. Alcance'), (1, 1, 4, 'texto uno'), "
     "(1, 2, 0, 'Artículo 2° Campo'), (1, 2, 1, 'texto dos'), (1, 2, 2, 'ANEXO GENERAL Notas'), (1, 2, 3, '220.55 Estufas de cocina'), (1, 3, 0, '220.55 12 13 14 15 16'), (1, 3, 1, 'fin'), "
@@ -96,7 +96,7 @@ def greedy_pack(spark, sf):
     return ops.chunks(table(spark, sf, "documents")).select("doc_id", "chunk_id", "n_tokens", F.sha2("text", 256).alias("digest"))
 
 
-_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\t', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\t\f\v]', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _KEY = r"regexp_replace(regexp_replace(lower(trim(line)), '\s+', ' ', 'g'), '\d', '#', 'g')"
 _BOILER = f"""
 l AS (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents),
