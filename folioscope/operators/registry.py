@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,10 +62,18 @@ def publish(df: DataFrame, root: str, version: str, gates: DataFrame) -> str:
         raise ValueError(f"{closed} gates are closed")
     path = f"{root}/{version}"
     df.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([(version, path)], "version string, path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    # Pointers are only ever added, so there is one at all times; the newest holds.
+    pointer = spark.createDataFrame([(version, path)], "version string, path string").withColumn("at", F.current_timestamp())
+    pointer.coalesce(1).write.mode("append").json(f"{root}/pointers")
     return path
 
 
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The version that the newest pointer names."""
+    newest = spark.read.schema("version string, path string, at timestamp").json(f"{root}/pointers").orderBy(F.col("at").desc(), F.col("version").desc()).first()
+    return spark.read.parquet(newest["path"])
+
+
 def replace_source(df: DataFrame, path: str, by: str = "source") -> None:
     """Replace the partitions that ``df`` has rows for, and only those."""
     df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(by).parquet(path)

@@ -43,7 +43,9 @@ def channel_formats(spark, sf):
 
 
 def split_messages(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(markup.messages(F.col("text"), 1000)).alias("part", "text")).select("doc_id", "part", F.length("text").alias("n_chars"))
+    """Messages of every document: all of its characters but white space, and none longer than the limit."""
+    parts = table(spark, sf, "documents").select("doc_id", F.explode(markup.messages(F.col("text"), 1000)).alias("text"))
+    return parts.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("text", r"\s+", ""))).alias("n_letters"), (F.max(F.length("text")) <= 1000).alias("within"))
 
 
 def _questions(spark, sf):
@@ -80,9 +82,10 @@ def embedded_documents(spark, sf):
 
 
 ORACLES = {
+    "split_messages": r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS n_letters, true AS within FROM documents",
     "model_tables": "SELECT * FROM (VALUES (1, 'T', 'a|b', '1,2;3,', false), (2, NULL, 'a|b', '1,2;3,4;5,', true), (3, NULL, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL), (6, NULL, 'a', ';x', false)) t(id, title, headers, rows, repaired)",
     "suggestion_lists": "SELECT * FROM (VALUES (1, 'uno?|dos?|tres?'), (2, 'uno?|dos?'), (3, ''), (4, 'x')) t(id, suggestions)",
     "stream_events": "SELECT '3' AS id",
     "channel_formats": "SELECT id, replace(text, '\\n', chr(10)) AS text, format FROM (VALUES (1, '<b>Título</b>\\n<b>negrita</b> y <i>cursiva</i> con <code>x&lt;y</code>\\n• uno\\n• dos', 'telegram_html'), (2, 'a <b>b</b> c &lt;600V &amp; más', 'telegram_html'), (3, '<pre>1 | 2</pre>\\n<pre>a &lt; b</pre>', 'telegram_html'), (4, 'ver <a href=\"https://x.org/?a=1&amp;b=2\">guía</a>', 'telegram_html'), (5, '```t``` <x> y', 'whatsapp_text'), (6, '<p>uno</p>\\n<p>dos<br>tres</p>', 'web_html'), (7, '<b>', 'plain_text')) t(id, text, format)",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "split_messages", "answer_batch", "prompt_batch", "broadened_search", "embedded_documents"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "answer_batch", "prompt_batch", "broadened_search", "embedded_documents"]}

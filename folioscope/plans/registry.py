@@ -161,6 +161,8 @@ SELECT ref, table_id, state, CASE fit WHEN 3 THEN 'exact' WHEN 2 THEN 'stored_ex
 FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY fit DESC, s DESC, length(i) DESC, ord) AS n FROM m) WHERE n = 1"""
 
 ORACLES = {
+    "retrieval_stats": """WITH pairs AS (SELECT q.vec_id AS query_id, i.vec_id, CAST(floor((1 - list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[])) * 1e6 + 0.5) AS BIGINT) AS distance FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs WHERE distance <= 450000) WHERE rank <= 12) SELECT query_id, min(distance) AS best, max(distance) AS worst, count(*) AS n FROM near GROUP BY query_id""",
     "upsert_merge": """WITH o AS (SELECT doc_id, quality::INT AS quality, toxic::INT AS toxic FROM labels WHERE doc_id % 2 = 0), n AS (SELECT doc_id, (1 - quality)::INT AS quality FROM labels WHERE doc_id % 3 = 0)
 SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality, coalesce(o.toxic, 9) AS toxic FROM o FULL JOIN n ON o.doc_id = n.doc_id""",
     "count_by_state": f"SELECT state, count(*) AS n FROM {inline_sql(TABLES, 'ord, doc_id, table_id, state')} GROUP BY state",
@@ -185,4 +187,4 @@ WHEN vis IS NOT NULL THEN CASE WHEN truncated THEN 'revision' ELSE 'extraida' EN
     "recent_files": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200",
     "alias_resolve": "SELECT * FROM (VALUES (1, 'ce'), (2, 'rt'), (3, NULL), (4, 'rt')) t(id, doc_id)",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "grid_text", "retrieval_stats"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "grid_text"]}

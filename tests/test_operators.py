@@ -114,7 +114,9 @@ def test_publication_is_gated_and_versioned(spark, tmp_path):
     with pytest.raises(ValueError):
         registry.publish(df, str(tmp_path), "v1", gates.withColumn("ok", F.lit(False)))
     path = registry.publish(df, str(tmp_path), "v1", gates)
-    assert spark.read.json(f"{tmp_path}/current").first()["path"] == path and spark.read.parquet(path).count() == 3
+    assert registry.published(spark, str(tmp_path)).count() == 3
+    registry.publish(spark.range(5), str(tmp_path), "v2", gates)
+    assert registry.published(spark, str(tmp_path)).count() == 5 and spark.read.parquet(path).count() == 3
     files = src.listing(spark, path, "*.parquet")
     again = registry.upload_plan(files.select(F.col("name").alias("key"), "size"), files.select(F.col("name").alias("key"), "size"))
     assert {r["action"] for r in again.collect()} == {"skip"}
