@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +34,44 @@ def lower_ascii(column):
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """Cut the lineage through the shared folder in spark.checkpoint.dir.
+
+    Where it is unset, as in tests, a local session gets a folder of its own, which goes with the process;
+    a cluster has to name one, as its executors share no local folder.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="folioscope-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    with passing_shuffles(spark):
+        return df.select("*").checkpoint(eager=True)
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Frames made in here drop their shuffle files as soon as they have run, so that the steps of a long job don't add up on disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # read when a DataFrame is made
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A checkpoint in partitions of about so many rows, so that small tables between steps don't cost a task for each shuffle partition."""
+    out = checkpoint(df)
+    return out.coalesce(1 + out.count() // rows)
 
 
 def map_text(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType, column: str = "text", budget: int = 2 << 20) -> DataFrame:

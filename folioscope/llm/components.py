@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import checkpoint
+from folioscope.llm._common import compact
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,14 +14,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     A large star links every larger neighbour of a node to the smallest one around it, a small star the
     smaller ones.  Edges are aggregated before each shuffle, so a hub costs its edges once.
     """
-    links = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = compact(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v")
-        new = checkpoint(small.distinct())
+        new = compact(small.distinct())
         same = new.count() == links.count() and new.join(links, ["u", "v"], "left_anti").isEmpty()
         links = new
         if same:
