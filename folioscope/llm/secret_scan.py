@@ -7,9 +7,14 @@ the ledger lacks, each once however many paths carry the blob, and joins finding
 The span of a match comes from lengths: ``split`` gives the gaps between the matches that
 ``regexp_extract_all`` gives, both leftmost and non-overlapping.  All steps are DataFrame functions.
 
+The ledger can be a table at a path (``scan_incrementally``); a run appends what it has scanned, a text's
+older versions stay in it, and a new rule version is scanned anew.
+
 Defined results: a null text is the empty blob without findings; repeated rows give repeated results;
-an empty table gives an empty table; only the id and text columns are read, so other columns cannot
-clash; positions are code points, the end exclusive, in the whole text.
+spans that start at one place come in the order of the kinds; a very long or very rich text is scanned
+whole, in time that does not grow with the square of its findings; an empty table gives an empty table;
+paths are carried in a struct of their own, so other columns cannot clash; positions are code points, the
+end exclusive, in the whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import table, text_column
+from folioscope.llm._common import checkpoint, table, text_column
 
 RULE_VERSION = "2"
 
@@ -53,20 +58,46 @@ MORE = (
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+_RUN = 64
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, fold) -> Column:
+    """``fold`` of all values before each place of an array: over whole runs of places first, so that it isn't quadratic."""
+
+    def folded(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda c: fold(F.slice(v, c * _RUN + 1, _RUN)))
+        at = lambda i: F.floor(i / _RUN).cast("int")
+        return _let(runs, lambda r: F.transform(v, lambda _, i: fold(F.array(fold(F.slice(r, F.lit(1), at(i))), fold(F.slice(v, at(i) * _RUN + 1, i % _RUN))))))
+
+    return _let(values, folded)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda s, x: s + x)
+
+
+def _most(values: Column) -> Column:
+    return F.coalesce(F.array_max(values), F.lit(0))
+
+
 def _spans(text: Column, rank: int, rule: Rule) -> Column:
     gaps, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     body = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     nothing = F.array().cast(_SPANS)
+    zipped = F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), body.alias("body")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["body"]).alias("body")))
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["body"]) >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def placed(z: Column) -> Column:
+        before = _before(F.transform(z, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))), _sum)
+        rows = F.transform(F.arrays_zip(z.alias("z"), before.alias("at")), lambda x: F.struct((x["at"] + x["z"]["gap"]).alias("start"), x["z"]["hit"].alias("hit"), x["z"]["body"].alias("body")))
+        kept = F.filter(rows, lambda x: x["body"] >= rule.least)  # the gap after the last hit has none
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (x["start"] + x["hit"]).alias("end")))
 
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), body.alias("body"))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), nothing.alias("out")), add, lambda state: state["out"])
-    return F.when(F.rlike(text, F.lit(rule.hint or rule.pattern)), found).otherwise(nothing)
+    return F.when(F.rlike(text, F.lit(rule.hint or rule.pattern)), _let(zipped, placed)).otherwise(nothing)
 
 
 def blob_of(text: Column) -> Column:
@@ -83,11 +114,42 @@ def new_findings(docs: DataFrame, ledger: DataFrame | None = None, rules=BASE +
     return blobs.select("blob", F.lit(version).alias("rule_version"), spans.alias("spans"))
 
 
-def with_findings(docs: DataFrame, ledger: DataFrame, keep: list[str], version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every path, and its blob's ``spans``."""
-    own = docs.withColumn("_blob", blob_of(text_column(text_col))).select("_blob", *keep)
-    known = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    return own.join(known, "_blob", "left").withColumn("spans", F.coalesce("_spans", F.array().cast(_SPANS))).drop("_blob", "_spans")
+#: Rows of the ledger with findings that may be broadcast, and bytes of their spans.
+SMALL, SMALL_BYTES = 100_000, 8 << 20
+
+
+def with_findings(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
+    """``row``, a struct of all columns of every path, and its blob's ``spans``.
+
+    Only blobs with findings are joined.  They are broadcast if they are few and small, which is checked;
+    else the join is by blob, and paths of one blob can be split over tasks.
+    """
+    known = checkpoint(ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans"))
+    size = known.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("s")).first()
+    few = size["n"] <= SMALL and 128 * (size["s"] or 0) + 128 * size["n"] <= SMALL_BYTES
+    paths = docs.select(F.struct("*").alias("row"), blob_of(text_column(text_col)).alias("blob"))
+    return paths.join(F.broadcast(known) if few else known, "blob", "left").select("row", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+
+
+def append_ledger(new: DataFrame, path: str) -> None:
+    """Add scanned (blob, rule_version, spans) rows to the ledger stored at ``path``; a repeated append of the same rows does no harm."""
+    new.write.mode("append").partitionBy("rule_version").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored ledger, each (blob, rule version) once; None where there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    schema = f"blob string, spans {_SPANS}, rule_version string"
+    return spark.read.schema(schema).parquet(path).dropDuplicates(["blob", "rule_version"])
+
+
+def scan_incrementally(docs: DataFrame, path: str, rules=None, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``secret_scan`` with the ledger stored at ``path``: scans the unseen (blob, rule version) pairs, appends them, and joins findings back to all paths."""
+    spark = docs.sparkSession
+    append_ledger(new_findings(docs, read_ledger(spark, path), rules or BASE + MORE, version, text_col), path)
+    return _report(docs, read_ledger(spark, path), version, id_col, text_col)
 
 
 def joined(spans: Column) -> Column:
@@ -97,10 +159,14 @@ def joined(spans: Column) -> Column:
 def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
     new = new_findings(docs, ledger, text_col=text_col)
-    rows = with_findings(docs, new if ledger is None else ledger.select(*new.columns).unionByName(new), [id_col], text_col=text_col)
+    return _report(docs, new if ledger is None else ledger.select(*new.columns).unionByName(new), RULE_VERSION, id_col, text_col)
+
+
+def _report(docs: DataFrame, ledger: DataFrame, version: str, id_col: str, text_col: str) -> DataFrame:
+    rows = with_findings(docs.select(id_col, text_col), ledger, version, text_col)
     count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     return rows.select(
-        id_col,
+        F.col(f"row.{id_col}").alias(id_col),
         *(count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)),
         F.sha2(joined(F.filter("spans", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
@@ -109,14 +175,12 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span, overlaps merged, replaced by ``mark``."""
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(state["out"]).alias("out"))
-
-    done = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done))
+    ends = F.transform(spans, lambda s: s["end"])
+    # A span that starts before the end of an earlier one goes on with what is covered already.
+    fresh = F.filter(F.arrays_zip(F.transform(spans, lambda s: s["start"]).alias("start"), _before(ends, _most).alias("from")), lambda s: s["start"] >= s["from"])
+    pieces = F.transform(fresh, lambda s: F.substring(text, s["from"] + 1, s["start"] - s["from"]))
+    rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.concat(pieces, F.array(rest)), mark))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

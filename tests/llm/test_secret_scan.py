@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from folioscope.llm.secret_scan import new_findings, redacted, secret_scan, with_findings
+from folioscope.llm.secret_scan import new_findings, redacted, scan_incrementally, secret_scan, with_findings
 from tests.llm.helpers import documents
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -45,7 +45,28 @@ def test_ledger_is_incremental(spark):
 
 def test_redaction_and_empty(spark):
     docs = documents(spark, TEXTS)
-    found = with_findings(docs, new_findings(docs), ["doc_id", "text"]).select("doc_id", redacted(F.coalesce("text", F.lit("")), F.col("spans")).alias("t"))
+    found = with_findings(docs, new_findings(docs)).select("row.doc_id", redacted(F.coalesce("row.text", F.lit("")), F.col("spans")).alias("t"))
     texts = {r["doc_id"]: r["t"] for r in found.collect()}
     assert texts[8] == "[secret] 0123456789abcdef0123456" and texts[2] == "nothing" and "hunter2" not in texts[5]
     assert secret_scan(docs.limit(0)).collect() == []
+
+
+def test_stored_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first, more = documents(spark, TEXTS), documents(spark, [*TEXTS, "token=fresh123", TEXTS[5]])
+    assert sorted(map(tuple, scan_incrementally(first, path).collect())) == sorted(map(tuple, secret_scan(first).collect()))
+    seen = spark.read.parquet(path).count()
+    assert sorted(map(tuple, scan_incrementally(more, path).collect())) == sorted(map(tuple, secret_scan(more).collect()))
+    assert spark.read.parquet(path).count() == seen + 1
+    scan_incrementally(first, path, version="next").count()
+    assert spark.read.parquet(path).where("rule_version = 'next'").count() == seen
+
+
+def test_a_text_full_of_findings(spark):
+    text = "x" + " token=abcdefgh AKIA" + "Z" * 16 + " é"
+    text = text * 700
+    row = secret_scan(documents(spark, [text, text])).collect()[0]
+    *expect, base = brute(text)
+    assert tuple(row)[1:5] == tuple(expect) and row["n_assign"] == 700
+    got = with_findings(documents(spark, [text]), new_findings(documents(spark, [text]))).select(redacted(F.col("row.text"), F.col("spans")).alias("t")).collect()[0]["t"]
+    assert got == ("x [secret] [secret] é" * 700)
