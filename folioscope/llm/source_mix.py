@@ -7,12 +7,15 @@ to the sources that the draw left short, which keeps every source at its target.
 takes block ``permutation(k)``: a swap-or-not shuffle of the block indices, a new one for each pass, so
 that no block is taken more than once in a pass.  Blocks are joined by index.
 
-All steps are DataFrame functions.  The prefix sums that give each document its place in its source
-are taken in two levels over hash buckets, so one source may hold most of the rows.
+All steps are DataFrame functions.  The prefix sums that give each document its place in its source, and
+each shard its first slot, are taken in two levels over buckets whose number follows the rows, so one
+source may hold most of them; slots are dealt out by shard before they are unrolled.
 
 Defined results: a null text has size 0 and nothing is taken from it; a null source is a source of its
-own, ordered last; repeated rows are documents of their own; an empty table gives an empty table; only
-the id, text and source columns are read, so other columns cannot clash.
+own, ordered last; repeated rows are documents of their own, placed side by side; rows that share an id
+are ordered by a hash of the row; a very long text lies in many blocks, each joined by itself; an empty
+table gives an empty table; the columns of the input are only read by name or whole, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm._common import checkpoint, table, text_column
+from folioscope.llm._common import checkpoint, conf_int, table, text_column
 
 BLOCK = 64
 SHARD = 4096
-BUCKETS = 1024
+#: Rows in a bucket of a prefix sum, and slots or copies unrolled by a task, about.
+BUCKET, UNROLL = 20_000, 500_000
 ROUNDS = 12
 WEIGHTS = (3, 1, 2)
 
@@ -111,10 +115,15 @@ def mix_plan(quota: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
         .groupBy("shard", "position")
         .count()
     )
-    before = W.partitionBy("position").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    # Shards' first slots: sums over runs of shards, and inside each run.
+    inner = W.partitionBy("position", "_run").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    outer = W.partitionBy("position").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    drawn = drawn.withColumn("_run", F.floor(F.col("shard") / BUCKET))
+    runs = drawn.groupBy("position", "_run").agg(F.sum("count").alias("_size")).select("position", "_run", F.coalesce(F.sum("_size").over(outer), F.lit(0)).alias("_first"))
     small = F.broadcast(quota.select("position", "quota", "n_blocks"))
-    counts = drawn.withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    slots = counts.select("shard", "position", F.explode(F.sequence(F.col("_base"), F.col("_base") + F.col("count") - 1)).alias("slot")).join(small.drop("n_blocks"), "position")
+    counts = drawn.join(runs, ["position", "_run"]).withColumn("_base", F.col("_first") + F.coalesce(F.sum("count").over(inner), F.lit(0)))
+    dealt = counts.select("shard", "position", "_base", "count").repartition(spread(spark, total), "shard", "position")
+    slots = dealt.select("shard", "position", F.explode(F.sequence(F.col("_base"), F.col("_base") + F.col("count") - 1)).alias("slot")).join(small.drop("n_blocks"), "position")
     got = quota.select("position", "quota").join(drawn.groupBy("position").agg(F.sum("count").alias("_drawn")), "position", "left").fillna(0, ["_drawn"])
     order = W.orderBy("position").rowsBetween(W.unboundedPreceding, -1)
     over = got.select("position", F.coalesce(F.sum(F.greatest(F.lit(0), F.col("_drawn") - F.col("quota"))).over(order), F.lit(0)).alias("_before"))
@@ -137,23 +146,49 @@ def mix_plan(quota: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
     return kept.unionByName(moved).join(small.drop("quota"), "position").select("shard", "position", "slot", permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.col("position"), turn, F.lit(seed)).alias("block"))
 
 
-def placed(docs: DataFrame, aims: DataFrame) -> DataFrame:
-    """Documents with their source's row and ``start``, the words of their source before them."""
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-    known = docs.withColumn("_bucket", key).join(aims, docs["source"].eqNullSafe(aims["source"]), "left").drop(aims["source"])
-    inner = W.partitionBy("position", "_bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+def spread(spark: SparkSession, rows: int) -> int:
+    """Partitions for an unrolling to ``rows`` rows."""
+    return max(conf_int(spark, "spark.sql.shuffle.partitions", 200), -(-int(rows) // UNROLL))
+
+
+def placed(docs: DataFrame, aims: DataFrame, n_rows: int) -> DataFrame:
+    """Distinct rows (doc_id, source, size, h) with ``copies``, their source's row and ``start``, the words of their source before the first copy."""
+    buckets = max(1, -(-n_rows // BUCKET))
+    kinds = docs.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("copies")).withColumn("_words", F.col("size") * F.col("copies"))
+    known = kinds.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).cast("int")).join(F.broadcast(aims), kinds["source"].eqNullSafe(aims["source"]), "left").drop(aims["source"])
+    inner = W.partitionBy("position", "_bucket").orderBy("doc_id", "h", "size").rowsBetween(W.unboundedPreceding, -1)
     outer = W.partitionBy("position").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    buckets = known.groupBy("position", "_bucket").agg(F.sum("size").alias("_size")).select("position", "_bucket", F.coalesce(F.sum("_size").over(outer), F.lit(0)).alias("_base"))
-    return known.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(buckets, ["position", "_bucket"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_bucket")
+    sums = known.groupBy("position", "_bucket").agg(F.sum("_words").alias("_size")).select("position", "_bucket", F.coalesce(F.sum("_size").over(outer), F.lit(0)).alias("_base"))
+    return known.withColumn("_in", F.coalesce(F.sum("_words").over(inner), F.lit(0))).join(sums, ["position", "_bucket"]).withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_bucket", "_words")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    sized = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_column(text_col)).alias("size")))
+def copies_apart(rows: DataFrame, n_rows: int) -> DataFrame:
+    """One row for each copy, each with its own ``start``; many copies of one row are unrolled by many tasks."""
+    step = BUCKET
+    chunks = rows.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / step)))).withColumn("_from", F.col("_from") * step)
+    dealt = chunks.repartition(spread(rows.sparkSession, n_rows), "position", "start", "_from")
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("copies"), F.col("_from") + step) - 1))).withColumn("start", F.col("start") + F.col("_copy") * F.col("size")).drop("_from", "_copy", "copies")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns but those that hold a map, which have no hash."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"))
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, block: int, seed: int, h: Column) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct rows in their places, draws of each block (position, block, _times), and the number of rows."""
+    sized = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text_column(text_col)).alias("size"), h.alias("h")))
+    n_rows = sized.count()
     aims = checkpoint(targets(sized, weights, share))
     quota = quotas(aims, block)
     times = mix_plan(quota, block, seed=seed).groupBy("position", "block").agg(F.count("*").alias("_times"))
-    rows = placed(sized, aims.select("source", "position", "source_size", "target"))
+    return placed(sized, aims.select("source", "position", "source_size", "target"), n_rows), times, n_rows
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document."""
+    kinds, times, n_rows = _drawn(docs, id_col, text_col, source_col, weights, share, block, seed, F.xxhash64(id_col, text_col, source_col))
+    rows = copies_apart(kinds, n_rows)
     full = rows.where("size > 0")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = full.withColumn("block", F.explode(F.sequence(first, last))).withColumn(
@@ -169,5 +204,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return taken.unionByName(empty).withColumnRenamed("doc_id", id_col)
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix draws the block in which they start.
+
+    Rows without a word start no block and are left out, as nothing can be taken from them.
+    """
+    kinds, times, n_rows = _drawn(docs, id_col, text_col, source_col, weights, share, block, seed, row_hash(docs))
+    rows = copies_apart(kinds.where("size > 0"), n_rows).withColumn("block", F.floor(F.col("start") / block))
+    drawn = rows.join(times, ["position", "block"]).groupBy("doc_id", "h").agg(F.sum("_times").alias("times"), F.count("*").alias("copies")).select(F.struct("doc_id", "h").alias("k"), "times", "copies")
+    whole = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("doc_id"), row_hash(docs).alias("h")).alias("k"))
+    found = whole.alias("w").join(drawn.alias("d"), F.col("w.k").eqNullSafe(F.col("d.k"))).select("row", "w.k", "times", "copies")
+    # Copies of one row are drawn together: one of them stands for all.
+    once = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["k"]))
+    return once.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_")).select("row.*")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
