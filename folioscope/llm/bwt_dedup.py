@@ -12,14 +12,19 @@ same document) is removed.
    shards.  A shard's transform comes from its own sorted rotations.  The transforms are then merged by
    iterative interleave refinement: each step deals the current interleave by the symbols that the
    transforms put before it, after which it is ordered by one more symbol; where symbol or previous
-   block changes, a new block begins.  No suffix is sorted again.  After length / 2 steps (a symbol is
-   two bytes, each run is read at even and at odd positions) the blocks are the repeated intervals: the
-   suffixes with a common prefix of ``length`` bytes or more.
-3. The first window of each block stays, all others are removed.
+   block changes, a new block begins, and the step at which it does is the common prefix of the two
+   neighbours.  No suffix is sorted again.  After length / 2 steps (a symbol is two bytes, each run is
+   read at even and at odd positions) the places whose common prefix is still open form the repeated
+   intervals: the suffixes that share ``length`` bytes or more.
+3. The first window of each interval stays, all others are removed.
+
+Runs that repeat within one task's texts are settled there, so a string that is very frequent sends few
+runs from each task to the one that owns its key.
 
 Defined results: a null text has no bytes; rows that repeat an id and its text get the same result, as
-one document; texts that share an id are ordered by their hash; a null id comes last; an empty table
-gives an empty table; only the id and text columns are read, so other columns cannot clash.
+one document; texts that share an id are ordered by their hash; a null id comes last; ids of any size are
+ranked, not multiplied; a very long text is cut into runs like any other; an empty table gives an empty
+table; only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -30,16 +35,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm._common import conf_int, id_field, table
+from folioscope.llm._common import checkpoint, conf_int, id_field, table
 from folioscope.llm._kernels import _BASE, _BYTE, mix, powers, slices, text_bytes
 
 LENGTH, SEED = 100, 32
 RUN = 96
 COLLECTION = 1 << 19
 SHARDS = 4
+#: Bytes of text whose equal runs a task settles by itself, and bytes of text for each partition of runs.
+TOGETHER, HOLD = 8 << 20, 16 << 20
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _inverse = np.ones(1, dtype=np.uint64)
 
@@ -159,20 +167,22 @@ class Shard:
 
 
 def merge(shards: list[Shard], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards after ``steps`` refinements and the block of each place; a block's rotations share their first ``steps`` symbols."""
+    """Interleave of the shards after ``steps`` refinements and the common prefix, in symbols, of each place and the one before it; ``steps`` where it is that long or longer."""
     before = np.concatenate([s.transform for s in shards])
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.transform) for s in shards])
     block = np.zeros(len(before), dtype=np.int32)
+    common = np.full(len(before), steps, dtype=np.int16)
     symbols = np.empty_like(before)
     edge = np.empty(len(before), dtype=bool)
-    for _ in range(steps):
+    for step in range(steps):
         symbols[np.argsort(interleave, kind="stable")] = before
         order = np.argsort(symbols, kind="stable")
         interleave, block, ranked = interleave[order], block[order], symbols[order]
-        edge[0] = False
+        edge[0] = True
         edge[1:] = (ranked[1:] != ranked[:-1]) | (block[1:] != block[:-1])
+        common[edge & (common == steps)] = step
         block = np.cumsum(edge, dtype=np.int32)
-    return interleave, block
+    return interleave, common
 
 
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray, rank: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -184,7 +194,9 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray,
         shard = Shard(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         shards.append(shard)
         starts.append(np.where(shard.at[shard.order] >= 0, shard.at[shard.order] + offsets[a], -1))
-    interleave, block = merge(shards, length // 2)
+    steps = length // 2
+    interleave, common = merge(shards, steps)
+    block = np.cumsum(common < steps)  # repeated intervals
     start = np.empty(len(block), dtype=np.int64)
     start[np.argsort(interleave, kind="stable")] = np.concatenate(starts)
     row = np.searchsorted(offsets, start, side="right") - 1
@@ -206,33 +218,57 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray,
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (an integer in the order of documents, one for each id and text) and text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 62) - 1))
-    most = rows.groupBy(order.alias("k")).count().agg(F.max("count")).first()[0] or 1
-    if most == 1:
-        return rows.withColumn("key", order)
+    most = rows.groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull())).first()
+    if (most[0] or 1) == 1 and not most[1] and isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return rows.withColumn("key", F.col("doc_id").cast("long"))
+    # Ranks by ranges of (id, hash of the text): a rank in each range, and the sums of the ranges before it.
     hashed = rows.withColumn("_h", F.xxhash64("text"))
-    ranked = hashed.select("doc_id", "_h").distinct().select("doc_id", "_h", F.expr("row_number() over (partition by doc_id order by _h)").alias("_n"))
-    kinds = ranked.agg(F.max("_n")).first()[0]
+    kinds = hashed.select("doc_id", "_h").distinct().repartitionByRange(F.col("doc_id").asc_nulls_last(), F.col("_h").asc())
+    ranged = checkpoint(kinds.withColumn("_p", F.spark_partition_id()))
+    sums = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    first = ranged.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_first"))
+    inside = W.partitionBy("_p").orderBy(F.col("doc_id").asc_nulls_last(), "_h")
+    ranked = ranged.withColumn("_n", F.row_number().over(inside)).join(F.broadcast(first), "_p").select("doc_id", "_h", (F.col("_first") + F.col("_n")).cast("long").alias("key"))
     placed = hashed.alias("a").join(ranked.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._h") == F.col("b._h")))
-    wide = F.coalesce(F.col("a.doc_id").cast("long"), F.lit((1 << 62) // int(kinds) - 1))
-    return placed.select(F.col("a.doc_id").alias("doc_id"), "text", (wide * int(kinds) + F.col("_n") - 1).alias("key"))
+    return placed.select(F.col("a.doc_id").alias("doc_id"), "key", "text")
 
 
 def shared_runs(docs: DataFrame, parts: int, length: int) -> DataFrame:
     """key, start, size and seed of runs: size > 0 a span of bytes that repeats an earlier one whole, size < 0 a run of -size windows to compare under ``seed``."""
 
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        """Runs dealt by their seeds.  Of equal runs from different places the first goes on for all; the others, settled, are dealt by their keys (``inner`` is 2)."""
+        key, begin, count, seed, same, inner = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((begin, key, same, seed))
+        key, begin, count, seed, same, inner = (x[order] for x in (key, begin, count, seed, same, inner))
+        again = np.zeros(len(seed), dtype=bool)
+        again[1:] = (seed[1:] == seed[:-1]) & (same[1:] == same[:-1])
+        place = np.zeros(len(seed), dtype=bool)  # the same place once more, in a row that comes twice
+        place[1:] = again[1:] & (key[1:] == key[:-1]) & (begin[1:] == begin[:-1])
+        key, begin, count, seed, same, inner, again = (x[~place] for x in (key, begin, count, seed, same, inner, again))
+        inner = np.where(again, 2, inner).astype("u1")
+        dealt = np.where(again, mix(key.view(np.uint64)), seed)
+        part_of = ((dealt >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part_of, kind="stable")
+        at = np.searchsorted(part_of[order], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(at))
+        columns = [x[order] for x in (key.astype("<i8"), begin.astype("<i4"), count.astype("u1"), seed, same, inner)]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([x[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()) for x in columns)], names=["part", "keys", "begins", "counts", "seeds", "sames", "inners"])
+
     def deal(batches):
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, budget=1 << 20):
                 keys = part.column(0).to_numpy()
                 data, offsets = text_bytes(part.column(1))
                 row, begin, count, seed, same, inner = window_runs(data, offsets, length)
-                part_of = ((seed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(part_of, kind="stable")
-                at = np.searchsorted(part_of[order], np.arange(parts + 1))
-                full = np.flatnonzero(np.diff(at))
-                columns = [x[order] for x in (keys[row].astype("<i8"), begin.astype("<i4"), count.astype("u1"), seed, same, inner.astype("u1"))]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([x[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()) for x in columns)], names=["part", "keys", "begins", "counts", "seeds", "sames", "inners"])
+                held.append((keys[row], begin, count, seed, same, inner.astype("u1")))
+                size += len(data)
+                if size > TOGETHER:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
 
     def settle(batches):
         got = [[] for _ in range(6)]
@@ -242,6 +278,12 @@ def shared_runs(docs: DataFrame, parts: int, length: int) -> DataFrame:
         if not got[0]:
             return
         key, begin, count, seed, same, inner = (np.concatenate(x) for x in got)
+        del got
+        done = np.flatnonzero(inner == 2)
+        for i in range(0, len(done), 1 << 17):
+            s = done[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(begin[s].astype(np.int32)), pa.array(count[s].astype(np.int32) - 1 + length), pa.array(seed[s].view(np.int64))], names=["key", "start", "size", "seed"])
+        key, begin, count, seed, same, inner = (x[inner != 2] for x in (key, begin, count, seed, same, inner))
         order = np.argsort(seed, kind="stable")
         ranked = seed[order]
         more = np.zeros(len(seed) + 1, dtype=bool)
@@ -364,8 +406,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if length != LENGTH:
         raise ValueError("runs are fetched for the length in LENGTH")
     spark = docs.sparkSession
-    parts = 2 * conf_int(spark, "spark.sql.shuffle.partitions", 200)
     rows = _keys(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * conf_int(spark, "spark.sql.shuffle.partitions", 200), -(-size // HOLD))
     marks = shared_runs(rows, parts, length).groupBy("key").agg(F.collect_list(F.struct("start", "size", "seed")).alias("spans"), (F.min("size") < 0).alias("compare"))
     later = merged(fetched(rows, marks), parts, length).groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("more"))
     fields = [id_field(rows), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from folioscope.llm.bwt_dedup import suffix_dedup
+import numpy as np
+
+from folioscope.llm.bwt_dedup import Shard, merge, suffix_dedup
 from tests.llm.helpers import documents, texts
 
 
@@ -56,3 +58,43 @@ def test_repeated_rows_nulls_and_empty(spark):
     got = suffix_dedup(documents(spark, [(1, text), (1, text), (2, "q" + text), (None, text), (3, None)])).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in got) == [(False, 1, 0), (False, 1, 0), (False, 2, 500), (False, 3, 0), (True, 0, 500)]
     assert suffix_dedup(documents(spark, ["x"]).limit(0)).collect() == []
+
+
+def test_large_and_repeated_ids(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    big = 1 << 62
+    rows = [(big, text), (big, text + "!"), (big - 1, "x" + text), (-big, text[:150]), (2 * big - 1, text), (None, "y" + text), (7, "z")]
+    got = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"]) for r in suffix_dedup(documents(spark, rows)).collect()}
+    assert got.pop((-big, 150)) == (0, 0) and got.pop((7, 1)) == (0, 0) and got.pop((big - 1, 301)) == (150, 1)
+    # Of the two texts under one id either may come first.
+    assert got == {(big, 300): (300, 1), (big, 301): (300, 1), (2 * big - 1, 300): (300, 1), (None, 301): (300, 1)}
+
+
+def test_transforms_merge_and_give_common_prefixes():
+    rng = random.Random(4)
+    runs = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 60))).encode() for _ in range(12)]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    cut = [0, 4, 7, 12]
+    shards = [Shard(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(cut, cut[1:])]
+    interleave, common = merge(shards, 5)
+    place, suffixes = [0] * len(shards), []
+    for s in interleave.tolist():
+        own = shards[s]
+        at = int(own.at[own.order[place[s]]])
+        place[s] += 1
+        run = int(np.searchsorted(offsets, at + offsets[cut[s]], side="right")) - 1
+        suffixes.append(None if at < 0 else runs[run][at + offsets[cut[s]] - offsets[run] :][:10])
+    full = [(a, b, c) for a, b, c in zip(suffixes, suffixes[1:], common[1:].tolist()) if a and b and len(a) == len(b) == 10]
+    assert len(full) > 100
+    for a, b, c in full:
+        same = next((i for i in range(5) if a[2 * i : 2 * i + 2] != b[2 * i : 2 * i + 2]), 5)
+        assert a <= b and c == same
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    part = "".join(rng.choice("abcdefghijklmnop ") for _ in range(200_000))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup(documents(spark, [(1, part), (2, "q" + part + "w" + part[5000:9000]), (3, "e")])).collect()}
+    assert got == {1: (0, 0), 2: (204_000, 2), 3: (0, 0)}
