@@ -3,20 +3,21 @@
 Terms are lower-cased runs of characters other than ASCII blanks and punctuation.  The lexicon holds the terms whose share of
 documents lies in a band, that is, whose inverse document frequency does.  As each of its terms is in
 at least ``least`` of the documents, it has at most (mean distinct terms of a document) / ``least``
-terms, however large the corpus is, and can be broadcast.  A document's distinct terms in the lexicon
+terms, however large the corpus is; it is broadcast if it is small, which is checked.  A document's distinct terms in the lexicon
 are sorted and hashed once for each of several randomised lexicon subsets, whose chances differ so
 that short and long documents both have subsets with a few of their terms.  With them goes the
 smallest hash of all of its terms in each of 16 subsets, so that documents whose terms are outside the band, as those of a group of
 copies that makes up more of the corpus than the band allows, keep what they have in common.  The
 likeness of two fingerprints is the share of equal hashes among the subsets that hold a term of either.
 
-Documents are put in ranges of their ids, so that each has its follower beside it and the text is
-shuffled once; the last of a range takes the first of the next.  All steps are DataFrame functions.
+Documents are put in ranges of their ids, about ``RANGE`` rows each, so that each has its follower beside
+it and the text is shuffled once; the last of a range takes the first of the next.  An id, or the null
+id, that fills more than a range is split by a hash of the text.  All steps are DataFrame functions.
 
 Defined results: a null text is empty; two documents without a term have likeness 1; documents with the
-same id follow each other by text; a null id counts as the smallest; a single document is followed by
-itself; an empty table gives an empty table; only the id and text columns are read, so other columns
-cannot clash.
+same id follow each other by a hash of the text, then by text; a null id counts as the smallest; a single
+document is followed by itself; a very long text is a row like any other; an empty table gives an empty
+table; only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LEAST, MOST = 0.001, 0.05
 CHANCES = (2, 2, 4, 4, 8, 8, 16, 16, 32, 32, 64, 64, 128, 128, 256, 256)
 #: Subsets of a document's own terms.
 OWN = 16
+#: Rows in a range of ids, about; terms of a lexicon that may be broadcast.
+RANGE, SMALL = 50_000, 500_000
 _SPLIT = r"[\x00-\x20!-/:-@\[-`{-\x7F]+"
 
 
@@ -51,16 +54,40 @@ def lexicon(docs: DataFrame, n_docs: int, least: float = LEAST, most: float = MO
     return counted.select("term", F.xxhash64("term").alias("hash"), mask.cast("int").alias("mask"))
 
 
+def _below(bounds: list, value: Column) -> Column:
+    """How many of the sorted bounds are below a value: over the heads of runs of bounds, then inside a run."""
+    step = max(1, int(len(bounds) ** 0.5))
+    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not runs:
+        return F.lit(0)
+    count = lambda array: F.size(F.filter(array, lambda b: b < value))
+    head = count(F.array(*(F.lit(r[0]) for r in runs)))
+    inside = count(F.element_at(F.array(*(F.array(*map(F.lit, r)) for r in runs)), F.greatest(head, F.lit(1))))
+    return F.when(head == 0, F.lit(0)).otherwise((head - 1) * step + inside)
+
+
 def with_follower(docs: DataFrame) -> DataFrame:
     """part, place, doc_id, text and the text of the next document by descending id, with its part and place."""
     spark = docs.sparkSession
-    wanted = min(512, 4 * conf_int(spark, "spark.sql.shuffle.partitions", 200))
-    got = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 20 * wanted).alias("b")).first()["b"]
-    bounds = F.array(*map(F.lit, sorted(set(got)))) if got else F.array().cast("array<long>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0))
-    order = W.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = docs.withColumn("part", part).withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-    every = W.orderBy(F.col("part").desc())
+    size = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
+    wanted = max(4 * conf_int(spark, "spark.sql.shuffle.partitions", 200), size["n"] // RANGE)
+    got = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 20 * wanted).alias("b")).first()["b"] or []
+    bounds = sorted(set(got))
+    # An id that is the bound of several ranges, and null ids, are dealt to as many parts by the hash of the text.
+    often = sorted(b for b in bounds if got.count(b) > 1) if len(bounds) < len(got) else []
+    share = lambda n: F.floor((F.xxhash64("text") / float(1 << 64) + 0.5) * n).cast("long")
+    sub = F.lit(0).cast("long")
+    for b in often:
+        n = got.count(b) + 1
+        under = _below(bounds, F.col("doc_id")) == bounds.index(b)  # lower ids of the same range come after it
+        sub = F.when(F.col("doc_id") == b, share(n)).when(under, F.lit(n).cast("long")).otherwise(sub)
+    nulls = max(1, (size["n"] - size["ids"]) // max(1, size["n"] // wanted))
+    # Parts in the order of the documents: ranges from the last, null ids at the end.
+    rank = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(len(bounds) - _below(bounds, F.col("doc_id"))).cast("long")
+    part = rank * (1 << 20) + F.when(F.col("doc_id").isNull(), share(nulls)).otherwise(sub)
+    order = W.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "_h", "text")
+    rows = docs.withColumn("part", part).withColumn("_h", F.xxhash64("text")).withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
+    every = W.orderBy("part")
     whole = every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     heads = rows.where("place = 1").select(
         F.col("part").alias("_part"),
@@ -111,9 +138,11 @@ def likeness(a: Column, b: Column) -> Column:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, most: float = MOST) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text"))
-    known = lexicon(own, docs.count(), least, most)
+    known = checkpoint(lexicon(own, docs.count(), least, most))
+    few = known.count() <= SMALL
     # The empty term stands for the document itself, so that one without terms in the lexicon keeps a row.
-    known = F.broadcast(known.unionByName(own.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast("long").alias("hash"), F.lit(0).alias("mask"))))
+    known = known.unionByName(own.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(None).cast("long").alias("hash"), F.lit(0).alias("mask")))
+    known = F.broadcast(known) if few else known
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     keys = ["part", "place"]

@@ -1,6 +1,11 @@
 import hashlib
+import re
+from collections import Counter
 
-from folioscope.llm.term_fingerprint import document_fingerprints, op7_term_fingerprint
+import xxhash
+
+from folioscope.llm import term_fingerprint
+from folioscope.llm.term_fingerprint import CHANCES, OWN, document_fingerprints, op7_term_fingerprint
 from tests.llm.helpers import documents, texts
 
 
@@ -43,3 +48,64 @@ def test_single_repeated_null_and_empty(spark):
     many = documents(spark, [(1, "a b c"), (1, "a b c"), (None, None), (2, None)])
     assert len(document_fingerprints(many).collect()) == 4
     assert document_fingerprints(many.limit(0)).collect() == []
+
+
+def _hash(value, seed=42):
+    raw = value.encode() if isinstance(value, str) else value
+    return xxhash.xxh64_intdigest(raw, seed=seed)
+
+
+def _signed(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _chain(hashes):
+    out = 42
+    for h in hashes:
+        out = _hash((h % (1 << 64)).to_bytes(8, "little"), out)
+    return f"{out:016X}"[:8]
+
+
+def brute(rows, least, most, seed=11):
+    """rows: (id, text); the contract's columns by row, each followed by the next one by descending id, then by hash."""
+    split = lambda t: {x for x in re.split(r"[\x00-\x20!-/:-@\[-`{-\x7F]+", t.lower()) if x}
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), _signed(_hash(r[1])), r[1]))
+    n, count = len(rows), Counter(x for _, t in rows for x in split(t))
+    band = {x for x, c in count.items() if max(2, least * n) <= c <= max(2, most * n)}
+
+    def fingerprint(text):
+        found = sorted(_signed(_hash(x)) for x in split(text) & band)
+        name = {_signed(_hash(x)): x for x in split(text) & band}
+        chosen = [[h for h in found if _signed(_hash((seed + i).to_bytes(4, "little"), _hash(name[h]))) % c == 0] for i, c in enumerate(CHANCES)]
+        own = sorted(_signed(_hash(x)) for x in split(text))[: 4 * OWN]
+        # Of no term the hash is that of null, the seed.
+        rest = [next((h for h in own if h % OWN == i), None) for i in range(OWN)]
+        return [_chain(c) for c in chosen] + [_chain([] if h is None else [h]) for h in rest]
+
+    def like(a, b):
+        pairs = [(x, y) for x, y in zip(a, b) if (x, y) != ("00000000", "00000000")]
+        return 1.0 if a == b else sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+    out = []
+    for k, (i, text) in enumerate(rows):
+        follower = rows[(k + 1) % n][1]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + follower[:cut]
+        a, b, c = fingerprint(text), fingerprint(edited), fingerprint(follower)
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), ".".join(a), ".".join(b), round(like(a, b), 9), round(like(a, c), 9)))
+    return sorted(out, key=str)
+
+
+def plain(rows):
+    return sorted(((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows), key=str)
+
+
+def test_against_brute_force(spark):
+    rows = list(enumerate(texts(n=60)))
+    assert plain(document_fingerprints(documents(spark, rows), least=0.02, most=0.5).collect()) == brute(rows, 0.02, 0.5)
+
+
+def test_frequent_ids_nulls_and_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(term_fingerprint, "SMALL", 0)  # the lexicon is joined, not broadcast
+    rows = [(i % 3 * 7 if i < 60 else None if i < 100 else i, f"{t or ''} w{i}") for i, t in enumerate(texts(n=100))] + [(50, "long " + " ".join(f"q{j % 999}" for j in range(60_000)))]
+    assert plain(document_fingerprints(documents(spark, rows), least=0.02, most=0.5).collect()) == brute(rows, 0.02, 0.5)
