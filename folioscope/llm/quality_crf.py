@@ -1,16 +1,21 @@
 """Operator 6: a quality classifier from a linear-chain conditional random field over lines.
 
 Every line with a word is labelled good or bad from features of its own and of its neighbouring lines.
-The field is fitted on a bounded sample of labelled documents (``train_docs``, those with the smallest
-hashes), whose lines take their document's label; only rows with crc32(doc_id as text) mod 5 not 0 are
-used.  A document's score is the length-weighted mean of its lines' forward-backward marginals, put on
-the scale of the labels by a logistic curve fitted on the same sample.  The model, a few hundred
-numbers, is all that is sent to the executors.
+The field is fitted on a bounded sample of labelled documents (at most ``train_docs``, those with the
+smallest hashes, and at most ``train_lines`` lines of them); only rows with crc32(doc_id as text) mod 5
+not 0 are used.  The labels of lines are latent: a document's label is what each of its lines shows, with
+a chance of error that is learnt too.  Expectation-maximisation goes between the lines' posteriors given
+what they show (forward-backward over the whole document, so a line that looks like its bad neighbours
+turns bad in a good document) and the field's weights.  A document's score is the length-weighted mean of
+its lines' forward-backward marginals, put on the scale of the labels by a logistic curve fitted on the
+same sample.  The model, a few hundred numbers, is all that is sent to the executors.
 
 Defined results: a null text, or one without a word, gets the share of good documents in the sample;
 without labelled rows every score is 0.5; labels that are null are left out, and of several labels for
-an id the smallest holds; repeated rows give repeated results; an empty table gives an empty table;
-only the columns named are read, so other columns cannot clash; lang and source are never read.
+an id the smallest holds; repeated rows give repeated results; ties in the order of the sample go by id;
+a very long text is scored whole, and learnt from only if its lines fit into the sample; an empty table
+gives an empty table; only the columns named are read, so other columns cannot clash; lang and source are
+never read.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm._common import id_field, map_text, table
+from folioscope.llm._common import checkpoint, id_field, map_text, table
 from folioscope.llm._kernels import mix, shingle_hashes, text_bytes, word_bounds, word_hashes
 from folioscope.llm.quality_rules import covered, per_row, repeated
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS, TRAIN_LINES = 4000, 200_000
+ROUNDS = 3
 BINS = np.array([0.05, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95])
 THRESHOLD = 0.3
 PENALTY = 1.0
@@ -159,28 +165,26 @@ class LineField:
         return marginal[:, 1], stays, np.log(norm) + top
 
     @classmethod
-    def fit(cls, features: np.ndarray, words: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 80) -> LineField:
+    def fit(cls, features: np.ndarray, words: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 40) -> LineField:
         """``label``: 0 or 1 for each row; every row has a line."""
         edges = np.quantile(features, BINS, axis=0).T
         cells = cls.cells(edges, features, row)
         width = 3 * features.shape[1] * (edges.shape[1] + 2)
-        count = np.bincount(row, minlength=len(label))
+        n, count = len(label), np.bincount(row, minlength=len(label))
         first = np.cumsum(count) - count
-        y = label[row].astype(float)
+        shown = label[row].astype(float)
+        # Expected labels and stays; at first each line is what its document's label says.
+        good = shown
         stay = np.array([((count - 1) * (label == 0)).sum(), ((count - 1) * (label == 1)).sum()], dtype=float)
-        # Every document weighs the same, whatever its number of lines.
-        n = len(label)
-
-        def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-            unary, turn = w[:width][cells].sum(axis=1), w[width:]
-            good, stays, logs = cls.chain(unary, turn, first, count)
-            value = (logs.sum() - (unary * y).sum() - (turn * stay).sum()) + PENALTY * (w @ w) / 2
-            slope = np.empty_like(w)
-            slope[:width] = np.bincount(cells.ravel(), np.repeat(good - y, cells.shape[1]), minlength=width)
-            slope[width:] = stays - stay
-            return value / n, (slope + PENALTY * w) / n
-
-        weights = minimise(loss, np.zeros(width + 2), steps)
+        weights = np.zeros(width + 2)
+        for turn in range(ROUNDS):
+            weights = minimise(lambda w: cls.loss(w, cells, first, count, good, stay, n), weights, steps)  # noqa: B023
+            if turn + 1 < ROUNDS:
+                # The chance that a good and that a bad line shows the label good, off 0 and 1.
+                show_good = np.clip((good * shown).sum() / max(good.sum(), 1e-9), 0.05, 0.95)
+                show_bad = np.clip(((1 - good) * shown).sum() / max((1 - good).sum(), 1e-9), 0.05, 0.95)
+                says = np.where(shown > 0, np.log(show_good / show_bad), np.log((1 - show_good) / (1 - show_bad)))
+                good, stay, _ = cls.chain(weights[:width][cells].sum(axis=1) + says, weights[width:], first, count)
         field = cls(edges, weights, (0.0, 1.0), float(label.mean()))
         raw = np.log(field.means(features, words, row, n))
         x = raw - np.log1p(-np.exp(raw))
@@ -195,6 +199,18 @@ class LineField:
         field.scale = (a, max(b, 1e-3))
         return field
 
+    @classmethod
+    def loss(cls, w: np.ndarray, cells: np.ndarray, first: np.ndarray, count: np.ndarray, good: np.ndarray, stay: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+        """Penalised negative log-likelihood of expected line labels and stays for each document, and its slope."""
+        width = len(w) - 2
+        unary, turn = w[:width][cells].sum(axis=1), w[width:]
+        got, stays, logs = cls.chain(unary, turn, first, count)
+        value = (logs.sum() - (unary * good).sum() - (turn * stay).sum()) + PENALTY * (w @ w) / 2
+        slope = np.empty_like(w)
+        slope[:width] = np.bincount(cells.ravel(), np.repeat(got - good, cells.shape[1]), minlength=width)
+        slope[width:] = stays - stay
+        return value / n, (slope + PENALTY * w) / n
+
     def means(self, features: np.ndarray, words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """Length-weighted mean marginal of good for each row, kept off 0 and 1; rows without a line get one half."""
         count = np.bincount(row, minlength=n)
@@ -251,20 +267,27 @@ def fold(id_column, n: int):
     return F.pmod(F.crc32(id_column.cast("string")), F.lit(n))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> LineField | None:
-    """Fit on the ``train_docs`` labelled training documents with the smallest hashes."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> LineField | None:
+    """Fit on the ``train_docs`` labelled training documents with the smallest hashes, as far as their lines fit into ``train_lines``."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), 5) != 0)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(train_docs)
-    picked = docs.select(id_col, docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), id_col).select(F.col("_label").alias("label"), "text")
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("lines", T.BinaryType()), T.StructField("words", T.BinaryType())])
+    picked = docs.select(id_col, docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col).alias("at"), F.col("_label").alias("label"), "text")
+    schema = "at long, label int, n long, lines binary, words binary"
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        features, words, row = line_features(batch.column(1))
-        at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        part = [slice(at[i], at[i + 1]) for i in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([features[p].astype("<f4").tobytes() for p in part], pa.binary()), pa.array([words[p].astype("<i8").tobytes() for p in part], pa.binary())], names=["label", "lines", "words"])
-
-    rows = sorted((r["label"], bytes(r["lines"]), bytes(r["words"])) for r in map_text(picked, lambda: step, schema).collect() if r["lines"])
+        features, words, row = line_features(batch.column(2))
+        edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        part = [slice(edge[i], edge[i + 1]) for i in range(batch.num_rows)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(edge)), pa.array([features[p].astype("<f4").tobytes() for p in part], pa.binary()), pa.array([words[p].astype("<i8").tobytes() for p in part], pa.binary())], names=["at", "label", "n", "lines", "words"])
+
+    found = checkpoint(map_text(picked, lambda: step, T._parse_datatype_string(schema)).where("n > 0"))
+    sizes = sorted((r["at"], r["n"]) for r in found.select("at", "n").collect())
+    left, take = train_lines, []
+    for at, n in sizes:
+        if n <= left:
+            take.append(at)
+            left -= n
+    rows = sorted((r["label"], bytes(r["lines"]), bytes(r["words"])) for r in found.where(F.col("at").isin(take)).collect()) if len(take) < len(sizes) else sorted((r["label"], bytes(r["lines"]), bytes(r["words"])) for r in found.collect())
     if not rows:
         return None
     words = [np.frombuffer(r[2], "<i8") for r in rows]
