@@ -14,11 +14,13 @@ with their counts to the parts that own them and gets the totals back.  It sends
 only if both of its strings of k are frequent, which holds for every frequent one.  One of the chunks that
 sent a string is told to account for it; so each follower that stays is added once to the mass that its
 context has used, which is summed and sent back in the same way.  With counts and masses a chunk has the
-probabilities of its own tokens.  Tokens are known by 64-bit hashes.
+probabilities of its own tokens.  Answers are packed: a bit for each string asked for, and a number only
+for those that are frequent or have a mass.  Tokens are known by 64-bit hashes.
 
 Defined results: a null text is empty and has only its end; a null id counts as held out; repeated rows
-give repeated results; without training rows every token has log10 probability 0 at the root; an empty
-table gives an empty table; only the id and text columns are read, so other columns cannot clash.
+give repeated results; rows that share an id are dealt by their texts too; a very long text is a chunk of
+its own; ties do not arise; without training rows every token has log10 probability 0 at the root; an
+empty table gives an empty table; only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,30 +29,60 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm._common import checkpoint, conf_int, id_field, table
-from folioscope.llm._kernels import mix, text_bytes, word_bounds, word_hashes
+from folioscope.llm._kernels import mix, text_bytes, word_hashes
 
 DEPTH, GAIN, DISCOUNT, ESCAPE = 3, 6.0, 0.75, 0.02
-LOWEST = 3
+LOWEST = 2
 CHUNK_BYTES = 4 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 
 
-def tokens_of(column) -> tuple[np.ndarray, np.ndarray]:
-    """(end, words, end) of every row as hashes, and the row offsets."""
-    data, offsets = text_bytes(column)
-    n = len(offsets) - 1
-    is_word, starts, ends, rows = word_bounds(data, offsets)
-    words = word_hashes(data, is_word, starts, ends)
-    edge = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n) + 2)])
-    out = np.full(edge[-1], END, dtype=np.uint64)
-    out[np.arange(len(words)) + 2 * rows + 1] = words
-    return out, edge
+def tokens_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens' hashes, ascending, the token of each place of (end, words, end) of every row, and the row offsets."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    # ASCII white space is what parts words; what is left of it at the edges are empty strings.
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    words = parts.flatten()
+    row = np.repeat(np.arange(len(column)), pc.list_value_length(parts).to_numpy())
+    full = pc.greater(pc.binary_length(words), 0)
+    row, coded = row[full.to_numpy(zero_copy_only=False)], words.filter(full).dictionary_encode()
+    data, offsets = text_bytes(coded.dictionary)
+    hashes = np.append(word_hashes(data, np.ones(len(data), dtype=bool), offsets[:-1], offsets[1:], lower=False), END)
+    one, rank = np.unique(hashes, return_inverse=True)
+    edge = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)) + 2)])
+    out = np.full(edge[-1], rank[-1], dtype=np.int32)
+    out[np.arange(len(row)) + 2 * row + 1] = rank[coded.indices.to_numpy()]
+    return one, out, edge
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of the hashes, and where a new one begins in it.
+
+    The place goes into the low bits, so that numbers are sorted and not indices; if two hashes differ in
+    these bits alone, they are sorted the plain way.
+    """
+    n = len(hashes)
+    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    key = (hashes & ~low) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & low).astype(np.int64)
+    ranked = hashes[order]
+    new = np.ones(n, dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    top = key & ~low
+    if (new[1:] & (top[1:] == top[:-1])).any():
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        new[1:] = ranked[1:] != ranked[:-1]
+    return order, new
 
 
 def join(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -62,66 +94,96 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return ((x >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
 
 
-#: In the answer to a count: this chunk accounts for the string.
-_OWN = np.uint64(1 << 63)
 _MASS = 10  # kind of the masses at depth 0; kinds below are the numbers of tokens of counted strings
 
 
+def packed(values: np.ndarray, own: np.ndarray, kind: int) -> bytes:
+    """Answers in the order of the strings asked for: bits, then the numbers of those that have one, and whether the asker accounts for them."""
+    have = values > 0 if kind == 1 or kind > _MASS else values >= LOWEST
+    if kind > _MASS:
+        return np.uint32(len(values)).tobytes() + b"m" + np.packbits(have).tobytes() + values[have].astype("<f8").tobytes()
+    wide = bool(len(values)) and values.max() >= 1 << 32
+    numbers = values[have].astype("<u8" if wide else "<u4").tobytes()
+    return np.uint32(len(values)).tobytes() + (b"w" if wide else b"n") + np.packbits(have).tobytes() + numbers + np.packbits(own[have]).tobytes()
+
+
+def unpacked(raw: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, whether the asker accounts for them)."""
+    values, owns = [np.zeros(0, "<f8" if kind > _MASS else np.int64)], [np.zeros(0, dtype=bool)]
+    for x in raw:
+        n = int(np.frombuffer(x, "<u4", 1)[0])
+        at = 5 + (n + 7) // 8
+        have = np.unpackbits(np.frombuffer(x, np.uint8, at - 5, 5), count=n).astype(bool)
+        kept = int(have.sum())
+        form = {b"m": "<f8", b"w": "<u8", b"n": "<u4"}[x[4:5]]
+        value, own = np.zeros(n, values[0].dtype), np.zeros(n, dtype=bool)
+        value[have] = np.frombuffer(x, form, kept, at)
+        if kind <= _MASS:
+            own[have] = np.unpackbits(np.frombuffer(x, np.uint8, offset=at + kept * np.dtype(form).itemsize), count=kept).astype(bool)
+        values.append(value)
+        owns.append(own)
+    return np.concatenate(values), np.concatenate(owns)
+
+
 class Chunk:
     """A chunk's strings of tokens, with what the answers so far say about them."""
 
     def __init__(self, t: pa.Table, answers: pa.Table):
         self.rows = t.num_rows
-        self.token, self.edge = tokens_of(t.column("text"))
-        self.place = np.arange(len(self.token)) - np.repeat(self.edge[:-1], np.diff(self.edge))
+        self.one, self.which, self.edge = tokens_of(t.column("text"))
+        self.at = np.arange(len(self.which))
+        self.gram = self.one[self.which]
+        self.place = self.at - np.repeat(self.edge[:-1], np.diff(self.edge))
         self.train = np.repeat(~t.column("held_out").to_numpy(zero_copy_only=False), np.diff(self.edge)) & (self.place > 0)
         order = answers.sort_by([("kind", "ascending"), ("part", "ascending")])
         kinds, raw = order.column("kind").to_numpy(), order.column("answers").to_pylist()
-        self.answers = {int(k): np.frombuffer(b"".join(raw[i] for i in np.flatnonzero(kinds == k)), "<f8" if k > _MASS else "<u8") for k in np.unique(kinds)}
-        self.gram, self.count, self.total = self.token, np.zeros(0), np.zeros(0)
-
-    def strings(self, k: int) -> tuple[np.ndarray, ...]:
-        """Places where a string of k tokens that may be frequent ends, its distinct hashes, and which of these each place has."""
-        if k == 1:
-            self.at = np.arange(len(self.token))
-        else:
-            often = self.count >= LOWEST
-            ok = np.zeros(len(self.token), dtype=bool)
-            ok[1:] = often[1:] & often[:-1] & (self.place[1:] >= k - 1)
-            self.at = np.flatnonzero(ok)
-            longer = np.zeros_like(self.gram)
-            longer[self.at] = join(self.gram[self.at - 1], self.gram[self.at])
-            self.gram = longer
-        self.one, self.which = np.unique(self.gram[self.at], return_inverse=True)
-        return self.at, self.one, self.which
+        self.answers = {int(k): unpacked([raw[i] for i in np.flatnonzero(kinds == k)], int(k)) for k in np.unique(kinds)}
+        self.count, self.total = np.zeros(0), np.zeros(0)
+
+    def longer(self, k: int) -> None:
+        """From strings of k - 1 tokens to those of k: the places where one that may be frequent ends, its distinct hashes, and which of these each place has."""
+        often = self.count >= LOWEST
+        ok = np.zeros(len(often), dtype=bool)
+        ok[1:] = often[1:] & often[:-1] & (self.place[1:] >= k - 1)
+        self.at = np.flatnonzero(ok)
+        strings = join(self.gram[self.at - 1], self.gram[self.at])
+        order, new = distinct(strings)
+        self.one = strings[order[new]]
+        self.which = np.empty(len(order), dtype=np.int32)
+        self.which[order] = np.cumsum(new) - 1
+        self.gram = np.zeros_like(self.gram)
+        self.gram[self.at] = strings
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.which, self.train[self.at].astype(float), minlength=len(self.one)).astype("<i4")
 
     def take_counts(self, k: int) -> np.ndarray:
         """Sets the count of the string that ends at each place; which distinct strings this chunk accounts for."""
-        got = self.answers[k]
-        self.total, self.count = self.count, np.zeros(len(self.token), dtype=np.int64)
-        self.count[self.at] = (got & ~_OWN).astype(np.int64)[self.which]
-        return (got & _OWN) > 0
+        got, own = self.answers[k]
+        self.total, self.count = self.count, np.zeros(len(self.gram), dtype=np.int64)
+        self.count[self.at] = got[self.which]
+        return own
 
     def run(self, rounds: int, tokens: int, distinct: int):
         """What the chunk asks after ``rounds`` rounds, as (kind, hashes, values); without anything left to ask, the root's and the tree's probabilities."""
-        self.strings(1)
         if not rounds:
             return [(1, self.one, self.counts())]
         self.take_counts(1)
         root = value = (self.count + 1.0) / (tokens + distinct + 1)
-        if rounds == 1:
-            self.strings(2)
-            return [(2, self.one, self.counts())]
         for depth in range(1, DEPTH + 1):
-            before = self.gram
-            self.strings(depth + 1)
+            strings = np.full(len(self.gram), -1, dtype=np.int32)  # of ``depth`` tokens, by place
+            strings[self.at] = self.which
+            named = self.one
+            self.longer(depth + 1)
+            if rounds == depth:
+                asked = [(depth + 1, self.one, self.counts())]
+                return asked + ([(_MASS + depth - 1, *mass)] if depth > 1 else [])
             own = self.take_counts(depth + 1)
             # Contexts: frequent strings of ``depth`` tokens with a token after them.
             at = np.flatnonzero((self.place >= depth) & (np.concatenate([[0], self.total[:-1]]) >= LOWEST))
-            context, which = np.unique(before[at - 1], return_inverse=True)
+            used = np.zeros(len(named), dtype=bool)
+            used[strings[at - 1]] = True
+            context, which = named[used], (np.cumsum(used) - 1)[strings[at - 1]]
             count, total = self.count[at], np.concatenate([[0], self.total[:-1]])[at]
             most = np.maximum(total, count).astype(float)
             often = count >= LOWEST
@@ -131,15 +193,14 @@ class Chunk:
             if rounds == depth + 1:
                 first = np.zeros(len(self.one), dtype=np.int64)
                 first[self.which[::-1]] = self.at[::-1]
-                mine = np.zeros(len(self.token), dtype=bool)
+                mine = np.zeros(len(self.gram), dtype=bool)
                 mine[first[own]] = True
                 mine = mine[at]
-                asked = [(_MASS + depth, context, np.bincount(which[mine], share[mine], minlength=len(context)))]
-                if depth < DEPTH:
-                    self.strings(depth + 2)
-                    asked.append((depth + 2, self.one, self.counts()))
-                return asked
-            used = self.answers[_MASS + depth]
+                mass = (context, np.bincount(which[mine], share[mine], minlength=len(context)))
+                if depth == DEPTH:
+                    return [(_MASS + depth, *mass)]
+                continue
+            used = self.answers[_MASS + depth][0]
             scale = np.where(used > 1 - ESCAPE, (1 - ESCAPE) / np.maximum(used, 1e-300), 1.0)  # counts of a context at text ends
             rest = 1 - used * scale
             value = value.copy()
@@ -162,34 +223,21 @@ def answer(batches):
         hashes = [np.frombuffer(r[2], np.uint64) for r in rows]
         values = np.concatenate([np.frombuffer(r[3], "<f8" if kind > _MASS else "<i4") for r in rows])
         del rows
-        one, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        total = np.bincount(at, values, minlength=len(one))
-        if kind > _MASS:
-            got = total[at]
-        else:
-            got = total.astype("<u8")[at]
-            got[first] |= _OWN
         edge = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
-        sums = [np.zeros(len(hashes), dtype=np.int64) for _ in range(2)]
+        order, new = distinct(np.concatenate(hashes))
+        del hashes
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(values[order].astype("<f8" if kind > _MASS else np.int64), first) if len(first) else values[:0].astype(np.int64)
+        got, own = np.empty(len(order), dtype=total.dtype), np.zeros(len(order), dtype=bool)
+        got[order] = np.repeat(total, np.diff(np.append(first, len(order))))
+        own[order[first]] = True
+        n = len(edge) - 1
+        sums = [np.zeros(n, dtype=np.int64) for _ in range(2)]
         if kind == 1:
             sums[0][0], sums[1][0] = int(total.sum()), int((total > 0).sum())
-        for i in range(0, len(hashes), 256):
-            s = range(i, min(i + 256, len(hashes)))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[s.start : s.stop]), pa.array(np.full(len(s), kind, np.int32)), pa.array(part[s.start : s.stop]), pa.array([got[edge[j] : edge[j + 1]].tobytes() for j in s], pa.binary()), *(pa.array(x[s.start : s.stop]) for x in sums)], names=["chunk", "kind", "part", "answers", "tokens", "distinct"])
-
-
-def _passing(spark: SparkSession, make) -> DataFrame:
-    """A checkpoint of ``make()`` whose shuffle files go as soon as it is written, so that the rounds don't add up on disk."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # read when a DataFrame is made
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        return checkpoint(make())
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for i in range(0, n, 256):
+            s = range(i, min(i + 256, n))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[s.start : s.stop]), pa.array(np.full(len(s), kind, np.int32)), pa.array(part[s.start : s.stop]), pa.array([packed(got[edge[j] : edge[j + 1]], own[edge[j] : edge[j + 1]], kind) for j in s], pa.binary()), *(pa.array(x[s.start : s.stop]) for x in sums)], names=["chunk", "kind", "part", "answers", "tokens", "distinct"])
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold: int = 2, folds: int = 7) -> DataFrame:
@@ -200,8 +248,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(fold == hold, F.lit(True)).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(math.ceil(size / CHUNK_BYTES), 4 * parts)
-    # Rows without an id are dealt by their text.
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(chunks)).cast("int"))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     answers, tokens, distinct = spark.createDataFrame([], _ANSWERS), 0, 0
 
     def asking(rounds: int, tokens: int, distinct: int):
@@ -218,7 +265,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for rounds in range(DEPTH + 2):
         ask = asking(rounds, tokens, distinct)
         both = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-        got = _passing(spark, lambda: both.applyInArrow(ask, "chunk int, kind int, part int, hashes binary, values binary").repartition(parts, "part").mapInArrow(answer, _ANSWERS))  # noqa: B023
+        got = checkpoint(both.applyInArrow(ask, "chunk int, kind int, part int, hashes binary, values binary").repartition(parts, "part").mapInArrow(answer, _ANSWERS))
         if not rounds:
             sums = got.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("d")).first()
             tokens, distinct = int(sums["t"] or 0), int(sums["d"] or 0)

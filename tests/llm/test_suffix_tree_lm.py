@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from folioscope.llm import suffix_tree_lm as lm
 from tests.llm.helpers import documents, texts
 
@@ -91,6 +93,27 @@ def test_floor_does_not_grow_with_the_corpus(spark):
     assert r["train_tokens"] > 2_000_000 and r["score"] > r["base_score"] + 10
 
 
+def test_distinct_and_packed():
+    rng = np.random.default_rng(2)
+    near = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    for hashes in (np.zeros(0, np.uint64), rng.integers(0, 40, 300).astype(np.uint64), np.concatenate([near, near + np.uint64(1), near])):
+        order, new = lm.distinct(hashes)
+        one, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        assert (hashes[order[new]] == one).all() and (order[new] == first).all() and ((np.cumsum(new) - 1)[np.argsort(order)] == which).all()
+    for kind, values in ((1, [0, 1, 5, 1 << 33]), (2, [0, 1, 2, 9, 1 << 20]), (lm._MASS + 1, [0.0, 0.25, 1e-9])):
+        own = np.array([i % 2 == 1 for i in range(len(values))])
+        got, mine = lm.unpacked([lm.packed(np.array(values), own, kind)] * 2 + [lm.packed(np.array(values[:0]), own[:0], kind)], kind)
+        least = 0 if kind == 1 or kind > lm._MASS else lm.LOWEST
+        assert got.tolist() == [v if v >= least else 0 for v in values] * 2
+        assert kind > lm._MASS or mine.tolist() == [bool(o) and v >= max(1, least) for o, v in zip(own, values)] * 2
+
+
+def test_one_id_and_a_very_long_text(spark):
+    rows = [(3, f"the cat sat {i}") for i in range(30)] + [(4, "the cat sat " * 50_000)]
+    got = lm.score_texts(documents(spark, rows)).collect()
+    assert len(got) == 31 and {r["train_tokens"] for r in got} == {30 * 5 + 150_001} and max(r["n_tokens"] for r in got) == 150_001
+
+
 def test_nulls_and_empty(spark):
     got = lm.score_texts(documents(spark, [(None, "a b"), (1, None), (1, None)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 3), (1, 1), (1, 1)]
