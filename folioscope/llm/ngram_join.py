@@ -4,25 +4,32 @@ Documents with the same shingle set are one node.  Two nodes link when their set
 3/4 of their union.  Every set is ordered by (frequent or not, hash); linked sets share a token of
 their prefixes, the first n - ceil(3n/4) + 1 tokens, so prefix postings find every candidate.
 
-1. Posting lists with two or more nodes are kept.  Each list links its nodes to its smallest one, a
-   star, whose likely pairs are verified: this partitions similar documents into groups without all
+1. Posting lists with two or more nodes are kept.  Each list pairs its nodes with its smallest one, a
+   star, whose likely pairs are verified.  Linked nodes are of one group; a node whose likely pairs
+   fail goes to the group of the likeliest.  This partitions similar documents into groups without all
    pairs of a group.
 2. The matrix of tokens and groups stores which tokens the prefixes of each group hold together.  The
    number of a node's prefix tokens in a group's union bounds its overlap with every member, given the
-   range of the members' sizes; only groups that the bound leaves open are compared with the node,
-   member by member, and only members that the same bound leaves open are verified on whole sets.
-   Nodes of one group are linked already and are not compared.
-3. Verified links give the components.
+   range of the members' sizes; only groups that the bound leaves open are opened for the node.
+3. The nodes around a group, its members and those that it is open to, are verified against its
+   centre, the member of most stars, and ``REPS`` more members, the same for all.  That joins nearly all.
+4. A node x that is still apart from the centre C is known by its differences D, the tokens that only
+   one of x and C has.  x and y link if their differences from each other are at most a seventh of both
+   sizes; those are D(x) + D(y) less twice what D(x) and D(y) share.  As x is too far from C, both have
+   to share some of D, and the farther out they are, the more: prefixes of D, the rarest tokens of the
+   group first, with the positions in both find every candidate, and they are few.
+5. Verified links give the components.
 
 The order only steers the cost: frequent tokens are those counted in ``FREQUENT`` or more sets, at most
 ``MOST_FREQUENT`` of them, kept as a bit array; two tokens that share a bit are both treated as frequent,
-by every document alike.  Of the members of a group that are left open to a node, those that share most
-are verified first; the others only if none of these links.
+by every document alike.  Partitions follow the number of shingles, so a task holds a bounded part of them.
 
 Defined results: a null text, or one without a word, has an empty set and is its own component;
-repeated rows are exact copies of each other; a null id never becomes a component's id unless all its
-documents have none; an empty table gives an empty table; only the id and text columns are read, so
-other columns cannot clash.  Tokens and nodes are 64-bit hashes of shingles and sets.
+repeated rows are exact copies of each other, and rows that share an id link by their texts; a row with
+a null id links like any other, but a component's id is null only if all its documents have none; a very
+long text is one set, held by one task; ties between leaders go to the smaller node; an empty table gives
+an empty table; only the id and text columns are read, so other columns cannot clash.  Tokens and nodes
+are 64-bit hashes of shingles and sets.
 """
 
 from __future__ import annotations
@@ -34,14 +41,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm._common import checkpoint, conf_int, id_field, table
+from folioscope.llm._common import checkpoint, compact, conf_int, id_field, table
 from folioscope.llm._kernels import mix, shingle_hashes, slices, text_bytes, word_bounds, word_hashes
 from folioscope.llm.components import components
 
 FREQUENT, MOST_FREQUENT = 5, 2_000_000
 LOW = np.uint64(int(0.35 * (1 << 63)))
-FIRST = 3
-HELD = 4_000_000
+REPS = 7
+HELD = 1_000_000
+HOLD = 2_000_000
 SMALL = 200_000
 
 
@@ -88,16 +96,16 @@ def first_of_each(nodes: np.ndarray) -> np.ndarray:
 
 
 def document_nodes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node) of every document."""
-    fields = T.StructType([id_field(docs), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
+    """(doc_id, h, n, node) of every document; h is a hash of the text."""
+    fields = T.StructType([id_field(docs), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                hashes, edge = sets_of(part.column(1), k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edge)), pa.array(node_ids(hashes, edge))], names=fields.names)
+                hashes, edge = sets_of(part.column(2), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(edge)), pa.array(node_ids(hashes, edge))], names=fields.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, fields)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, fields)
 
 
 def token_counts(docs: DataFrame, parts: int, k: int) -> DataFrame:
@@ -181,7 +189,7 @@ def _slot(tokens: np.ndarray, size: int) -> np.ndarray:
 
 
 def posting_lists(docs: DataFrame, bits: np.ndarray, parts: int, k: int) -> DataFrame:
-    """token, node, n, leader, leader_n of every prefix token that several nodes hold; the leader is the list's smallest node."""
+    """token, node, n, place, leader, leader_n of every prefix token that several nodes hold; place is the token's in the node's set, the leader the list's smallest node."""
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def deal(batches):
@@ -189,13 +197,13 @@ def posting_lists(docs: DataFrame, bits: np.ndarray, parts: int, k: int) -> Data
         held: list[tuple] = []
 
         def packed():
-            token, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            token, node, n, at_ = (np.concatenate(x) for x in zip(*held, strict=True))
             part = (token << np.uint64(1) >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)
             order = np.argsort(part, kind="stable")
-            token, node, n = token[order], node[order], n[order]
+            columns = [x[order] for x in (token, node, n, at_)]
             at = np.searchsorted(part[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(at))
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([x[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()) for x in (token, node, n))], names=["part", "tokens", "nodes", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([x[at[p] : at[p + 1]].tobytes() for p in full], pa.binary()) for x in columns)], names=["part", "tokens", "nodes", "sizes", "places"])
 
         size = 0
         for batch in batches:
@@ -211,33 +219,34 @@ def posting_lists(docs: DataFrame, bits: np.ndarray, parts: int, k: int) -> Data
                 one = np.zeros(len(n), dtype=bool)
                 one[first_of_each(nodes)] = True
                 take = (place < prefix_size(n)[row]) & one[row]
-                held.append((hashes[take], nodes[row[take]], n[row[take]].astype(np.int32)))
+                held.append((hashes[take], nodes[row[take]], n[row[take]].astype(np.int32), place[take].astype(np.int32)))
                 size += int(take.sum())
-                if size > HELD // 4:
+                if size > HELD // 2:
                     yield packed()
                     held, size = [], 0
         if size:
             yield packed()
 
     def gather(batches):
-        token, node, n = [], [], []
+        held = [[], [], [], []]
         for b in batches:
-            for x, c, kind in ((token, 1, np.uint64), (node, 2, np.int64), (n, 3, np.int32)):
-                x += [np.frombuffer(v, kind) for v in b.column(c).to_pylist()]
-        if not token:
+            for c, kind in enumerate((np.uint64, np.int64, np.int32, np.int32)):
+                held[c] += [np.frombuffer(v, kind) for v in b.column(c + 1).to_pylist()]
+        if not held[0]:
             return
-        token, node, n = np.concatenate(token), np.concatenate(node), np.concatenate(n)
+        token, node, n, place = (np.concatenate(x) for x in held)
+        del held
         order = np.argsort(token)
-        token, node, n = token[order], node[order], n[order]
+        ranked = token[order]
         more = np.zeros(len(token) + 1, dtype=bool)
-        more[1:-1] = token[1:] == token[:-1]
-        more = more[1:] | more[:-1]
-        token, node, n = token[more], node[more], n[more]
+        more[1:-1] = ranked[1:] == ranked[:-1]
+        order = order[more[1:] | more[:-1]]
+        token, node, n, place = token[order], node[order], n[order], place[order]
         order = np.lexsort((node, token))
-        token, node, n = token[order], node[order], n[order]
+        token, node, n, place = token[order], node[order], n[order], place[order]
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n = token[new], node[new], n[new]
+        token, node, n, place = token[new], node[new], n[new], place[new]
         start = np.ones(len(token), dtype=bool)
         start[1:] = token[1:] != token[:-1]
         first = np.flatnonzero(start)
@@ -247,10 +256,10 @@ def posting_lists(docs: DataFrame, bits: np.ndarray, parts: int, k: int) -> Data
         for i in range(0, len(token), 1 << 18):
             s = np.flatnonzero(keep[i : i + (1 << 18)]) + i
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(n[s].astype(np.int64)), pa.array(node[lead[s]]), pa.array(n[lead[s]].astype(np.int64))], names=["token", "node", "n", "leader", "leader_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(n[s].astype(np.int64)), pa.array(place[s].astype(np.int64)), pa.array(node[lead[s]]), pa.array(n[lead[s]].astype(np.int64))], names=["token", "node", "n", "place", "leader", "leader_n"])
 
-    dealt = docs.select("text").mapInArrow(deal, "part int, tokens binary, nodes binary, sizes binary")
-    return dealt.repartition(parts, "part").mapInArrow(gather, "token long, node long, n long, leader long, leader_n long")
+    dealt = docs.select("text").mapInArrow(deal, "part int, tokens binary, nodes binary, sizes binary, places binary")
+    return dealt.repartition(parts, "part").mapInArrow(gather, "token long, node long, n long, place long, leader long, leader_n long")
 
 
 def may_link(n_a, n_b):
@@ -264,13 +273,13 @@ def needed(n_a, n_b):
     return F.greatest(F.lit(1), F.ceil(3 * (n_a + n_b) / 7 - F.lit(1e-9)) - F.greatest(follow(n_a), follow(n_b)))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link."""
-    pairs = checkpoint(pairs.select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = checkpoint(nodes.join(wanted, "node", "left_semi").select("doc_id", "node"))
+def whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, tokens) of the ``wanted`` nodes, a checkpoint.  A node's text is found by an id and a hash of the text, so rows without an id count."""
+    wanted = compact(nodes.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("_id"), "h", "node"))
     few = wanted.count() <= SMALL
-    picked = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).alias("d")
+    same = F.col("d.h").eqNullSafe(F.col("w.h")) & F.col("d.doc_id").eqNullSafe(F.col("w._id"))
+    picked = rows.join(F.broadcast(wanted).alias("w") if few else wanted.alias("w"), same).select("node", "text")
 
     def sets(batches):
         for batch in batches:
@@ -279,9 +288,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Dat
                 raw = [hashes[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary()), pa.array(node_ids(hashes, edge))], names=["node", "tokens", "is"])
 
-    # An id that repeats can bring another text; only the one that makes the node counts.
-    whole = picked.mapInArrow(sets, "node long, tokens binary, is long").where("node = is").drop("is")
-    whole = checkpoint(whole.dropDuplicates(["node"]))
+    found = picked.mapInArrow(sets, "node long, tokens binary, is long").where("node = is").drop("is")
+    return checkpoint(found.dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link, a checkpoint."""
 
     def compare(batches):
         for b in batches:
@@ -296,30 +308,47 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Dat
 
     left = whole.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = whole.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    return compact(pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+
+
+def similar_groups(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, grp) of the nodes of stars (a leads, b, shared): that of the linked component, else of the likeliest leader's, else the node's own."""
+    likely = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("minus"), "a")).alias("m")).select(F.col("b").alias("node"), F.col("m.a").alias("leader"))
+    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = nodes.join(roots.select("node", "root"), "node", "left").join(likely, "node", "left").select("node", "root", "leader")
+    of = first.select(F.col("node").alias("leader"), F.coalesce("root", "leader", "node").alias("_at"))
+    return first.join(of, "leader", "left").select("node", F.coalesce("root", "_at", "node").alias("grp"))
 
 
 def open_groups(lists: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
-    """Pairs of nodes of different groups that the token-group bounds leave open."""
-    known = lists.select("token", "node", "n").join(groups, "node", "left").select(
-        "token", "node", "n", F.coalesce("root", "node").alias("grp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("low", "n").alias("low"), F.coalesce("high", "n").alias("high")
+    """(node, grp, size): groups of as many or more nodes that the token-group bounds leave open to a node of another.
+
+    Sets of n and m tokens link only if they share 3/7 of n + m, so the first token that they share comes
+    early enough in both: one at ``place`` in a set of n serves for partners of (4n - 7 place) / 3 at most.
+    Pairs with such a token are bounded by the prefix tokens of the node in the group's union.
+    """
+    known = lists.select("token", "node", "n", F.floor((4 * F.col("n") - 7 * F.col("place")) / 3).alias("reach")).join(groups, "node", "left").select(
+        "token", "node", "n", "reach", F.coalesce("grp", "node").alias("grp"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("low", "n").alias("low"), F.coalesce("high", "n").alias("high")
     )
     known = checkpoint(known)
 
     def matrix(batches):
-        """For each token, every node against each larger group in its list; counts are added up inside the partition."""
+        """For each token, every node against each larger group in its list; pairs are made once inside the partition."""
         columns = [b for b in batches if b.num_rows]
         if not columns:
             return
         t = pa.Table.from_batches(columns).combine_chunks()
-        token, node, n, grp, size, low, high = (t.column(c).to_numpy() for c in ("token", "node", "n", "grp", "size", "low", "high"))
+        del columns
+        names = ("token", "node", "n", "reach", "grp", "size", "low", "high")
+        token, node, n, reach, grp, size, low, high = (t.column(c).to_numpy() for c in names)
         order = np.lexsort((grp, size, token))
-        token, node, n, grp, size, low, high = (x[order] for x in (token, node, n, grp, size, low, high))
+        token, node, n, reach, grp, size, low, high = (x[order] for x in (token, node, n, reach, grp, size, low, high))
         start = np.ones(len(token), dtype=bool)
         start[1:] = token[1:] != token[:-1]
         head = np.ones(len(token), dtype=bool)
         head[1:] = start[1:] | (grp[1:] != grp[:-1])
         heads = np.flatnonzero(head)
+        farthest = np.maximum.reduceat(reach, heads)
         of = np.cumsum(head) - 1  # the group entry of each row
         tokens = np.cumsum(start) - 1
         last = np.searchsorted(tokens[heads], tokens, side="right")  # group entries of a row's token end here
@@ -328,76 +357,127 @@ def open_groups(lists: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
         total = np.concatenate([[0], np.cumsum(later)])
         begin = 0
         while begin < len(token):  # a bounded number of entries at a time
-            end = max(begin + 1, int(np.searchsorted(total, total[begin] + (1 << 20), side="right")) - 1)
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + (1 << 19), side="right")) - 1)
             rows = np.repeat(np.arange(begin, end), later[begin:end])
-            entry = heads[of[rows] + 1 + flat(later[begin:end])]
-            fits = (4 * np.minimum(n[rows], high[entry]) >= 3 * np.maximum(n[rows], low[entry]))
+            own = of[rows] + 1 + flat(later[begin:end])
+            entry = heads[own]
+            fits = (4 * np.minimum(n[rows], high[entry]) >= 3 * np.maximum(n[rows], low[entry])) & (n[rows] <= farthest[own]) & (np.maximum(low[entry], (3 * n[rows] + 3) // 4) <= reach[rows])
             out_node.append(rows[fits])
             out_head.append(entry[fits])
-            if sum(map(len, out_node)) > 1 << 21 or end == len(token):
+            if sum(map(len, out_node)) > 1 << 20 or end == len(token):
                 rows, entry = np.concatenate(out_node), np.concatenate(out_head)
                 if len(rows):
                     order = np.lexsort((grp[entry], node[rows]))
                     rows, entry = rows[order], entry[order]
                     new = np.ones(len(rows), dtype=bool)
                     new[1:] = (node[rows][1:] != node[rows][:-1]) | (grp[entry][1:] != grp[entry][:-1])
-                    first = np.flatnonzero(new)
-                    r, e = rows[first], entry[first]
-                    count = np.diff(np.append(first, len(rows)))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[r], n[r], grp[e], size[e], low[e], high[e], count)], names=["node", "n", "grp", "size", "low", "high", "shared"])
+                    r, e = rows[new], entry[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[r], n[r], grp[e], size[e], low[e], high[e])], names=["node", "n", "grp", "size", "low", "high"])
                 out_node, out_head = [], []
             begin = end
 
-    counted = (
-        known.repartition(parts, "token").mapInArrow(matrix, "node long, n long, grp long, size long, low long, high long, shared long")
-        .groupBy("node", "n", "grp", "size", "low", "high").agg(F.sum("shared").alias("shared"))
-    )
+    pairs = compact(known.repartition(parts, "token").mapInArrow(matrix, "node long, n long, grp long, size long, low long, high long").distinct())
+    union = known.select("grp", "token").distinct()
+    counted = pairs.join(known.select("node", "token"), "node").join(union, ["grp", "token"]).groupBy("node", "n", "grp", "size", "low", "high").agg(F.count("*").alias("shared"))
     least = F.greatest(F.col("low"), F.ceil(3 * F.col("n") / 4))
     most = F.least(F.col("high"), F.floor(4 * F.col("n") / 3))
     # Between these two sizes the bound is larger; one less covers the rounding.
-    left = checkpoint(counted.where((least <= most) & (F.col("shared") >= F.greatest(F.lit(1), F.least(needed(F.col("n"), least), needed(F.col("n"), most)) - 1))))
-    single = left.where("size = 1").select(F.col("node").alias("a"), F.col("grp").alias("b"))
-    asked = left.where("size > 1").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "grp")
-    rows = asked.join(known.select(F.col("node").alias("a"), "token"), "a")
-    members = known.where("size > 1").select("grp", "token", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    within = rows.join(members, ["grp", "token"]).where(may_link(F.col("n_a"), F.col("n_b"))).groupBy("grp", "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    within = within.where(F.col("shared") >= needed(F.col("n_a"), F.col("n_b")))
-    order = W.partitionBy("a", "grp").orderBy(F.col("shared").desc(), "b")
-    return single.withColumn("turn", F.lit(1)).unionByName(within.select("a", "b", F.row_number().over(order).alias("turn")))
+    left = counted.where((least <= most) & (F.col("shared") >= F.greatest(F.lit(1), F.least(needed(F.col("n"), least), needed(F.col("n"), most)) - 1)))
+    return left.select("node", "grp", "size")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def difference_pairs(around: DataFrame, centres: DataFrame, whole: DataFrame, so_far: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may link, of nodes around a group: a is apart from the centre, and b from a.
+
+    ``around``: (grp, node); ``centres``: (grp, centre); ``so_far``: (node, root) of the linked components.
+    """
+    rooted = around.join(so_far, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+    middle = centres.join(so_far, centres["centre"] == so_far["node"], "left").select("grp", "centre", F.coalesce("root", "centre").alias("centre_root"))
+    rooted = rooted.join(middle, "grp").withColumn("apart", F.col("root") != F.col("centre_root")).where(F.col("node") != F.col("centre"))
+    have = rooted.groupBy("grp").agg(F.max("apart").alias("_any"), F.count("*").alias("_size")).where("_any").select("grp", (1 + F.floor(F.col("_size") / 1000)).cast("int").alias("_salts"))
+    rooted = rooted.join(have, "grp").select("grp", "node", "root", "apart", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int").alias("salt"))
+    # The centre's set goes once to each part of its group, so no task gets a whole group.
+    middles = middle.join(have, "grp").join(whole, F.col("centre") == whole["node"]).select("grp", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"), F.col("tokens").alias("middle"))
+    rows = rooted.join(whole, "node").join(middles, ["grp", "salt"]).select("grp", "node", "root", "apart", "tokens", "middle")
+
+    def differences(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                out, sizes = [], []
+                for x, c in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                    x, c = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint64)
+                    out.append(np.setxor1d(x, c, assume_unique=True))
+                    sizes.append(len(x))
+                d = np.array([len(x) for x in out])
+                at = pa.array(np.repeat(np.arange(part.num_rows), d))
+                columns = [part.column(j).take(at) for j in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(sizes, dtype=np.int64)).take(at), pa.array(d.astype(np.int64)).take(at), pa.array(np.concatenate(out).view(np.int64) if len(out) else np.zeros(0, np.int64))], names=["grp", "node", "root", "apart", "n", "d", "token"])
+
+    entries = checkpoint(rows.mapInArrow(differences, "grp long, node long, root long, apart boolean, n long, d long, token long"))
+    often = entries.groupBy("grp", "token").agg(F.count("*").alias("_often"), F.max("apart").alias("_any")).where("_often > 1 and _any")
+    # How far out the nearest to the centre are: what a partner has to share at least follows from it.
+    near = entries.groupBy("grp").agg(F.min(7 * F.col("d") - F.col("n")).alias("_near"), F.min(F.when(F.col("apart"), 7 * F.col("d") - F.col("n"))).alias("_near_apart"))
+    order = W.partitionBy("grp", "node").orderBy("_often", "token")
+    placed = entries.join(often, ["grp", "token"], "left").withColumn("_often", F.coalesce("_often", F.lit(1))).withColumn("at", F.row_number().over(order)).where("_any").join(near, "grp")
+    share = lambda own, other: F.greatest(F.lit(1), F.ceil((own + other) / 14 - F.lit(1e-9)))
+    out = 7 * F.col("d") - F.col("n")
+    placed = placed.where(F.col("at") <= F.col("d") - share(out, F.when(F.col("apart"), F.col("_near")).otherwise(F.col("_near_apart"))) + 1)
+    a = placed.where("apart").select("grp", "token", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"), F.col("at").alias("at_a"))
+    b = placed.select("grp", "token", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("d").alias("d_b"), F.col("at").alias("at_b"))
+    least = share(7 * F.col("d_a") - F.col("n_a"), 7 * F.col("d_b") - F.col("n_b"))
+    fits = (F.col("root_a") != F.col("root_b")) & may_link(F.col("n_a"), F.col("n_b")) & (F.col("at_a") <= F.col("d_a") - least + 1) & (F.col("at_b") <= F.col("d_b") - least + 1)
+    return a.join(b, ["grp", "token"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, with_group: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; if ``with_group``, also ``h``, xxhash64 of its text, and ``group``, a number of the component (null without shingles)."""
     spark = docs.sparkSession
-    parts = 2 * conf_int(spark, "spark.sql.shuffle.partitions", 200)
     docs = docs.select(F.col(id_col).alias("doc_id"), docs[text_col].cast("string").alias("text"))
     own = checkpoint(document_nodes(docs, k))
+    shingles = own.agg(F.sum("n")).first()[0] or 0
+    parts = max(2 * conf_int(spark, "spark.sql.shuffle.partitions", 200), -(-shingles // HOLD))
     bits = frequent_bits(token_counts(docs, parts, k), parts)
-    nodes = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = own.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "h")).alias("_f"), F.max("n").alias("n")).select("node", "_f.doc_id", "_f.h", "n")
     lists = checkpoint(posting_lists(docs, bits, parts, k))
-    stars = (
+    stars = compact(
         lists.where((F.col("node") != F.col("leader")) & may_link(F.col("n"), F.col("leader_n")))
         .groupBy("leader", "node", "leader_n", "n").agg(F.count("*").alias("shared"))
         .where(F.col("shared") >= needed(F.col("n"), F.col("leader_n")))
-        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        .select(F.col("leader").alias("a"), F.col("node").alias("b"), "shared")
+    )
+    links = verified(stars, whole_sets(stars.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, k))
+    so_far = compact(components(links))
+    grouped = compact(similar_groups(stars, so_far).join(nodes.select("node", "n"), "node"))
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    groups = grouped.join(sizes, "grp").select("node", "grp", "size", "low", "high")
+    left = compact(open_groups(lists, groups, parts))
+    # Around each group of two or more: its members and the nodes that it is open to.
+    around = compact(left.where("size > 1").select("grp", "node").unionByName(groups.where("size > 1").select("grp", "node")))
+    degree = stars.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_stars"))
+    chosen = groups.where("size > 1").select("grp", "node").join(degree, "node", "left").groupBy("grp").agg(
+        F.max(F.struct("_stars", "node")).alias("_c"), *(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("_h"), "node")).alias(f"_r{i}") for i in range(REPS))
     )
-    links = verified(stars, nodes, docs, k)
-    sizes = own.select("node", "n").distinct()
-    roots = checkpoint(components(links).join(sizes, "node"))
-    groups = roots.join(roots.groupBy("root").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high")), "root").select("node", "root", "size", "low", "high")
-    left = checkpoint(open_groups(lists, groups, parts))
-    links = checkpoint(links.unionByName(verified(left.where(F.col("turn") <= FIRST), nodes, docs, k)))
-    rest = left.where(F.col("turn") > FIRST)
-    if not rest.isEmpty():
-        so_far = checkpoint(components(links))
-        for end in ("a", "b"):
-            rest = rest.join(so_far.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        links = links.unionByName(verified(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")), nodes, docs, k))
-    final = components(links)
+    chosen = compact(chosen.select("grp", F.col("_c.node").alias("centre"), F.array_distinct(F.array("_c.node", *(f"_r{i}.node" for i in range(REPS)))).alias("reps")))
+    rooted = around.join(so_far, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+    middle = chosen.join(so_far, chosen["centre"] == so_far["node"], "left").select("grp", "reps", F.coalesce("root", "centre").alias("_root"))
+    asked = rooted.join(middle, "grp").where(F.col("root") != F.col("_root")).select(F.col("node").alias("a"), F.explode("reps").alias("b")).where("a != b")
+    # Two nodes in lists of their own need no look if they are around one group: their differences from its centre are compared.
+    single = left.where("size = 1").select(F.col("node").alias("a"), F.col("grp").alias("b"))
+    both = single.join(around.select(F.col("node").alias("a"), "grp"), "a").join(around.select(F.col("node").alias("b"), "grp"), ["b", "grp"]).select("a", "b").distinct()
+    pairs = compact(asked.unionByName(single.join(both, ["a", "b"], "left_anti")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    whole = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(around.select("node")), nodes, docs, k)
+    links = links.unionByName(verified(pairs, whole))
+    final = compact(components(links))
+    more = verified(difference_pairs(around, chosen.select("grp", "centre"), whole, final), whole)
+    if not more.isEmpty():
+        final = components(links.unionByName(more))
     placed = own.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = placed.where("n > 0").join(smallest, "root").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(placed.where("n = 0").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    extra = ["h", "group"] if with_group else []
+    names = [F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *extra]
+    linked = placed.where("n > 0").join(smallest, "root").withColumn("group", F.col("root")).select(*names)
+    return linked.unionByName(placed.where("n = 0").withColumns({"component_id": F.col("doc_id"), "group": F.lit(None).cast("long")}).select(*names))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

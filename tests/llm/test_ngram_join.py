@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from folioscope.llm.ngram_join import ngram_components
 from tests.llm.helpers import documents, texts
 
@@ -50,3 +53,38 @@ def test_repeated_rows_nulls_and_empty(spark):
     got = ngram_components(documents(spark, [(3, text), (3, text), (None, text), (5, text.upper()), (7, None), (8, "a b")])).collect()
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in got) == [(-1, 3, 3), (3, 3, 3), (3, 3, 3), (5, 3, 3), (7, 0, 7), (8, 1, 8)]
     assert ngram_components(documents(spark, ["x"]).limit(0)).collect() == []
+
+
+def test_rows_without_an_id_link(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("y" if i in at else w for i, w in enumerate(base))
+    rows = [(5, near(3)), (None, near(3, 20)), (6, near(3, 20, 40)), (9, "another text of its own entirely")]
+    got = sorted(((r["doc_id"] or -1, r["component_id"]) for r in ngram_components(documents(spark, rows)).collect()), key=str)
+    assert got == [(-1, 5), (5, 5), (6, 5), (9, 9)]
+
+
+def drifting(n, edits, seed=1, size=100):
+    """Copies of one text with so many words changed that about half of the pairs link, and none with all."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    out = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(size), rng.randint(*edits)):
+            words[at] = f"e{i}_{at}" if rng.random() < 0.5 else f"f{at}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("edits", [(1, 6), (3, 4), (4, 8)])
+def test_large_group_under_the_threshold(spark, edits):
+    rows = list(enumerate(drifting(120, edits) + texts(n=5)))
+    got = ngram_components(documents(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:29_000])), (3, " ".join(words[15_000:]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(documents(spark, rows)).collect()}
+    assert got == {1: (29_996, 1), 2: (28_996, 1), 3: (14_996, 3)}
