@@ -29,10 +29,10 @@ def _registry(spark):
 
 
 def upsert_merge(spark, sf):
-    """New labels for every third document replace old ones; the old toxic flag is kept."""
-    old = table(spark, sf, "labels").where("doc_id % 2 = 0")
-    new = table(spark, sf, "labels").where("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit(9).cast("int").alias("toxic"))
-    return ops.merged(old.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")), new.withColumn("quality", F.col("quality").cast("int")), ["doc_id"], ("toxic",))
+    """Labels of all documents by their length replace the labels that there are; an old toxic flag is kept."""
+    old = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    new = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") >= 500).cast("int").alias("quality"), F.lit(9).cast("int").alias("toxic"))
+    return ops.merged(old, new, ["doc_id"], ("toxic",))
 
 
 def count_by_state(spark, sf):
@@ -163,7 +163,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY fit DESC, s DESC, l
 ORACLES = {
     "retrieval_stats": """WITH pairs AS (SELECT q.vec_id AS query_id, i.vec_id, CAST(floor((1 - list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[])) * 1e6 + 0.5) AS BIGINT) AS distance FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs WHERE distance <= 450000) WHERE rank <= 12) SELECT query_id, min(distance) AS best, max(distance) AS worst, count(*) AS n FROM near GROUP BY query_id""",
-    "upsert_merge": """WITH o AS (SELECT doc_id, quality::INT AS quality, toxic::INT AS toxic FROM labels WHERE doc_id % 2 = 0), n AS (SELECT doc_id, (1 - quality)::INT AS quality FROM labels WHERE doc_id % 3 = 0)
+    "upsert_merge": """WITH o AS (SELECT doc_id, quality::INT AS quality, toxic::INT AS toxic FROM labels), n AS (SELECT doc_id, (n_chars >= 500)::INT AS quality FROM documents)
 SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality, coalesce(o.toxic, 9) AS toxic FROM o FULL JOIN n ON o.doc_id = n.doc_id""",
     "count_by_state": f"SELECT state, count(*) AS n FROM {inline_sql(TABLES, 'ord, doc_id, table_id, state')} GROUP BY state",
     "page_profile_counts": "SELECT source, count(*) FILTER (n_chars < 500) AS n_short, count(*) FILTER (n_chars >= 5000) AS n_long, count(*) FILTER (contains(text, '|')) AS n_tabular, count(*) AS n FROM documents GROUP BY source",

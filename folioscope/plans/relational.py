@@ -47,11 +47,12 @@ def customers_with_orders(spark, sf):
 
 
 def registry_reconcile(spark, sf):
-    """Documents and labels side by side, whichever is missing."""
-    docs, labels = table(spark, sf, "documents").select("doc_id", "lang").where("doc_id % 4 <> 0"), table(spark, sf, "labels").select("doc_id", "quality")
-    both = docs.join(labels, "doc_id", "full")
-    state = F.when(F.col("lang").isNull(), "label_only").when(F.col("quality").isNull(), "document_only").otherwise("both")
-    return both.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    """Documents, labels and vectors side by side, whichever is missing."""
+    docs, labels = table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", "quality")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("vector"))
+    every = docs.join(labels, "doc_id", "full").join(vectors, "doc_id", "full")
+    there = lambda c: F.col(c).isNotNull().alias(f"has_{c}")
+    return every.groupBy(there("lang"), there("quality"), there("vector")).agg(F.count("*").alias("n"))
 
 
 def doc_rollup_lang_source(spark, sf):
@@ -75,7 +76,9 @@ def moving_quantity(spark, sf):
 
 
 def set_ops_docs(spark, sf):
-    a, b = table(spark, sf, "documents").select("source", "lang").where("doc_id % 2 = 0"), table(spark, sf, "documents").select("source", "lang").where("doc_id % 3 = 0")
+    """The sources and languages of all documents against those of the labelled ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    a, b = docs.drop("doc_id"), docs.join(table(spark, sf, "labels"), "doc_id", "left_semi").drop("doc_id")
     tag = lambda df, name: df.select(F.lit(name).alias("op"), "source", "lang")
     return tag(a.intersect(b), "intersect").unionByName(tag(a.exceptAll(b), "except_all")).unionByName(tag(a.union(b).distinct(), "union"))
 
@@ -129,13 +132,13 @@ ORACLES = {
     "asof_event_prev_purchase": "SELECT v.event_id, (SELECT arg_max(p.event_id, row(p.ts, p.event_id)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = v.user_id AND (p.ts < v.ts OR (p.ts = v.ts AND p.event_id < v.event_id))) AS purchase_id FROM events v WHERE v.event_type = 'view'",
     "customers_without_orders": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "customers_with_orders": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)",
-    "registry_reconcile": "SELECT CASE WHEN lang IS NULL THEN 'label_only' WHEN quality IS NULL THEN 'document_only' ELSE 'both' END AS state, count(*) AS n FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 4 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1",
+    "registry_reconcile": "SELECT lang IS NOT NULL AS has_lang, quality IS NOT NULL AS has_quality, vec_id IS NOT NULL AS has_vector, count(*) AS n FROM documents FULL JOIN labels USING (doc_id) FULL JOIN embeddings ON doc_id = vec_id GROUP BY ALL",
     "doc_rollup_lang_source": "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping_id(lang, source)::INT AS level FROM documents GROUP BY ROLLUP (lang, source)",
     "orders_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "top_orders_per_customer": "SELECT o_custkey, o_orderkey, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3",
     "moving_quantity": """SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS last_three,
 count(*) OVER (PARTITION BY l_partkey ORDER BY l_shipdate::DATE RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS in_month FROM lineitem""",
-    "set_ops_docs": """WITH a AS (SELECT source, lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT source, lang FROM documents WHERE doc_id % 3 = 0)
+    "set_ops_docs": """WITH a AS (SELECT source, lang FROM documents), b AS (SELECT source, lang FROM documents SEMI JOIN labels USING (doc_id))
 SELECT 'intersect' AS op, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except_all', * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'union', * FROM (SELECT * FROM a UNION SELECT * FROM b)""",
     "events_pivot": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL",
     "revenue_by_month": "SELECT strftime(l_shipdate, '%Y-%m') AS month, CAST(sum(CAST(l_extendedprice::DECIMAL(18,2) * (1 - l_discount::DECIMAL(4,2)) AS DECIMAL(20,4))) AS VARCHAR) AS revenue FROM lineitem GROUP BY 1",

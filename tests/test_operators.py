@@ -144,3 +144,25 @@ def test_stream_equals_batch(spark, sf):
     batch = src.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     stream = events.run_once(spark, events.windowed(events.event_stream(spark, sf), "1 hour", "30 minutes"), "sliding_test", "complete")
     assert sorted(map(str, stream.collect())) == sorted(map(str, events.windowed(batch, "1 hour", "30 minutes").collect()))
+
+
+def test_fidelity_tokens_against_brute_force(spark, sf):
+    from folioscope.plans import language as plans
+
+    rows = src.table(spark, sf, "documents").collect()
+    marked = [(r["doc_id"], f"a) uno (b) dos 1) 12,5 c. x\n 3. y {r['text']} zz)9") for r in rows]
+    docs = spark.createDataFrame(marked, "doc_id long, text string")
+    expect = {}
+    for i, text in marked:
+        tokens = ["n:" + n.replace(",", ".") for n in re.findall(r"\d+(?:[.,]\d+)*", text)]
+        for pattern in language.LIST_MARKS:
+            tokens += ["l:" + m.lower() for m in re.findall(pattern.replace("(?m)", "(?m)"), text)]
+        expect[i] = sorted(tokens)
+    got = {r["doc_id"]: sorted(r["t"]) for r in docs.select("doc_id", language.fidelity_tokens(F.col("text")).alias("t")).collect()}
+    assert got == expect
+    counted = {(r["doc_id"], r["token"]): r["n"] for r in plans.fidelity_tokens(spark, sf).collect()}
+    assert sum(counted.values()) == sum(len(language_tokens(r["text"])) for r in rows)
+
+
+def language_tokens(text):
+    return re.findall(r"\d+(?:[.,]\d+)*", text) + [m for p in language.LIST_MARKS for m in re.findall(p, text)]
