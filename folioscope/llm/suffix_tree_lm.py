@@ -26,6 +26,7 @@ empty table gives an empty table; only the id and text columns are read, so othe
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -97,20 +98,37 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
 _MASS = 10  # kind of the masses at depth 0; kinds below are the numbers of tokens of counted strings
 
 
+def packed_hashes(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as six bytes of each step; the two bytes above of the few larger steps follow."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    large = np.flatnonzero(steps >> np.uint64(48)).astype("<u4")
+    low = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return np.array([len(hashes), len(large)], dtype="<u4").tobytes() + low.tobytes() + large.tobytes() + (steps[large] >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def unpacked_hashes(raw: bytes) -> np.ndarray:
+    n, m = np.frombuffer(raw, "<u4", 2).tolist()
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 8).reshape(n, 6)
+    steps = steps.view("<u8").ravel()
+    steps[np.frombuffer(raw, "<u4", m, 8 + 6 * n)] += np.frombuffer(raw, "<u2", m, 8 + 6 * n + 4 * m).astype(np.uint64) << np.uint64(48)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def packed(values: np.ndarray, own: np.ndarray, kind: int) -> bytes:
-    """Answers in the order of the strings asked for: bits, then the numbers of those that have one, and whether the asker accounts for them."""
+    """Answers in the order of the strings asked for: bits, then the numbers of those that have one, and whether the asker accounts for them; compressed."""
     have = values > 0 if kind == 1 or kind > _MASS else values >= LOWEST
     if kind > _MASS:
-        return np.uint32(len(values)).tobytes() + b"m" + np.packbits(have).tobytes() + values[have].astype("<f8").tobytes()
+        return zlib.compress(np.uint32(len(values)).tobytes() + b"m" + np.packbits(have).tobytes() + values[have].astype("<f8").tobytes(), 1)
     wide = bool(len(values)) and values.max() >= 1 << 32
     numbers = values[have].astype("<u8" if wide else "<u4").tobytes()
-    return np.uint32(len(values)).tobytes() + (b"w" if wide else b"n") + np.packbits(have).tobytes() + numbers + np.packbits(own[have]).tobytes()
+    return zlib.compress(np.uint32(len(values)).tobytes() + (b"w" if wide else b"n") + np.packbits(have).tobytes() + numbers + np.packbits(own[have]).tobytes(), 1)
 
 
 def unpacked(raw: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
     """(values, whether the asker accounts for them)."""
     values, owns = [np.zeros(0, "<f8" if kind > _MASS else np.int64)], [np.zeros(0, dtype=bool)]
-    for x in raw:
+    for x in map(zlib.decompress, raw):
         n = int(np.frombuffer(x, "<u4", 1)[0])
         at = 5 + (n + 7) // 8
         have = np.unpackbits(np.frombuffer(x, np.uint8, at - 5, 5), count=n).astype(bool)
@@ -196,7 +214,7 @@ class Chunk:
                 mine = np.zeros(len(self.gram), dtype=bool)
                 mine[first[own]] = True
                 mine = mine[at]
-                mass = (context, np.bincount(which[mine], share[mine], minlength=len(context)))
+                mass = (context, np.bincount(which[mine], share[mine], minlength=len(context)).astype("<f4"))
                 if depth == DEPTH:
                     return [(_MASS + depth, *mass)]
                 continue
@@ -220,8 +238,8 @@ def answer(batches):
     for kind in sorted(asked):
         rows = sorted(asked.pop(kind), key=lambda r: r[:2])
         chunk, part = (np.array([r[c] for r in rows], dtype=np.int32) for c in (0, 1))
-        hashes = [np.frombuffer(r[2], np.uint64) for r in rows]
-        values = np.concatenate([np.frombuffer(r[3], "<f8" if kind > _MASS else "<i4") for r in rows])
+        hashes = [unpacked_hashes(r[2]) for r in rows]
+        values = np.concatenate([np.frombuffer(r[3], "<f4" if kind > _MASS else "<i4") for r in rows])
         del rows
         edge = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
         order, new = distinct(np.concatenate(hashes))
@@ -256,8 +274,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = []
             for kind, hashes, values in Chunk(t, answers).run(rounds, tokens, distinct):
                 cut = np.searchsorted(_part(hashes, parts), np.arange(parts + 1))
-                pack = lambda x: pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in range(parts)], pa.binary())  # noqa: E731, B023
-                out.append(pa.table({"chunk": pa.array(np.full(parts, t.column("chunk")[0].as_py(), np.int32)), "kind": pa.array(np.full(parts, kind, np.int32)), "part": pa.array(np.arange(parts, dtype=np.int32)), "hashes": pack(hashes), "values": pack(values)}))
+                pack = lambda x, form: pa.array([form(x[cut[p] : cut[p + 1]]) for p in range(parts)], pa.binary())  # noqa: E731, B023
+                out.append(pa.table({"chunk": pa.array(np.full(parts, t.column("chunk")[0].as_py(), np.int32)), "kind": pa.array(np.full(parts, kind, np.int32)), "part": pa.array(np.arange(parts, dtype=np.int32)), "hashes": pack(hashes, packed_hashes), "values": pack(values, np.ndarray.tobytes)}))
             return pa.concat_tables(out)
 
         return ask
