@@ -10,8 +10,8 @@ Inside a range one sorted sweep keeps the stack of the nested rules that are ope
 Defined results: a null url or one without ``://`` has an empty host and path and fits no rule; the
 longest rule (host and path together) wins, then the longer host, then block; urls that no rule fits
 get ``default``; equal urls are judged once and joined back, so repeated rows keep their rows; rules
-with a null host or path are left out; an empty table or rule set is allowed; only the id and url
-columns are read, so other columns cannot clash.
+with a null host or path are left out; a very long url is a key like any other; an empty table or rule
+set is allowed; only the id and url columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -105,9 +105,11 @@ def url_filter(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("size"), "host_size", F.col("verdict"), F.col("rule"))).alias("_best"))
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    found = rows.where("host != ''").join(best, ["host", "path"], "left").select(
         id_col, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
     )
+    # Urls without a host, however many, fit no rule and need no join.
+    return found.unionByName(rows.where("host = ''").select(id_col, "host", "path", null("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
