@@ -40,7 +40,7 @@ from folioscope.llm._kernels import mix, text_bytes, word_hashes
 
 DEPTH, GAIN, DISCOUNT, ESCAPE = 3, 6.0, 0.75, 0.02
 LOWEST = 2
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, OWNER_BYTES = 4 << 20, 8 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 
@@ -118,23 +118,25 @@ def unpacked_hashes(raw: bytes) -> np.ndarray:
 def packed(values: np.ndarray, own: np.ndarray, kind: int) -> bytes:
     """Answers in the order of the strings asked for: bits, then the numbers of those that have one, and whether the asker accounts for them; compressed."""
     have = values > 0 if kind == 1 or kind > _MASS else values >= LOWEST
-    if kind > _MASS:
-        return zlib.compress(np.uint32(len(values)).tobytes() + b"m" + np.packbits(have).tobytes() + values[have].astype("<f8").tobytes(), 1)
+    if kind > _MASS:  # what a context's followers leave, or minus what they use if that is too much
+        left = np.where(values > 1 - ESCAPE, -values, 1 - values)
+        return zlib.compress(np.uint32(len(values)).tobytes() + b"m" + np.packbits(have).tobytes() + left[have].astype("<f4").tobytes(), 1)
     wide = bool(len(values)) and values.max() >= 1 << 32
     numbers = values[have].astype("<u8" if wide else "<u4").tobytes()
     return zlib.compress(np.uint32(len(values)).tobytes() + (b"w" if wide else b"n") + np.packbits(have).tobytes() + numbers + np.packbits(own[have]).tobytes(), 1)
 
 
 def unpacked(raw: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """(values, whether the asker accounts for them)."""
+    """(values, whether the asker accounts for them); for masses what is left of 1, or minus what is used."""
     values, owns = [np.zeros(0, "<f8" if kind > _MASS else np.int64)], [np.zeros(0, dtype=bool)]
+    nothing = 1 if kind > _MASS else 0
     for x in map(zlib.decompress, raw):
         n = int(np.frombuffer(x, "<u4", 1)[0])
         at = 5 + (n + 7) // 8
         have = np.unpackbits(np.frombuffer(x, np.uint8, at - 5, 5), count=n).astype(bool)
         kept = int(have.sum())
-        form = {b"m": "<f8", b"w": "<u8", b"n": "<u4"}[x[4:5]]
-        value, own = np.zeros(n, values[0].dtype), np.zeros(n, dtype=bool)
+        form = {b"m": "<f4", b"w": "<u8", b"n": "<u4"}[x[4:5]]
+        value, own = np.full(n, nothing, dtype=values[0].dtype), np.zeros(n, dtype=bool)
         value[have] = np.frombuffer(x, form, kept, at)
         if kind <= _MASS:
             own[have] = np.unpackbits(np.frombuffer(x, np.uint8, offset=at + kept * np.dtype(form).itemsize), count=kept).astype(bool)
@@ -218,9 +220,9 @@ class Chunk:
                 if depth == DEPTH:
                     return [(_MASS + depth, *mass)]
                 continue
-            used = self.answers[_MASS + depth][0]
-            scale = np.where(used > 1 - ESCAPE, (1 - ESCAPE) / np.maximum(used, 1e-300), 1.0)  # counts of a context at text ends
-            rest = 1 - used * scale
+            left = self.answers[_MASS + depth][0]
+            scale = np.where(left < 0, (1 - ESCAPE) / np.maximum(-left, 1e-300), 1.0)  # counts of a context at text ends
+            rest = np.where(left < 0, ESCAPE, left)
             value = value.copy()
             value[at] = share * scale[which] + rest[which] * value[at]
         return root, value
@@ -261,11 +263,13 @@ def answer(batches):
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hold: int = 2, folds: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
-    parts = conf_int(spark, "spark.sql.shuffle.partitions", 200)
+    shuffled = conf_int(spark, "spark.sql.shuffle.partitions", 200)
     fold = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(fold == hold, F.lit(True)).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(math.ceil(size / CHUNK_BYTES), 4 * parts)
+    # Chunks and the parts that own strings follow the text; with little of it there are no more than it fills.
+    chunks = max(math.ceil(size / CHUNK_BYTES), min(4 * shuffled, math.ceil(size / (1 << 18))), 1)
+    parts = max(math.ceil(size / OWNER_BYTES), min(shuffled, math.ceil(size / (1 << 20))), 1)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     answers, tokens, distinct = spark.createDataFrame([], _ANSWERS), 0, 0
 

@@ -102,11 +102,12 @@ def test_distinct_and_packed():
         assert (hashes[order[new]] == one).all() and (order[new] == first).all() and ((np.cumsum(new) - 1)[np.argsort(order)] == which).all()
     for hashes in (np.zeros(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)), np.array([0, 5, (1 << 64) - 1], dtype=np.uint64), np.array([1 << 63], dtype=np.uint64)):
         assert (lm.unpacked_hashes(lm.packed_hashes(hashes)) == hashes).all()
-    for kind, values in ((1, [0, 1, 5, 1 << 33]), (2, [0, 1, 2, 9, 1 << 20]), (lm._MASS + 1, [0.0, 0.25, 1e-9])):
+    for kind, values in ((1, [0, 1, 5, 1 << 33]), (2, [0, 1, 2, 9, 1 << 20]), (lm._MASS + 1, [0.0, 0.25, 1.5])):
         own = np.array([i % 2 == 1 for i in range(len(values))])
         got, mine = lm.unpacked([lm.packed(np.array(values), own, kind)] * 2 + [lm.packed(np.array(values[:0]), own[:0], kind)], kind)
         least = 0 if kind == 1 or kind > lm._MASS else lm.LOWEST
-        assert got.tolist() == [v if v >= least else 0 for v in values] * 2
+        expect = [1 - v if v <= 1 - lm.ESCAPE else -v for v in values] if kind > lm._MASS else [v if v >= least else 0 for v in values]
+        assert got.tolist() == expect * 2
         assert kind > lm._MASS or mine.tolist() == [bool(o) and v >= max(1, least) for o, v in zip(own, values)] * 2
 
 
