@@ -45,3 +45,11 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert quality_rules(documents(spark, ["x"]).limit(0)).collect() == []
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    text = " ".join(words + words[100:160])
+    chars = sum(map(len, words)) + sum(map(len, words[100:160]))
+    got = tuple(quality_rules(documents(spark, [text])).first())[1:]
+    assert got == (200_060, chars, 0, 0, 120, False, 120, 60, True)

@@ -40,3 +40,9 @@ def test_no_rules_and_empty_table(spark):
     df = spark.createDataFrame([(1, "http://example.org/es/")], "page_id long, url string")
     assert url_filter(df.limit(0), rule_table(spark)).collect() == []
     assert url_filter(df, rule_table(spark).limit(0)).first()["verdict"] == "allow"
+
+
+def test_a_very_long_url(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 20 + "example.org/es/" + "x" * 50_000), (2, None), (3, "x" * 50_000), (4, "http:///es/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["path"])) for r in url_filter(df, rule_table(spark)).collect()}
+    assert got == {1: ("example.org/es/", "block", 50_004), 2: (None, "allow", 0), 3: (None, "allow", 0), 4: (None, "allow", 4)}
