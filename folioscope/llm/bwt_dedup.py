@@ -220,7 +220,8 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     most = rows.groupBy("doc_id").count().agg(F.max("count"), F.max(F.col("doc_id").isNull())).first()
     if (most[0] or 1) == 1 and not most[1] and isinstance(docs.schema[id_col].dataType, T.IntegralType):
-        return rows.withColumn("key", F.col("doc_id").cast("long"))
+        # An expression of its own, so that both readings of the rows prune alike and share one shuffle.
+        return rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
     # Ranks by ranges of (id, hash of the text): a rank in each range, and the sums of the ranges before it.
     hashed = rows.withColumn("_h", F.xxhash64("text"))
     kinds = hashed.select("doc_id", "_h").distinct().repartitionByRange(F.col("doc_id").asc_nulls_last(), F.col("_h").asc())
