@@ -29,7 +29,7 @@ from folioscope.llm._common import checkpoint, conf_int, table, text_column
 BLOCK = 64
 SHARD = 4096
 #: Rows in a bucket of a prefix sum, and slots or copies unrolled by a task, about.
-BUCKET, UNROLL = 20_000, 500_000
+BUCKET, UNROLL = 4_000, 500_000
 ROUNDS = 12
 WEIGHTS = (3, 1, 2)
 
