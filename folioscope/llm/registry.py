@@ -18,6 +18,7 @@ _PLACES = {
     "op8_bwt_dedup": "folioscope.llm.bwt_dedup",
     "op9_source_mix": "folioscope.llm.source_mix",
     "op10_bpe_codec": "folioscope.llm.bpe_codec",
+    "op11_importance_resample": "folioscope.llm.importance_resample",
     "op12_conversation_repair": "folioscope.llm.conversation_repair",
 }
 
