@@ -20,6 +20,7 @@ _PLACES = {
     "op10_bpe_codec": "folioscope.llm.bpe_codec",
     "op11_importance_resample": "folioscope.llm.importance_resample",
     "op12_conversation_repair": "folioscope.llm.conversation_repair",
+    "op13_language_id": "folioscope.llm.language_id",
 }
 
 
