@@ -141,7 +141,8 @@ def message_spans(text: str, limit: int) -> list[tuple[int, int]]:
     blocks = [(m.start(), m.end()) for m in re.finditer(r"(?is)<pre\b[^>]*>.*?</pre>", text)]
     inside = lambda at: any(a < at < b for a, b in blocks)
     gaps = [(m.start(), m.end()) for m in re.finditer(r"\n{2,}", text) if not inside(m.start())]
-    breaks = sorted({*gaps, *((e, e) for block in blocks for e in block)})
+    ended = {b for _, b in gaps}  # an edge at which a gap ends is no other break
+    breaks = sorted({*gaps, *((e, e) for block in blocks for e in block if e not in ended)})
     starts = [a for a, _ in breaks]
     out, at = [], 0
     while len(text) - at > limit:

@@ -54,8 +54,9 @@ def _nearest(ids: np.ndarray, matrix: np.ndarray, k: int, threshold: float | Non
             if not batch.num_rows or not len(ids):
                 continue
             batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), matrix.shape[1]))  # null or ragged vectors are near nothing
-            own = batch.column(0).to_numpy()
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+            whole = np.isfinite(flat).all(axis=1)  # so are those with an element that is null or no number
+            own, flat = batch.column(0).to_numpy()[whole], flat[whole]
             step = max(1, BLOCK // len(ids))
             for a in range(0, len(own), step):
                 rows = flat[a : a + step]
