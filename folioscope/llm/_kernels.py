@@ -86,14 +86,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z lower-cased if ``lower``."""
+    """A 64-bit hash of every word, A-Z lower-cased if ``lower``.
+
+    Each byte is mixed with its place before the sum, so that no rule of algebra makes two words equal, as one
+    does for polynomials modulo 2**64.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     own = data[is_word]
     size = ends - starts
     first = np.cumsum(size) - size
     place = np.arange(len(own)) - np.repeat(first, size)
-    values = _BYTE[_LOWER[own] if lower else own] * powers(int(size.max()))[place]
+    values = mix(_BYTE[_LOWER[own] if lower else own] + place.astype(np.uint64) * _BASE)
     return mix(np.add.reduceat(values, first) + size.astype(np.uint64) * _M2)
 
 
