@@ -113,10 +113,14 @@ def _short(hashes: Column) -> Column:
 
 def with_own(df: DataFrame) -> DataFrame:
     """``rest``: the 8-digit hash of the least of all ``_terms`` in each of ``OWN`` subsets that part them, joined."""
-    hashes = F.transform(F.array_remove("_terms", ""), lambda t: F.xxhash64(t))
-    # The least of a subset is nearly always among these; if not, the subset counts as without a term.
-    df = df.withColumn("_own", F.slice(F.sort_array(hashes), 1, 4 * OWN))
-    least = [F.array_min(F.filter("_own", lambda h: F.pmod(h, F.lit(OWN)) == i)) for i in range(OWN)]  # noqa: B023
+    lowest = F.lit(-(1 << 63)).cast("long")
+    # The subset's number in the highest bits, then the hash in its order: the least of each subset is the first of its run.
+    turned = F.transform(F.array_remove("_terms", ""), lambda t: F.shiftleft(F.xxhash64(t), 60).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t).bitwiseXOR(lowest), 4)))
+    df = df.withColumn("_sorted", F.sort_array(turned))
+    subset = lambda k: F.shiftrightunsigned(k, 60)
+    df = df.withColumn("_own", F.filter("_sorted", lambda k, i: (i == 0) | (subset(k) != subset(F.get("_sorted", i - 1))))).drop("_sorted")
+    back = lambda k: F.shiftleft(k, 4).bitwiseOR(subset(k)).bitwiseXOR(lowest)
+    least = [F.get(F.transform(F.filter("_own", lambda k: subset(k) == i), back), 0) for i in range(OWN)]  # noqa: B023
     return df.withColumn("rest", F.concat_ws(".", *(_short(x) for x in least))).drop("_own")
 
 

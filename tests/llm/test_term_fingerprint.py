@@ -77,7 +77,7 @@ def brute(rows, least, most, seed=11):
         found = sorted(_signed(_hash(x)) for x in split(text) & band)
         name = {_signed(_hash(x)): x for x in split(text) & band}
         chosen = [[h for h in found if _signed(_hash((seed + i).to_bytes(4, "little"), _hash(name[h]))) % c == 0] for i, c in enumerate(CHANCES)]
-        own = sorted(_signed(_hash(x)) for x in split(text))[: 4 * OWN]
+        own = sorted(_signed(_hash(x)) for x in split(text))
         # Of no term the hash is that of null, the seed.
         rest = [next((h for h in own if h % OWN == i), None) for i in range(OWN)]
         return [_chain(c) for c in chosen] + [_chain([] if h is None else [h]) for h in rest]
