@@ -13,7 +13,8 @@ same sample.  The model, a few hundred numbers, is all that is sent to the execu
 Defined results: a null text, or one without a word, gets the share of good documents in the sample;
 without labelled rows every score is 0.5; labels that are null are left out, and of several labels for
 an id the smallest holds; repeated rows give repeated results; ties in the order of the sample go by id;
-a very long text is scored whole, and learnt from only if its lines fit into the sample; an empty table
+of rows that share a training id, the one whose text has the
+smallest hash is learnt from; a very long text is scored whole, and learnt from only if its lines fit into the sample; an empty table
 gives an empty table; only the columns named are read, so other columns cannot clash; lang and source are
 never read.
 """
@@ -271,16 +272,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fit on the ``train_docs`` labelled training documents with the smallest hashes, as far as their lines fit into ``train_lines``."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), 5) != 0)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(train_docs)
-    picked = docs.select(id_col, docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col).alias("at"), F.col("_label").alias("label"), "text")
-    schema = "at long, label int, n long, lines binary, words binary"
+    picked = docs.select(id_col, docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), id_col).select(F.xxhash64(id_col).alias("at"), F.col("_label").alias("label"), "text", F.xxhash64("text").alias("of"))
+    schema = "at long, label int, of long, n long, lines binary, words binary"
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         features, words, row = line_features(batch.column(2))
         edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
         part = [slice(edge[i], edge[i + 1]) for i in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(edge)), pa.array([features[p].astype("<f4").tobytes() for p in part], pa.binary()), pa.array([words[p].astype("<i8").tobytes() for p in part], pa.binary())], names=["at", "label", "n", "lines", "words"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(edge)), pa.array([features[p].astype("<f4").tobytes() for p in part], pa.binary()), pa.array([words[p].astype("<i8").tobytes() for p in part], pa.binary())], names=["at", "label", "of", "n", "lines", "words"])
 
-    found = checkpoint(map_text(picked, lambda: step, T._parse_datatype_string(schema)).where("n > 0"))
+    # Of rows that share an id, one is learnt from, so that the driver gets ``train_docs`` rows at most.
+    lines = map_text(picked, lambda: step, T._parse_datatype_string(schema)).where("n > 0")
+    found = checkpoint(lines.groupBy("at").agg(F.min(F.struct("of", "label", "n", "lines", "words")).alias("r")).select("at", "r.*"))
     sizes = sorted((r["at"], r["n"]) for r in found.select("at", "n").collect())
     left, take = train_lines, []
     for at, n in sizes:
