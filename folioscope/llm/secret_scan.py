@@ -8,7 +8,7 @@ The span of a match comes from lengths: ``split`` gives the gaps between the mat
 ``regexp_extract_all`` gives, both leftmost and non-overlapping.  All steps are DataFrame functions.
 
 The ledger can be a table at a path (``scan_incrementally``); a run appends what it has scanned, a text's
-older versions stay in it, and a new rule version is scanned anew.
+older versions stay in it.  The rule version is a digest of the rules: other rules are scanned anew.
 
 Defined results: a null text is the empty blob without findings; repeated rows give repeated results;
 spans that start at one place come in the order of the kinds; a very long or very rich text is scanned
@@ -19,6 +19,7 @@ end exclusive, in the whole text.
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 
 from folioscope.llm._common import checkpoint, table, text_column
 
-RULE_VERSION = "2"
-
 
 class Rule(NamedTuple):
     kind: str
@@ -55,6 +54,13 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
+
+
+def rule_version(rules) -> str:
+    """A digest of the rules, so that another set of rules is another version."""
+    return hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()[:16]
+
+
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -104,9 +110,9 @@ def blob_of(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def new_findings(docs: DataFrame, ledger: DataFrame | None = None, rules=BASE + MORE, version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
+def new_findings(docs: DataFrame, ledger: DataFrame | None = None, rules=BASE + MORE, text_col: str = "text") -> DataFrame:
     """Ledger rows (blob, rule_version, spans) for the blobs that the ledger hasn't seen under this rule version."""
-    text = text_column(text_col)
+    text, version = text_column(text_col), rule_version(rules)
     blobs = docs.select(blob_of(text).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
@@ -118,13 +124,13 @@ def new_findings(docs: DataFrame, ledger: DataFrame | None = None, rules=BASE +
 SMALL, SMALL_BYTES = 100_000, 8 << 20
 
 
-def with_findings(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION, text_col: str = "text") -> DataFrame:
+def with_findings(docs: DataFrame, ledger: DataFrame, rules=BASE + MORE, text_col: str = "text") -> DataFrame:
     """``row``, a struct of all columns of every path, and its blob's ``spans``.
 
     Only blobs with findings are joined.  They are broadcast if they are few and small, which is checked;
     else the join is by blob, and paths of one blob can be split over tasks.
     """
-    known = checkpoint(ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans"))
+    known = checkpoint(ledger.where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans"))
     size = known.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("s")).first()
     few = size["n"] <= SMALL and 128 * (size["s"] or 0) + 128 * size["n"] <= SMALL_BYTES
     paths = docs.select(F.struct("*").alias("row"), blob_of(text_column(text_col)).alias("blob"))
@@ -145,11 +151,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(schema).parquet(path).dropDuplicates(["blob", "rule_version"])
 
 
-def scan_incrementally(docs: DataFrame, path: str, rules=None, version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_incrementally(docs: DataFrame, path: str, rules=BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``secret_scan`` with the ledger stored at ``path``: scans the unseen (blob, rule version) pairs, appends them, and joins findings back to all paths."""
     spark = docs.sparkSession
-    append_ledger(new_findings(docs, read_ledger(spark, path), rules or BASE + MORE, version, text_col), path)
-    return _report(docs, read_ledger(spark, path), version, id_col, text_col)
+    append_ledger(new_findings(docs, read_ledger(spark, path), rules, text_col), path)
+    return _report(docs, read_ledger(spark, path), rules, id_col, text_col)
 
 
 def joined(spans: Column) -> Column:
@@ -159,11 +165,11 @@ def joined(spans: Column) -> Column:
 def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
     new = new_findings(docs, ledger, text_col=text_col)
-    return _report(docs, new if ledger is None else ledger.select(*new.columns).unionByName(new), RULE_VERSION, id_col, text_col)
+    return _report(docs, new if ledger is None else ledger.select(*new.columns).unionByName(new), BASE + MORE, id_col, text_col)
 
 
-def _report(docs: DataFrame, ledger: DataFrame, version: str, id_col: str, text_col: str) -> DataFrame:
-    rows = with_findings(docs.select(id_col, text_col), ledger, version, text_col)
+def _report(docs: DataFrame, ledger: DataFrame, rules, id_col: str, text_col: str) -> DataFrame:
+    rows = with_findings(docs.select(id_col, text_col), ledger, rules, text_col)
     count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     return rows.select(
         F.col(f"row.{id_col}").alias(id_col),

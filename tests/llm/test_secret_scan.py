@@ -3,7 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from folioscope.llm.secret_scan import new_findings, redacted, scan_incrementally, secret_scan, with_findings
+from folioscope.llm.secret_scan import BASE as RULES
+from folioscope.llm.secret_scan import new_findings, redacted, rule_version, scan_incrementally, secret_scan, with_findings
 from tests.llm.helpers import documents
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -39,7 +40,7 @@ def test_ledger_is_incremental(spark):
     assert new_findings(first, ledger).count() == 0
     more = documents(spark, [*TEXTS, "token=fresh123", TEXTS[5]])
     assert new_findings(more, ledger).count() == 1
-    assert new_findings(first, ledger, version="next").count() == ledger.count()
+    assert new_findings(first, ledger, rules=RULES).count() == ledger.count()
     assert sorted(map(tuple, secret_scan(more, ledger).collect())) == sorted(map(tuple, secret_scan(more).collect()))
 
 
@@ -58,8 +59,14 @@ def test_stored_ledger(spark, tmp_path):
     seen = spark.read.parquet(path).count()
     assert sorted(map(tuple, scan_incrementally(more, path).collect())) == sorted(map(tuple, secret_scan(more).collect()))
     assert spark.read.parquet(path).count() == seen + 1
-    scan_incrementally(first, path, version="next").count()
-    assert spark.read.parquet(path).where("rule_version = 'next'").count() == seen
+    # Other rules are another version, so neither hides the other's findings.
+    few = scan_incrementally(first, path, rules=RULES[1:2]).collect()
+    assert spark.read.parquet(path).where(F.col("rule_version") == rule_version(RULES[1:2])).count() == seen
+    assert {r["n_assign"] for r in few} != {0} or not any(r["spans"].startswith("assign") for r in few)
+    assert sorted(map(tuple, scan_incrementally(first, path).collect())) == sorted(map(tuple, secret_scan(first).collect()))
+    other = str(tmp_path / "other")
+    scan_incrementally(first, other, rules=RULES[2:])
+    assert sorted(map(tuple, scan_incrementally(first, other).collect())) == sorted(map(tuple, secret_scan(first).collect()))
 
 
 def test_a_text_full_of_findings(spark):
