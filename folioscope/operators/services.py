@@ -82,8 +82,7 @@ def registered(documents: DataFrame, files: DataFrame, only: str | None = None)
 def build_index(docs: DataFrame, root: str, version: str) -> DataFrame:
     """Rebuild the lexical index from scratch under ``root/version`` and write its manifest last: one row."""
     spark = docs.sparkSession
-    LexicalIndex.build(docs).write(f"{root}/{version}/lexical")
-    built = LexicalIndex.read(spark, f"{root}/{version}/lexical")
+    built = LexicalIndex.read(spark, LexicalIndex.build(docs).write(f"{root}/{version}/lexical"))
     manifest = built.snapshot.crossJoin(built.terms.agg(F.count("*").alias("n_terms"))).crossJoin(built.postings.agg(F.count("*").alias("n_postings"))).withColumn("version", F.lit(version))
     manifest.coalesce(1).write.mode("overwrite").json(f"{root}/{version}/manifest")
     return spark.read.schema(manifest.schema).json(f"{root}/{version}/manifest")

@@ -109,7 +109,7 @@ def windows(docs: DataFrame, size: int, overlap: int, doc: str = "doc_id", text:
     return docs.where(F.length(text) > 0).select(doc, text, F.posexplode(starts).alias("window_no", "start")).select(doc, "window_no", "start", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("text"))
 
 
-def packed(parts: Column, budget: int, hard: int) -> Column:
+def packed(parts: Column, budget: int | Column, hard: int | Column) -> Column:
     """Pieces packed greedily into chunks of at most ``budget`` estimated tokens; a piece above ``hard`` is cut after ``.``, ``;`` or ``:`` first."""
     small = F.flatten(F.transform(parts, lambda p: F.when(token_estimate(p) <= hard, F.array(p)).otherwise(F.split(p, r"(?<=[.;:])\s+"))))
 
@@ -124,8 +124,11 @@ def packed(parts: Column, budget: int, hard: int) -> Column:
 
 
 def chunks(docs: DataFrame, budget: int = 450, hard: int = 560, doc: str = "doc_id", text: str = "text", header: str | None = None) -> DataFrame:
-    """(doc, chunk_id, n_tokens, text): a document's pieces packed, after ``[header]`` if given."""
+    """(doc, chunk_id, n_tokens, text): a document's pieces packed, after ``[header]`` if given, whose tokens go off the budgets."""
     head = F.concat(F.lit("["), F.col(header), F.lit("]\n")) if header else F.lit("")
+    if header:
+        docs = docs.withColumn("_used", token_estimate(head))
+        budget, hard = F.greatest(F.lit(80), budget - F.col("_used")), F.greatest(F.lit(120), hard - F.col("_used"))
     parts = F.filter(F.split(text, r"\n(?=\s*(?:[a-zñ]\)|[A-ZÑ]\)|\d{1,2}\.\s|[•\-–]\s))|\n\s*\n"), lambda p: F.trim(p) != "")
     rows = docs.select(doc, head.alias("_head"), F.posexplode(packed(parts, budget, hard)).alias("_n", "_text"))
     return rows.select(doc, F.format_string("%s_c%05d", F.col(doc).cast("string"), F.col("_n")).alias("chunk_id"), token_estimate(F.col("_text")).alias("n_tokens"), F.concat("_head", "_text").alias("text"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import answers, figures, language, metadata, registry, relational, search, streams, structure
+from folioscope.plans import answers, figures, language, layout, metadata, registry, relational, search, stores, streams, structure
 
-_PLANS = (search, structure, registry, language, answers, figures, relational, streams, metadata)
+_PLANS = (search, structure, registry, layout, language, answers, figures, relational, streams, metadata, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
