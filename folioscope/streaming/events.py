@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.lineage import shared_folder
+
 
 def watermarked(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay) if events.isStreaming else events
@@ -38,9 +42,13 @@ def paired(views: DataFrame, purchases: DataFrame, within: str = "1 hour") -> Da
 
 
 def run_once(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now through the stream into a memory table."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Everything that is there now through the stream into files of the shared folder; of a complete result the last state."""
+    root = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    write = "overwrite" if mode == "complete" else "append"
+    # A batch that is tried again after a failure has a file for its number already, and replaces it.
+    keep = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/rows/{'all' if write == 'overwrite' else f'batch={n}'}")
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{root}/rows")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
