@@ -99,7 +99,7 @@ def entities(text: Column) -> Column:
         elif kind in ("tabla", "articulo"):
             values = F.transform(values, lambda v: F.regexp_replace(v, r"\s+", ""))
         else:
-            values = F.transform(values, F.trim)
+            values = F.transform(values, lambda v: F.trim(v))  # as a bare function it would take the place in the array for the characters to trim
         if kind == "ref":
             values = F.array_except(values, F.transform(F.filter(F.concat(*found), lambda e: e["type"].isin("tabla", "articulo", "seccion")), lambda e: e["value"]))
         found.append(_typed(kind, F.array_distinct(values)))

@@ -7,7 +7,7 @@ import pytest
 
 from folioscope.plans import catalogue
 
-QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+QUERIES, SQL, EXAMPLES = catalogue.queries(), catalogue.oracle_sql(), catalogue.examples()
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +25,18 @@ def plain(rows):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, sf, duck, name):
-    df = QUERIES[name](spark, sf)
+    same(duck, QUERIES[name](spark, sf), SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(EXAMPLES))
+def test_examples(spark, sf, duck, name):
+    query, sql = EXAMPLES[name]
+    same(duck, query(spark, sf), sql)
+
+
+def same(duck, df, sql):
     columns = sorted(df.columns)
-    result = duck.execute(SQL[name])
+    result = duck.execute(sql)
     order = [c[0] for c in result.description]
     assert sorted(order) == columns
     expected = [tuple(row[order.index(c)] for c in columns) for row in result.fetchall()]
