@@ -143,8 +143,10 @@ class VectorIndex:
             own = sent.value
             for frame in frames:
                 unit_rows, good = _matrix(frame["v"], own.width)
+                if not good.any():
+                    continue
                 frame, unit_rows = frame[good], unit_rows[good]
-                near = own.lists(unit_rows, 1)[:, 0] if len(unit_rows) else np.zeros(0, int)
+                near = own.lists(unit_rows, 1)[:, 0]
                 codes = own.codes(unit_rows - own.centroids[near])
                 yield pd.DataFrame({"list_no": near.astype(np.int32), "item": frame["item"].to_numpy(), "codes": [c.tobytes() for c in codes], "v": list(frame["v"])})
 
@@ -166,7 +168,9 @@ class VectorIndex:
             own = sent.value
             for frame in frames:
                 rows, good = _matrix(frame["v"], own.width)
-                lists = own.lists(rows[good], probes) if good.any() else np.zeros((0, probes), int)
+                if not good.any():
+                    continue
+                lists = own.lists(rows[good], probes)
                 yield pd.DataFrame({"query": np.repeat(frame["query"].to_numpy()[good], lists.shape[1]), "list_no": lists.ravel().astype(np.int32), "q": [r for r in rows[good] for _ in range(lists.shape[1])]})
 
         asked = queries.select(F.col(query).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
