@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import answers, derived, figures, language, layout, metadata, registry, relational, search, stores, streams, structure
+from folioscope.plans import answers, derived, figures, files, language, layout, metadata, registry, relational, search, stores, streams, structure
 
-_PLANS = (search, structure, registry, layout, language, answers, figures, relational, streams, metadata, stores)
+_PLANS = (search, structure, registry, layout, language, answers, figures, relational, streams, metadata, stores, files)
 #: Queries over the tables that take the place of queries of the same names over written-down examples.
 _OVER_TABLES = derived
 
