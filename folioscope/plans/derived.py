@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.functions import json_text
 from folioscope.functions import text as tx
-from folioscope.operators import evidence, grids, language, registry, search, structure
+from folioscope.operators import ancestry, evidence, figures, grids, language, metadata, registry, search, structure
 from folioscope.plans.language import RULES
 from folioscope.sources.tables import inline, inline_sql, table
 
@@ -299,4 +300,87 @@ SELECT l_orderkey, CASE WHEN g IS NOT NULL AND v IS NOT NULL THEN CASE WHEN abs(
 k AS (SELECT n_nationkey + 10 AS ord, 'n' || n_nationkey AS doc_id, lower(n_name) AS alias FROM nation WHERE n_nationkey % 3 > 0 UNION ALL SELECT r_regionkey, 'r' || r_regionkey, lower(r_name) FROM region)
 SELECT c_custkey, arg_min(doc_id, ord) AS doc_id FROM q LEFT JOIN k ON contains(q, ' ' || alias || ' ') GROUP BY c_custkey""",
 }
+
+
+def figure_candidates(spark, sf):
+    """The lines of orders as images of their supplier's document."""
+    images = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 100).alias("page"), (F.col("l_linestatus") == "O").alias("scanned"), (F.col("l_discount") * 10).alias("cover"), (F.col("l_quantity") * 4).alias("width"), F.lit(100).alias("height"), F.col("l_partkey").cast("string").alias("digest"))
+    return figures.candidates(images).groupBy("doc_id", "page", "digest").agg(F.count("*").alias("n"))
+
+
+def figure_names(spark, sf):
+    """Documents as figures, ten to a volume."""
+    i = F.col("doc_id")
+    said = F.concat(_pick(i, "ver Figura 3.2 arriba ", _text("figura ", i % 3, " "), "", ""), F.coalesce("text", F.lit("")))
+    rows = _docs(spark, sf).select(F.floor(i / 10).cast("long").alias("doc_id"), F.floor(i % 10 / 3).cast("int").alias("page"), i.cast("string").alias("digest"), said.alias("page_text"))
+    return figures.named(rows).select("doc_id", "page", "digest", "figure_id")
+
+
+def transcripts(spark, sf):
+    """Every turn, as it is and behind a row of digits."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", _text("0123456789 " * 4, F.substring("text", 1, 12)).alias("noisy"))
+    return turns.select("conv_id", "turn", figures.bad_transcript(F.col("text")).alias("bad"), figures.bad_transcript(F.col("noisy")).alias("bad_noisy"))
+
+
+def suggestion_lists(spark, sf):
+    """Every customer's suggestions as a model writes them, of every third cut off."""
+    whole = F.to_json(F.array(F.col("c_name"), F.lit("  "), F.concat(F.lit(" "), "c_mktsegment", F.lit("? ")), F.lit("x"), F.lit("y")))
+    two = F.to_json(F.array("c_name", "c_mktsegment"))
+    cut = F.concat(F.lit("claro: "), two.substr(F.lit(1), F.length(two) - 1), F.lit(', "tr'))
+    raw = F.when(F.col("c_custkey") % 3 == 0, cut).otherwise(whole)
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(json_text.suggestions(raw), "|").alias("suggestions"))
+
+
+def stream_events(spark, sf):
+    """Every order as a stream of events; the last one with a result or an error counts."""
+    own = _text('event: x\ndata: {"id": ', F.col("o_orderkey"), ', "result": {"a": 1}}\r\ndata: [DONE]\ndata: {"id": 2}\n')
+    stream = F.concat(own, F.when(F.col("o_orderkey") % 2 == 0, _text('data: {"id": ', F.col("o_custkey"), ', "error": "e"}\nend')).otherwise(F.lit("")))
+    return table(spark, sf, "orders").select("o_orderkey", F.get_json_object(json_text.last_event(stream), "$.id").alias("id"))
+
+
+def table_cells(spark, sf):
+    return _docs(spark, sf).select("doc_id", metadata.cell(F.col("text"), 18).alias("cut"), F.sha2(metadata.cell(F.col("text")), 256).alias("whole"), metadata.bullet(F.col("doc_id")).alias("bullet"))
+
+
+def part_hierarchy(spark, sf):
+    """The parts above every part, where n div 3 is above n."""
+    links = table(spark, sf, "part").select("p_partkey", F.expr("CASE WHEN p_partkey > 0 THEN p_partkey div 3 END").alias("above"))
+    return ancestry.roots(links, "p_partkey", "above")
+
+
+def refused_parameters(spark, sf):
+    """Every event as a refusal of the parameter that its type names."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    body = F.when(i % 4 == 0, _text('{"error": {"param": "', kind, '"}}')).when(i % 4 == 1, _text('{"param": "', kind, '"}'))
+    message = F.when(i % 4 == 2, _text("Unsupported value: '", kind, "' here")).otherwise(F.lit("nothing"))
+    return table(spark, sf, "events").select("event_id", metadata.unsupported_parameter(body, message).alias("parameter"), metadata.error_detail(F.concat(message, F.lit("\nmore"))).alias("detail"))
+
+
+def struct_ref_search(spark, sf):
+    """Documents that open with the article that a question names, or with one whose number goes on from it."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.struct_refs(_text("según el articulo ", F.col("item_id") % 40, " y ", F.col("text")))).alias("reference"))
+    chunks = _docs(spark, sf).select("doc_id", F.explode(F.array_distinct(tx.all_refs(_text("Artículo ", F.col("doc_id") % 40, ". ", F.col("text"))))).alias("own"))
+    number = F.substring_index("own", " ", -1)
+    begun = F.transform(F.sequence(F.lit(1), F.length(number)), lambda n: F.concat_ws(" ", F.substring_index("own", " ", 1), F.substring(number, F.lit(1), n)))
+    # Every beginning of a number is a key, so the join is by equality.
+    return asked.join(chunks.select("doc_id", F.explode(begun).alias("reference")), "reference").select("query_id", "reference", "doc_id").distinct()
+
+
+ORACLES |= {
+    "figure_candidates": """WITH i AS (SELECT l_suppkey AS doc_id, l_orderkey % 100 AS page, l_linestatus = 'O' AS scanned, l_discount * 10 AS cover, l_quantity * 4 AS width, l_partkey::VARCHAR AS digest FROM lineitem),
+c AS (SELECT doc_id, digest, count(*) AS n FROM i GROUP BY ALL), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM i GROUP BY doc_id)
+SELECT doc_id, page, digest, count(*) AS n FROM i JOIN c USING (doc_id, digest) JOIN p USING (doc_id) WHERE NOT scanned AND cover >= 0.08 AND cover < 0.70 AND width >= 60 AND c.n <= greatest(3, 0.05 * pages) GROUP BY ALL""",
+    "figure_names": """WITH f AS (SELECT doc_id // 10 AS doc_id, (doc_id % 10 // 3)::INT AS page, doc_id::VARCHAR AS digest, CASE doc_id % 4 WHEN 0 THEN '3.2' WHEN 1 THEN (doc_id % 3)::VARCHAR ELSE 'p' || (doc_id % 10 // 3) END AS base FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY page, digest) AS n FROM f) SELECT doc_id, page, digest, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS figure_id FROM n""",
+    "transcripts": r"""WITH t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS a, trim(repeat('0123456789 ', 4) || substr(coalesce(text, ''), 1, 12)) AS b FROM conversations)
+SELECT conv_id, turn, length(a) < 8 OR len(regexp_extract_all(a, '\p{L}')) < greatest(8, 0.3 * length(a)) AS bad, length(b) < 8 OR len(regexp_extract_all(b, '\p{L}')) < greatest(8, 0.3 * length(b)) AS bad_noisy FROM t""",
+    "suggestion_lists": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || '|' || c_mktsegment ELSE c_name || '|' || c_mktsegment || '?|x' END AS suggestions FROM customer",
+    "stream_events": "SELECT o_orderkey, (CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_orderkey END)::VARCHAR AS id FROM orders",
+    "table_cells": r"""WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS v FROM documents)
+SELECT doc_id, CASE WHEN length(v) > 18 THEN substr(v, 1, 17) || '…' ELSE v END AS cut, sha256(v) AS whole, CASE WHEN doc_id < 20 THEN substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳', doc_id + 1, 1) ELSE (doc_id + 1) || '.' END AS bullet FROM c""",
+    "part_hierarchy": """WITH RECURSIVE l AS (SELECT p_partkey AS child, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS parent FROM part), r AS (SELECT child, child AS root, 0::BIGINT AS depth FROM l WHERE parent IS NULL OR parent NOT IN (SELECT child FROM l)
+UNION ALL SELECT l.child, r.root, r.depth + 1 FROM r JOIN l ON l.parent = r.child) SELECT child AS p_partkey, root, depth FROM r""",
+    "refused_parameters": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN event_type END AS parameter, CASE WHEN event_id % 4 = 2 THEN 'Unsupported value: ' || chr(39) || event_type || chr(39) || ' here' ELSE 'nothing' END AS detail FROM events",
+    "struct_ref_search": "SELECT item_id AS query_id, 'ARTÍCULO ' || (item_id % 40) AS reference, doc_id FROM benchmark, documents WHERE starts_with((doc_id % 40)::VARCHAR, (item_id % 40)::VARCHAR)",
+}
 QUERIES = {name: globals()[name] for name in ORACLES}
