@@ -15,8 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import clean_text, token_estimate
 from folioscope.lineage import cut
 from folioscope.operators.merge_log import KeyedLog, Publication
+from folioscope.operators.structure import chunks
 from folioscope.settings import Settings
 
 
@@ -73,6 +75,23 @@ class BuildChain:
         return Publication(self.spark, target).publish(tables, version, gates)
 
 
+def standard_stages(settings: Settings | None = None) -> list[Stage]:
+    """Cleaned texts, chunks under a header, and counts.  The chunk budgets of the settings are part of the version."""
+    settings = settings or Settings.load()
+    budget, hard = settings.chunk_tokens, settings.chunk_hard_tokens
+
+    def cleaned(docs: DataFrame) -> DataFrame:
+        return docs.select("doc_id", "source", clean_text(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return chunks(rows.withColumn("_head", F.concat_ws(" · ", "source", F.col("doc_id").cast("string"))), budget, hard, header="_head")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(token_estimate(F.col("text"))).alias("n_tokens"))
+
+    return [Stage("cleaned", "1", cleaned), Stage("chunks", f"1-{budget}-{hard}", packed), Stage("counts", "1", counted)]
+
+
 def gates(chunks: DataFrame, vectors: DataFrame, tables: DataFrame, assets: DataFrame, recall: DataFrame, settings: Settings | None = None, dimension: int = 1536) -> DataFrame:
     """gate, value and ok of every rule that a version has to meet before it is published.
 

@@ -10,12 +10,10 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import clean_text, token_estimate
 from folioscope.lineage import shared_folder
 from folioscope.operators import ancestry
-from folioscope.operators.build_chain import BuildChain, Stage, gates
+from folioscope.operators.build_chain import BuildChain, gates, standard_stages
 from folioscope.operators.merge_log import KeyedLog, Publication, embedded, embedding_cache
-from folioscope.operators.structure import chunks
 from folioscope.operators.vector_index import VectorIndex
 from folioscope.plans.search import ORACLES as SEARCH_SQL
 from folioscope.plans.search import golden_recall
@@ -62,23 +60,10 @@ def published_version(spark, sf):
     return count(None, "n_now").join(count("v1", "n_before"), "o_orderpriority", "left")
 
 
-def _stages():
-    def cleaned(docs):
-        return docs.select("doc_id", "source", clean_text(F.coalesce("text", F.lit(""))).alias("text"))
-
-    def cut_up(rows):
-        return chunks(rows.withColumn("_head", F.concat_ws(" · ", "source", F.col("doc_id").cast("string"))), header="_head")
-
-    def counted(rows):
-        return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(token_estimate(F.col("text"))).alias("n_tokens"))
-
-    return [Stage("cleaned", "1", cleaned), Stage("chunks", "1", cut_up), Stage("counts", "1", counted)]
-
-
 def build_chain(spark, sf):
     """Documents built at each stage of three runs: the first, one after nothing changed, and one after every fiftieth did and every hundred-and-first went."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "text").where("doc_id IS NOT NULL")
-    chain = BuildChain(spark, _folder(spark), _stages())
+    chain = BuildChain(spark, _folder(spark), standard_stages())
     later = docs.where("doc_id % 101 != 1").withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" changed"))).otherwise(F.col("text")))
     runs = [chain.run(docs), chain.run(docs), chain.run(later)]
     rows = [(s.name, *(r[s.name] for r in runs), chain.output(s.name).select("doc_id").distinct().count()) for s in chain.stages]

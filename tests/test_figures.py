@@ -25,5 +25,22 @@ def test_recursive_chunks_lose_nothing(spark):
 def test_command_line(spark, sf, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "bm25_topk" in capsys.readouterr().out
     out = str(tmp_path / "r")
-    assert cli.main(["run", "count_by_state", sf, "--out", out]) == 0 and spark.read.parquet(out).count() == 3
+    assert cli.main(["run", "count_by_state", sf, "--out", out]) == 0 and spark.read.parquet(out).count() == 4
     assert cli.main(["explain", "count_by_state", sf]) == 0 and "Aggregate" in capsys.readouterr().out
+
+
+def test_command_line_builds_and_publishes(spark, sf, tmp_path, capsys, monkeypatch):
+    root, target = str(tmp_path / "build"), str(tmp_path / "store")
+    assert cli.main(["profile", sf]) == 0 and "src0" in capsys.readouterr().out
+    assert cli.main(["build", sf, root]) == 0 and "chunks=200" in capsys.readouterr().out
+    assert cli.main(["build", sf, root]) == 0 and "chunks=0" in capsys.readouterr().out
+    # A gate above what can be reached is closed; the settings of the environment are what the build reads.
+    monkeypatch.setenv("FOLIOSCOPE_RECALL_GATE", "1.1")
+    assert cli.main(["publish", sf, root, target]) == 1 and "closed recall" in capsys.readouterr().out
+    assert cli.main(["publish", sf, root, target, "--force", "--version", "v1"]) == 0
+    monkeypatch.setenv("FOLIOSCOPE_RECALL_GATE", "0")
+    monkeypatch.setenv("FOLIOSCOPE_CHUNK_TOKENS", "100")
+    assert cli.main(["all", sf, root, target, "--version", "v2"]) == 0
+    out = capsys.readouterr().out
+    assert "cleaned=0, chunks=200, counts=200" in out and "v2" in out
+    assert cli.main(["versions", target]) == 0 and capsys.readouterr().out.split("\n")[:2] == ["v1", "v2 *"]
