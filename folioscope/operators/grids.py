@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import markdown_row
@@ -106,13 +105,17 @@ def lookup(refs: DataFrame, registry: DataFrame) -> DataFrame:
     """For each ref the registered table that fits best: equal, then extending the ref, then extended by it; ties by state, longer id, earlier row.
 
     Every proper prefix of a key is looked up by equality, in both directions, instead of comparing all pairs.
+    Of the tables that extend one prefix only the best goes into the join, so a ref meets one row for each length
+    of key; the joins merge sorted rows, as the sizes of exploded prefixes are estimated too low for a broadcast.
     """
     rank = F.coalesce(F.element_at(F.create_map(*[x for k, v in STATE_RANK.items() for x in (F.lit(k), F.lit(v))]), F.col("state")), F.lit(0))
-    stored = registry.withColumns({"id_key": reference_key(F.col("table_id")), "_state": rank})
-    asked = refs.withColumn("ref_key", reference_key(F.col("ref"))).where("ref_key != ''")
+    stored = registry.select(reference_key(F.col("table_id")).alias("id_key"), (-rank).alias("_state"), "ord", "table_id", "state")
+    asked = refs.select("ref", reference_key(F.col("ref")).alias("ref_key")).where("ref_key != ''")
     prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))
-    extends = asked.join(stored.withColumn("ref_key", F.explode(prefixes("id_key"))), "ref_key").withColumn("_fit", F.when(F.col("id_key") == F.col("ref_key"), 3).otherwise(2))
-    extended = asked.withColumn("id_key", F.explode(prefixes("ref_key"))).where("id_key != ref_key").join(stored, "id_key").withColumn("_fit", F.lit(1))
-    order = [F.col("_fit").desc(), F.col("_state").desc(), F.length("id_key").desc(), F.col("ord")]
-    both = extends.unionByName(extended).withColumn("_n", F.row_number().over(W.partitionBy("ref").orderBy(*order))).where("_n = 1")
-    return both.select("ref", "table_id", "state", F.element_at(F.array(F.lit("ref_extends_stored"), F.lit("stored_extends_ref"), F.lit("exact")), F.col("_fit")).alias("match"))
+    fit = lambda n: F.min(F.struct(n.alias("_fit"), "_state", (-F.length("id_key")).alias("_length"), "ord", "table_id", "state")).alias("_best")
+    extending = stored.withColumn("ref_key", F.explode(prefixes("id_key"))).groupBy("ref_key").agg(fit(F.when(F.col("id_key") == F.col("ref_key"), -3).otherwise(-2)))
+    equal = stored.groupBy("id_key").agg(fit(F.lit(-1)))
+    extends = asked.hint("merge").join(extending, "ref_key").select("ref", "_best")
+    extended = asked.withColumn("id_key", F.explode(prefixes("ref_key"))).where("id_key != ref_key").hint("merge").join(equal, "id_key").select("ref", "_best")
+    best = extends.unionByName(extended).groupBy("ref").agg(F.min("_best").alias("_best"))
+    return best.select("ref", "_best.table_id", "_best.state", F.element_at(F.array(F.lit("ref_extends_stored"), F.lit("stored_extends_ref"), F.lit("exact")), -F.col("_best._fit")).alias("match"))
