@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators.lexical_index import LexicalIndex
-from folioscope.operators.search import best
+from folioscope.operators.search import best_documents
 
 HISTORY = "session_id string, user_id string, role string, content string, created_at timestamp"
 BINARIES = "name string, content_type string, metadata map<string,string>, sha256 string, content binary"
@@ -178,7 +178,7 @@ class Service:
             raise ValueError("a question is required")
         spark = self.docs.sparkSession
         asked = spark.createDataFrame([(i, q.strip()) for i, q in enumerate(questions)], "query_id long, text string")
-        return best(self.index.scores(asked), k).withColumn("session_id", F.lit(session or "api_query"))
+        return best_documents(self.index, asked, k).withColumn("session_id", F.lit(session or "api_query"))
 
     def rebuild(self) -> bool:
         """Whether the index had to be built again for the documents as they are now."""

@@ -8,7 +8,7 @@ from folioscope.functions import json_text, markup
 from folioscope.operators import answer_graph as graph
 from folioscope.operators import answers as ops
 from folioscope.operators.language import history_text
-from folioscope.operators.search import best, knn_blocks, ranked
+from folioscope.operators.search import best_documents, knn_blocks, ranked
 from folioscope.plans.search import _bm25_sql, _knn_sql, stored_index
 from folioscope.settings import Settings
 from folioscope.sources.adapters import HashingEmbedder, embedded
@@ -56,7 +56,7 @@ def _questions(spark, sf):
 
 
 def _hits(spark, sf, questions):
-    found = best(stored_index(spark, sf).scores(questions), 4)
+    found = best_documents(stored_index(spark, sf), questions, 4)
     return found.join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").select("query_id", "rank", "source", F.col("doc_id").alias("page"), "text")
 
 
@@ -74,7 +74,7 @@ def prompt_batch(spark, sf):
 def broadened_search(spark, sf):
     """Questions are cut to their first half, quarter, eighth of words until something is found."""
     words = lambda c, turn: F.array_join(F.slice(F.split(c, " "), F.lit(1), F.greatest(F.lit(1), (F.size(F.split(c, " ")) / (1 << turn)).cast("int"))), " ")
-    found = ops.searched_until_found(_questions(spark, sf).drop("question"), lambda q: best(stored_index(spark, sf).scores(q), 4), words)
+    found = ops.searched_until_found(_questions(spark, sf).drop("question"), lambda q: best_documents(stored_index(spark, sf), q, 4), words)
     return found.select("query_id", "doc_id", "rank", "round")
 
 
@@ -99,7 +99,7 @@ def answer_graph(spark, sf):
     own = vectors.join(items.select(i.alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
     others = knn_blocks(vectors, own, 4).where("vec_id != query_id").drop("rank")
     dense = ranked(others, "query_id", [F.col("distance"), F.col("vec_id")]).withColumn("distance", F.col("distance") / 1e6)
-    found = best(stored_index(spark, sf).scores(items), 12)
+    found = best_documents(stored_index(spark, sf), items, 12)
     hits = found.join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").select("query_id", "doc_id", "rank", "source", (F.col("doc_id") % 2).alias("page"), "text")
     said = items.select("query_id", F.when(i % 5 == 0, None).otherwise(F.concat(F.lit(" N"), i.cast("string"))).alias("answer"), F.when(i % 5 == 0, "timeout").when(i % 5 == 1, "ok").alias("status"))
     drafts = items.select("query_id", F.when(i % 3 == 0, F.concat(F.lit("Borrador "), i.cast("string"))).when(i % 3 == 2, ops.NO_EVIDENCE).alias("draft"), F.when(i % 3 == 1, "timeout").otherwise("ok").alias("draft_status"))

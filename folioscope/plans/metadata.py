@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import evidence, services
 from folioscope.operators import metadata as ops
 from folioscope.operators.lexical_index import LexicalIndex
-from folioscope.operators.search import best, knn_blocks, scaled
+from folioscope.operators.search import best_documents, knn_blocks, scaled
 from folioscope.plans import search
 from folioscope.sources.tables import inline, inline_sql, table
 
@@ -198,7 +198,7 @@ def index_build(spark, sf):
 def index_search(spark, sf):
     """Ranked search on the full index."""
     asked = table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    return best(LexicalIndex.build(_docs(spark, sf)).scores(asked), 4)
+    return best_documents(LexicalIndex.build(_docs(spark, sf)), asked, 4)
 
 
 _NEAR = """pairs AS (SELECT q.vec_id AS query_id, i.vec_id, floor((1 - list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[])) * 1e6 + 0.5) AS distance FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0),

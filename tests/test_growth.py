@@ -1,7 +1,11 @@
 """Plans whose cost has to follow the input: what is kept for each key, broadcast or shuffled."""
 
-from folioscope.operators import grids
+import pyarrow as pa
+
+from folioscope.operators import grids, lexical_index, search
+from folioscope.operators.lexical_index import LexicalIndex
 from folioscope.plans import catalogue
+from folioscope.sources.tables import table
 
 
 def plan(df):
@@ -20,3 +24,34 @@ def test_prefixes_are_not_broadcast_and_only_the_best_of_each_is_joined(spark):
     got = {r["ref"]: (r["table_id"], r["state"], r["match"]) for r in found.collect()}
     assert got == {"1": ("100", "verificada", "stored_extends_ref"), "77": ("77", "verificada", "exact"), "77.5": ("77", "verificada", "ref_extends_stored")}
     assert "Broadcast" not in plan(found) and "Window" not in plan(found)
+
+
+def test_lexical_search_shuffles_no_postings(spark, sf):
+    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
+    index = LexicalIndex.build(docs.where("doc_id % 7 > 0").repartition(5))
+    got = search.best_documents(index, asked, 6)
+    shuffled = [line for line in plan(got).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffled) == 1 and "query_id" in shuffled[0]
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
+    assert rows(got) == rows(search.best(index.scores(asked), 6))
+
+
+def test_lexical_search_of_odd_rows(spark):
+    docs = spark.createDataFrame([("b", "uno dos dos"), ("a", "uno dos dos"), (None, "uno dos dos"), ("c", None), ("d", ""), ("e", "tres " * 30), ("f", "cuatro cinco seis"), ("g", "siete"), ("h", "ocho")], "doc_id string, text string")
+    asked = spark.createDataFrame([("q", "dos uno dos"), ("r", "nada"), ("s", None), (None, "tres"), ("t", "TRES cuatro")], "query_id string, text string")
+    index = LexicalIndex.build(docs)
+    rows = lambda df: sorted(map(str, df.select("query_id", "doc_id", "score", "rank").collect()))
+    got = search.best_documents(index, asked, 2)
+    assert rows(got) == rows(search.best(index.scores(asked), 2)) and got.count() == 5
+    assert search.best_documents(index, asked.limit(0), 2).collect() == [] == search.best_documents(LexicalIndex.build(docs.limit(0)), asked, 2).collect()
+
+
+def test_questions_go_in_groups_whose_matrix_fits(monkeypatch):
+    monkeypatch.setattr(lexical_index, "BLOCK", 6)
+    asked = [[("x", 1.0), ("y", 2.0)], [("y", 1.0)], [("z", 3.0)], [("x", 1.0), ("z", 1.0)]]
+    batch = pa.record_batch({"doc": pa.array([3, 1, 2]), "tokens": pa.array([["x", "y"], ["y", "y", "w"], ["z"]])})
+    step = lexical_index._best_step([10, 11, 12, 13], pa.int64(), asked, 2.0, 1, ["q", "d", "score"])
+    small = sorted((r["q"], r["d"], r["score"]) for out in step([batch, batch.slice(0, 1)]) for r in out.to_pylist())
+    monkeypatch.setattr(lexical_index, "BLOCK", 1000)
+    whole = sorted((r["q"], r["d"], r["score"]) for out in step([batch]) for r in out.to_pylist())
+    assert small == whole and [(q, d) for q, d, _ in small] == [(10, 3), (11, 1), (12, 2), (13, 2)]
