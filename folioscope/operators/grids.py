@@ -16,9 +16,10 @@ LABEL_MOST = 30
 def clean_grid(grid: Column) -> Column:
     """Cells trimmed, nulls empty, empty rows dropped, rows padded to the widest; no grid of fewer than two rows."""
     rows = F.filter(F.transform(grid, lambda r: F.transform(r, lambda c: F.coalesce(F.trim(c), F.lit("")))), lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    padded = F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width))
-    return F.when(F.size(rows) >= 2, padded).otherwise(F.array().cast("array<array<string>>"))
+    # Bound once as the element of an array: named in the lambda over the rows, both would be computed for every row.
+    bound = F.transform(F.array(rows), lambda r: F.struct(r.alias("rows"), F.array_max(F.transform(r, lambda x: F.size(x))).alias("width")))
+    padded = lambda g: F.transform(g["rows"], lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), g["width"])), F.lit(1), g["width"]))
+    return F.get(F.transform(bound, lambda g: F.when(F.size(g["rows"]) >= 2, padded(g)).otherwise(F.array().cast("array<array<string>>"))), F.lit(0))
 
 
 def fill_right(row: Column) -> Column:

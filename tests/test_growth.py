@@ -1,6 +1,9 @@
 """Plans whose cost has to follow the input: what is kept for each key, broadcast or shuffled."""
 
+import time
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from folioscope.operators import grids, lexical_index, search
 from folioscope.operators.lexical_index import LexicalIndex
@@ -55,3 +58,18 @@ def test_questions_go_in_groups_whose_matrix_fits(monkeypatch):
     monkeypatch.setattr(lexical_index, "BLOCK", 1000)
     whole = sorted((r["q"], r["d"], r["score"]) for out in step([batch]) for r in out.to_pylist())
     assert small == whole and [(q, d) for q, d, _ in small] == [(10, 3), (11, 1), (12, 2), (13, 2)]
+
+
+def test_a_long_grid_is_cleaned_in_time_that_follows_its_rows(spark):
+    def seconds(n):
+        grid = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.array(i.cast("string"), F.lit(" x "), F.lit(None).cast("string")))
+        begin = time.monotonic()
+        rows = spark.range(1).select(F.size(grids.clean_grid(F.when(F.col("id") >= 0, grid))).alias("n")).collect()
+        assert rows[0]["n"] == n
+        return time.monotonic() - begin
+
+    seconds(100)
+    assert seconds(8000) < 15
+    odd = spark.createDataFrame([(1, [["a", None], None, [" "], ["b", "c", "d"]]), (2, None), (3, [["a"]]), (4, [])], "id int, grid array<array<string>>")
+    got = {r["id"]: r["g"] for r in odd.select("id", grids.clean_grid(F.col("grid")).alias("g")).collect()}
+    assert got == {1: [["a", "", ""], ["b", "c", "d"]], 2: [], 3: [], 4: []}
