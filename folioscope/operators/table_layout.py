@@ -40,18 +40,24 @@ def phrases(words: DataFrame, space: float = SPACE, leading: float = LEADING) ->
     whole = words.dropna(subset=["x0", "y0", "x1", "y1"])
     lined = banded(whole, ["region"], "y0", "y1", leading, "line")
     joined = banded(lined, ["region", "line"], "x0", "x1", space, "_phrase").groupBy("region", "line", "_phrase")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "text"))), lambda w: w["text"]), " ")
+    text = F.array_join(F.sort_array(F.collect_list(F.struct("x0", "y0", "text")))["text"], " ")
     return joined.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), text.alias("text")).drop("_phrase")
 
 
 def main_block(found: DataFrame) -> DataFrame:
-    """Phrases with ``inside``: whether their line is in the largest run of lines that have two phrases or more."""
-    lines = found.groupBy("region", "line").agg(F.count("*").alias("_n"), F.min("x0").alias("_x0"), F.max("x1").alias("_x1"), F.min("y0").alias("_y0"), F.max("y1").alias("_y1"))
-    wide = lines.where("_n > 1").withColumn("_run", F.col("line") - F.row_number().over(W.partitionBy("region").orderBy("line")))
-    area = (F.max("_x1") - F.min("_x0")) * (F.max("_y1") - F.min("_y0"))
-    runs = wide.groupBy("region", "_run").agg(area.alias("_area"), F.min("line").alias("_from"), F.max("line").alias("_to"))
-    best = runs.withColumn("_place", F.row_number().over(W.partitionBy("region").orderBy(F.col("_area").desc(), "_from"))).where("_place = 1")
-    return found.join(best.select("region", "_from", "_to"), "region", "left").withColumn("inside", F.coalesce(F.col("line").between(F.col("_from"), F.col("_to")), F.lit(False))).drop("_from", "_to")
+    """Phrases with ``inside``: whether their line is in the largest run of lines that have two phrases or more.
+
+    Windows over one deal of the regions, without a join of the phrases with themselves.
+    """
+    line, down, run = W.partitionBy("region", "line"), W.partitionBy("region").orderBy("line"), W.partitionBy("region", "_wide", "_run")
+    whole = lambda c, w: (F.max(c + "1").over(w) - F.min(c + "0").over(w)).alias(c)
+    wide = found.withColumn("_wide", F.count("*").over(line) > 1).withColumn("_first", F.row_number().over(line.orderBy("x0")) == 1)
+    # Lines that follow each other have one difference of their number and the wide lines so far.
+    runs = wide.withColumn("_run", F.col("line") - F.sum((F.col("_wide") & F.col("_first")).cast("long")).over(down.rangeBetween(W.unboundedPreceding, 0)))
+    sized = runs.select("*", (whole("x", run) * whole("y", run)).alias("_area"), F.min("line").over(run).alias("_from"))
+    best = F.max(F.when(F.col("_wide"), F.struct("_area", -F.col("_from"), "_run"))).over(W.partitionBy("region"))
+    marked = sized.withColumn("_best", best["_run"]).withColumn("inside", F.coalesce(F.col("_wide") & (F.col("_run") == F.col("_best")), F.lit(False)))
+    return marked.select(*found.columns, "inside")
 
 
 def column_spans(found: DataFrame, crossed: float = CROSSED) -> DataFrame:
@@ -66,21 +72,26 @@ def column_spans(found: DataFrame, crossed: float = CROSSED) -> DataFrame:
     covered = steps.withColumns({"_lines": F.sum("turn").over(order), "_to": F.lead("x").over(order)}).join(allowed, "region").where("_lines > _allowed")
     # Stretches that touch are one.
     joined = banded(covered, ["region"], "x", "_to", 0.0, "_span").groupBy("region", "_span").agg(F.min("x").alias("x0"), F.max("_to").alias("x1"))
-    return joined.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("spans"))
+    return joined.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("spans"))
 
 
 def _grid(cells: DataFrame) -> DataFrame:
     """(region, grid) of the texts at (region, line, column): rows in the order of lines, cells that have none are empty."""
-    merged = cells.groupBy("region", "line", "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda c: c["text"]), " ").alias("text"))
-    width = merged.groupBy("region").agg(F.max("column").alias("_width"))
-    rows = merged.groupBy("region", "line").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("_cells")).join(width, "region")
+    merged = cells.groupBy("region", "line", "column").agg(F.array_join(F.sort_array(F.collect_list(F.struct("y0", "x0", "text")))["text"], " ").alias("text"))
+    rows = merged.groupBy("region", "line").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("_cells"), F.max("column").alias("_last"))
+    wide = rows.withColumn("_width", F.max("_last").over(W.partitionBy("region")))
     row = F.transform(F.sequence(F.lit(0), F.col("_width")), lambda j: F.coalesce(F.element_at(F.col("_cells"), j), F.lit("")))
-    return rows.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("line"), row.alias("r")))), lambda x: x["r"]).alias("grid"))
+    return wide.groupBy("region").agg(F.sort_array(F.collect_list(F.struct(F.col("line"), row.alias("r"))))["r"].alias("grid"))
 
 
 def read_by_gaps(words: DataFrame, space: float = SPACE, leading: float = LEADING, crossed: float = CROSSED) -> DataFrame:
     """(region, grid): columns are parted by gaps that run through the lines of the region's largest table-like block."""
-    block = main_block(phrases(words, space, leading)).where("inside")
+    return gaps_of(phrases(words, space, leading), crossed)
+
+
+def gaps_of(found: DataFrame, crossed: float = CROSSED) -> DataFrame:
+    """``read_by_gaps`` of phrases; the block is cut, as its spans and its cells are made of it."""
+    block = cut(main_block(found).where("inside"))
     placed = block.join(column_spans(block, crossed), "region")
     # A phrase goes to the first column that it doesn't lie wholly to the right of.
     column = F.size(F.filter("spans", lambda s: s["x1"] <= F.col("x0")))
@@ -95,7 +106,7 @@ def read_by_rulings(words: DataFrame, rulings: DataFrame, stroke: float = STROKE
     """
     own = banded(rulings.where("at IS NOT NULL"), ["region", "upright"], "at", "at", stroke, "_stroke")
     lines = own.groupBy("region", "upright", "_stroke").agg(F.min("at").alias("at"), F.collect_list(F.struct("low", "high")).alias("parts"))
-    drawn = lines.groupBy("region").agg(*(F.array_sort(F.collect_list(F.when(F.col("upright") == up, F.struct("at", "parts")))).alias(n) for n, up in (("_v", True), ("_h", False))))
+    drawn = lines.groupBy("region").agg(*(F.sort_array(F.collect_list(F.when(F.col("upright") == up, F.struct("at", "parts")))).alias(n) for n, up in (("_v", True), ("_h", False))))
     drawn = drawn.where((F.size("_v") >= 3) & (F.size("_h") >= 3))
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
 
@@ -104,22 +115,30 @@ def read_by_rulings(words: DataFrame, rulings: DataFrame, stroke: float = STROKE
         reaches = F.transform(lines, lambda s, i: F.when((s["at"] <= at) & F.exists(s["parts"], lambda p: (p["low"] <= across) & (across <= p["high"])), i))
         return F.when(at <= F.element_at(F.col(lines), -1)["at"], F.array_max(reaches))
 
-    cells = words.dropna(subset=["x0", "y0", "x1", "y1"]).join(drawn, "region").select("region", place("_h", y, x).alias("line"), place("_v", x, y).alias("column"), "x0", "y0", "text")
+    # As the element of an array, a place is found once; a filter would be pushed through the projection and find it again.
+    placed = F.inline(F.array(F.struct(place("_h", y, x).alias("line"), place("_v", x, y).alias("column"))))
+    # Merged, as a broadcast would leave the work to the few tasks that the rulings fill.
+    cells = words.dropna(subset=["x0", "y0", "x1", "y1"]).hint("merge").join(drawn, "region").select("region", placed, "x0", "y0", "text")
     return _grid(cells.where("line IS NOT NULL AND column IS NOT NULL"))
 
 
 def footnotes(words: DataFrame, space: float = SPACE, leading: float = LEADING) -> DataFrame:
     """(region, notes): the lines of a region that read as notes to its table."""
-    lines = phrases(words, space, leading).groupBy("region", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda p: p["text"]), " ").alias("text"))
+    return notes_of(phrases(words, space, leading))
+
+
+def notes_of(found: DataFrame) -> DataFrame:
+    """``footnotes`` of phrases."""
+    lines = found.groupBy("region", "line").agg(F.array_join(F.sort_array(F.collect_list(F.struct("x0", "text")))["text"], " ").alias("text"))
     kept = lines.where(F.rlike("text", F.lit(FOOTNOTE)))
-    return kept.groupBy("region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: F.trim(x["text"])), " · ").alias("notes"))
+    return kept.groupBy("region").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text")))["text"], F.trim), " · ").alias("notes"))
 
 
 def region_digests(words: DataFrame, rulings: DataFrame, version: str = LAYOUT_VERSION) -> DataFrame:
     """(region, digest): 16 hex digits of what is drawn in a region and of the version of the rules."""
     point = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c))
     marks = words.select("region", F.concat_ws("|", point("x0", "y0", "x1", "y1"), "text").alias("m")).unionByName(rulings.select("region", F.concat(F.lit("ruling|"), point("at", "low", "high", "upright")).alias("m")))
-    return marks.groupBy("region").agg(F.substring(F.sha2(F.concat_ws("\n", F.lit(version), F.array_join(F.array_sort(F.collect_list("m")), "\n")), 256), 1, 16).alias("digest"))
+    return marks.groupBy("region").agg(F.substring(F.sha2(F.concat_ws("\n", F.lit(version), F.array_join(F.sort_array(F.collect_list("m")), "\n")), 256), 1, 16).alias("digest"))
 
 
 RESULT = ("region", "digest", "method", "state", "headers", "body", "notes", "markdown")
@@ -132,12 +151,13 @@ def extracted_tables(regions: DataFrame, words: DataFrame, rulings: DataFrame, p
     scan is not read by its words.  Two readings that agree in their rows, to a tenth, verify each other.
     ``previous``: results of an earlier run; a region with the same digest and a grid is taken over as it is.
     """
-    schema = "region {}, digest string, method string, state string, headers array<string>, body array<array<string>>, notes string, markdown string".format(regions.schema["region"].dataType.simpleString())
-    spark, words, rulings = regions.sparkSession, cut(words), cut(rulings)
-    pictures = spark.createDataFrame([], "region {}, headers array<string>, body array<array<string>>, truncated boolean".format(regions.schema["region"].dataType.simpleString())) if pictures is None else pictures
-    keyed = regions.join(region_digests(words, rulings, version), "region", "left").withColumn("digest", F.coalesce("digest", F.substring(F.sha2(F.lit(version), 256), 1, 16)))
-    kept = spark.createDataFrame([], schema) if previous is None else previous.where("headers IS NOT NULL").select(*RESULT).join(keyed.select("region", "digest"), ["region", "digest"], "left_semi").select(*RESULT)
-    todo = keyed.join(kept.select("region"), "region", "left_anti")
+    key = f"region {regions.schema['region'].dataType.simpleString()}"
+    words, rulings = cut(words), cut(rulings)
+    pictures = regions.sparkSession.createDataFrame([], f"{key}, headers array<string>, body array<array<string>>, truncated boolean") if pictures is None else pictures
+    todo = regions.join(region_digests(words, rulings, version), "region", "left").withColumn("digest", F.coalesce("digest", F.substring(F.sha2(F.lit(version), 256), 1, 16)))
+    if previous is not None:
+        kept = previous.where("headers IS NOT NULL").select(*RESULT).join(todo.select("region", "digest"), ["region", "digest"], "left_semi").select(*RESULT)
+        todo = todo.join(kept.select("region"), "region", "left_anti")
     legible = words.join(todo.where("NOT scanned").select("region"), "region", "left_semi")
 
     def usable(grids: DataFrame, name: str, prose: bool) -> DataFrame:
@@ -150,10 +170,11 @@ def extracted_tables(regions: DataFrame, words: DataFrame, rulings: DataFrame, p
         return t.where(good).select("region", F.col("t").alias(name))
 
     ruled = usable(read_by_rulings(legible, rulings), "_ruled", False)
+    found = cut(phrases(legible))
     # The second reading is only made where the first has found no table.
-    spaced = usable(read_by_gaps(legible.join(ruled.select("region"), "region", "left_anti")), "_spaced", True)
+    spaced = usable(gaps_of(found.join(ruled.select("region"), "region", "left_anti")), "_spaced", True)
     seen = pictures.select("region", F.struct("headers", "body").alias("_seen"), F.coalesce("truncated", F.lit(False)).alias("_cut"))
-    joined = todo.join(ruled, "region", "left").join(spaced, "region", "left").join(seen, "region", "left").join(footnotes(legible), "region", "left")
+    joined = todo.join(ruled, "region", "left").join(spaced, "region", "left").join(seen, "region", "left").join(notes_of(found), "region", "left")
     n = lambda t: F.when(t.isNotNull(), F.size(t["body"]))
     geo = joined.withColumn("_geo", F.coalesce("_ruled", "_spaced"))
     counted = geo.withColumns({"_n": n(F.col("_geo")), "_m": n(F.col("_seen")), "_final": F.coalesce("_seen", "_geo")})
@@ -165,4 +186,4 @@ def extracted_tables(regions: DataFrame, words: DataFrame, rulings: DataFrame, p
     headers, body = F.col("_final.headers"), F.col("_final.body")
     markdown = F.when(F.col("_final").isNotNull(), to_markdown(F.coalesce("title", F.col("region").cast("string")), headers, body))
     fresh = judged.select("region", "digest", method.alias("method"), "state", headers.alias("headers"), body.alias("body"), notes.alias("notes"), markdown.alias("markdown"))
-    return fresh.unionByName(kept)
+    return fresh if previous is None else fresh.unionByName(kept)

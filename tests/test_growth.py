@@ -5,7 +5,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from folioscope.operators import grids, lexical_index, search
+from folioscope.operators import grids, lexical_index, search, table_layout
 from folioscope.operators.lexical_index import LexicalIndex
 from folioscope.plans import catalogue
 from folioscope.sources.tables import table
@@ -73,3 +73,16 @@ def test_a_long_grid_is_cleaned_in_time_that_follows_its_rows(spark):
     odd = spark.createDataFrame([(1, [["a", None], None, [" "], ["b", "c", "d"]]), (2, None), (3, [["a"]]), (4, [])], "id int, grid array<array<string>>")
     got = {r["id"]: r["g"] for r in odd.select("id", grids.clean_grid(F.col("grid")).alias("g")).collect()}
     assert got == {1: [["a", "", ""], ["b", "c", "d"]], 2: [], 3: [], 4: []}
+
+
+def test_a_tables_words_are_put_together_once(spark):
+    def lines(region, widths):
+        return [(region, 100.0 * j, 12.0 * i, 100.0 * j + 20, 12.0 * i + 8, f"{i}.{j}") for i, n in enumerate(widths) for j in range(n)]
+
+    rows = lines(1, [1, 2, 2, 1, 3, 3, 1, 2]) + lines(2, [2, 2, 1, 2, 2]) + lines(3, [1, 1]) + lines(4, [2])
+    words = spark.createDataFrame(rows, "region long, x0 double, y0 double, x1 double, y1 double, text string")
+    grids_ = table_layout.read_by_gaps(words)
+    # Lines, phrases and the block are found before the cut; what reads it has the windows of the spans and of the width.
+    assert plan(grids_).count("Window [") <= 6
+    got = {r["region"]: [list(x) for x in r["grid"]] for r in grids_.collect()}
+    assert got == {1: [["4.0", "4.1", "4.2"], ["5.0", "5.1", "5.2"]], 2: [["0.0", "0.1"], ["1.0", "1.1"]], 4: [["0.0", "0.1"]]}
