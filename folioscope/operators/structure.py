@@ -53,24 +53,27 @@ def segments(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """
     order = W.partitionBy(doc).orderBy("page", "line_no")
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    rows = lines.withColumn("h", heading(F.col("line")))
+    # A line's own text is only read by the texts; where these are not asked for it is neither dealt out nor sorted.
+    rows = lines.withColumns({"h": heading(F.col("line")), "_filled": F.trim("line") != "", "_there": F.col("line").isNotNull()})
     context = F.col("h.kind").isin("titulo", "capitulo")
     opens = F.col("h").isNotNull() & ~context
     label = lambda kind, name: F.last(F.when(F.col("h.kind") == kind, F.concat_ws(" ", F.lit(name), F.col("h.number"))), ignorenulls=True).over(so_far)
     rows = rows.withColumns({"segment_no": F.sum(opens.cast("int")).over(so_far), "_t": label("titulo", "TÍTULO"), "_c": label("capitulo", "CAPÍTULO"), "_opens": opens})
+    rows = rows.withColumn("_few", (F.max("segment_no").over(W.partitionBy(doc)) < 3) & F.col(doc).isNotNull())
     own = F.max(F.when(F.col("_opens"), F.struct("h.kind", "h.number", "h.title", "_t", "_c")))
-    grouped = rows.groupBy(doc, "segment_no").agg(
+    grouped = rows.where("NOT _few").groupBy(doc, "segment_no").agg(
         own.alias("o"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").alias("n_lines"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
+        # Two lines have a line break between them, which is not trimmed.
+        (F.coalesce(F.max("_filled"), F.lit(False)) | (F.count_if("_there") > 1)).alias("_text"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("page", "line_no", "line")))["line"], "\n").alias("text"),
     )
     crumb = F.concat_ws(" > ", "o._t", "o._c", F.when(F.col("o.kind").isNotNull(), F.concat_ws(" ", F.upper("o.kind"), F.col("o.number"))))
-    named = grouped.select(doc, "segment_no", F.coalesce("o.kind", F.lit("preambulo")).alias("kind"), F.coalesce("o.number", F.lit("")).alias("number"), F.coalesce("o.title", F.lit("")).alias("title"), crumb.alias("breadcrumb"), "page_start", "page_end", "n_lines", "text").where("segment_no > 0 OR trim(text) != ''")
-    few = rows.groupBy(doc).agg(F.max("segment_no").alias("_n")).where("_n < 3").select(doc)
-    paged = lines.join(few, doc, "left_semi").groupBy(doc, "page").agg(
-        F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text")
+    named = grouped.where("segment_no > 0 OR _text").select(doc, "segment_no", F.coalesce("o.kind", F.lit("preambulo")).alias("kind"), F.coalesce("o.number", F.lit("")).alias("number"), F.coalesce("o.title", F.lit("")).alias("title"), crumb.alias("breadcrumb"), "page_start", "page_end", "n_lines", "text")
+    paged = rows.where("_few").groupBy(doc, "page").agg(
+        F.count("*").alias("n_lines"), F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text")
     )
     fallback = paged.select(doc, F.col("page").cast("long").alias("segment_no"), F.lit("pagina").alias("kind"), F.col("page").cast("string").alias("number"), F.lit("").alias("title"), F.lit("").alias("breadcrumb"), F.col("page").alias("page_start"), F.col("page").alias("page_end"), "n_lines", "text")
-    return named.join(few, doc, "left_anti").unionByName(fallback)
+    return named.unionByName(fallback)
 
 
 def numbering_gaps(articles: DataFrame, doc: str = "doc_id", most: int = 3) -> DataFrame:

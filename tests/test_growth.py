@@ -5,7 +5,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from folioscope.operators import grids, lexical_index, search, table_layout
+from folioscope.operators import grids, lexical_index, search, structure, table_layout
 from folioscope.operators.lexical_index import LexicalIndex
 from folioscope.plans import catalogue
 from folioscope.sources.tables import table
@@ -86,3 +86,14 @@ def test_a_tables_words_are_put_together_once(spark):
     assert plan(grids_).count("Window [") <= 6
     got = {r["region"]: [list(x) for x in r["grid"]] for r in grids_.collect()}
     assert got == {1: [["4.0", "4.1", "4.2"], ["5.0", "5.1", "5.2"]], 2: [["0.0", "0.1"], ["1.0", "1.1"]], 4: [["0.0", "0.1"]]}
+
+
+def test_segments_deal_out_no_text_that_is_not_asked_for(spark):
+    rows = [(1, 1, 0, " "), (1, 1, 1, "ARTÍCULO 1. Uno"), (1, 2, 0, "ARTÍCULO 2. Dos"), (1, 2, 1, "b"), (1, 3, 0, "ARTÍCULO 3. Tres"), (2, 1, 0, ""), (2, 1, 1, ""), *((2, 1, i, f"ARTÍCULO {i}. X") for i in (2, 3, 4)), (3, 4, 0, "z"), (3, 5, 0, None), (None, 1, 0, "n")]
+    found = structure.segments(spark.createDataFrame(rows, "doc_id long, page int, line_no int, line string"))
+    narrow = found.select("doc_id", "segment_no", "kind", "n_lines")
+    exchanged = [x for x in narrow._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x]
+    assert not exchanged and plan(narrow).count("Join") == 0
+    got = sorted(map(str, map(tuple, narrow.collect())))
+    assert got == sorted(map(str, [(1, 1, "articulo", 1), (1, 2, "articulo", 2), (1, 3, "articulo", 1), (2, 0, "preambulo", 2), *((2, i, "articulo", 1) for i in (1, 2, 3)), (3, 4, "pagina", 1), (3, 5, "pagina", 1), (None, 0, "preambulo", 1)]))
+    assert {r["segment_no"]: r["text"] for r in found.where("doc_id = 1").collect()} == {1: "ARTÍCULO 1. Uno", 2: "ARTÍCULO 2. Dos\nb", 3: "ARTÍCULO 3. Tres"}
