@@ -20,6 +20,8 @@ IMAGE_DEFAULT = "Interpreta la imagen y responde según la norma."
 IMAGE_END = "Con base en lo anterior, responde la consulta del usuario de forma breve y precisa."
 FLAT = ("doc_id", "doc_name", "doc_tipo", "vigente", "entidad", "version", "alias")
 OPTIONAL = ("libro", "complementa")
+#: Rows of a key that a task ranks.
+RANKED = 20_000
 
 
 def filled(text: Column) -> Column:
@@ -53,13 +55,35 @@ def normalised(df: DataFrame) -> DataFrame:
 
 def trace_rows(hits: DataFrame, query: str = "query_id") -> DataFrame:
     """Hits as rows of a trace: rank, score to four digits, how it was scored and found, source, page, chunk and text."""
-    rank = F.row_number().over(W.partitionBy(query).orderBy("ord"))
-    return hits.select(
-        query, rank.alias("rank"), F.round("score", 4).alias("score"), F.coalesce("score_type", F.lit("cosine_distance")).alias("score_type"),
+    return long_ranked(hits, query, "ord").select(
+        query, "rank", F.round("score", 4).alias("score"), F.coalesce("score_type", F.lit("cosine_distance")).alias("score_type"),
         F.coalesce("method", F.lit("dense")).alias("method"), F.coalesce("source", F.lit("desconocido")).alias("source"), "page", "chunk_id", F.coalesce("text", F.lit("")).alias("content"),
     )
 
 
+def long_ranked(rows: DataFrame, key: str, order: str, most: int = RANKED) -> DataFrame:
+    """Rows with ``rank``, the place in the order of a number within each key, where a few keys have most rows.
+
+    A key of more than ``most`` rows is dealt out by ranges of the number, so that no task has the whole key, and
+    the counts of the ranges before are added.  Equal numbers share a range, in which they are in no fixed order.
+    What is broadcast is a row for each such key and one for each of its ranges.
+    """
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_size"))
+    parts = -(-(sizes.agg(F.max("_size")).first()[0] or 0) // most)
+    if parts <= 1:
+        return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(order)))
+    quantiles = F.percentile_approx(order, [i / parts for i in range(1, parts)], 100 * parts)
+    bounds = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_size"), F.sort_array(F.array_distinct(quantiles)).alias("_bounds")).where(F.col("_size") > most)
+    cut = rows.join(F.broadcast(bounds), F.col(key).eqNullSafe(F.col("_key")), "left")
+    # Nulls come first, before the first bound.
+    cut = cut.withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda x: F.when(F.col(order).isNotNull(), x < F.col(order)).otherwise(False))), F.lit(0))).withColumn("_long", F.col("_size").isNotNull()).drop("_key", "_size", "_bounds")
+    counts = cut.where("_long").groupBy(F.col(key).alias("_key"), F.col("_range").alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_key", "_part", (F.sum("_n").over(W.partitionBy("_key").orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = cut.withColumn("_own", F.row_number().over(W.partitionBy(key, "_range").orderBy(order)))
+    placed = own.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_part")), "left")
+    return placed.select(*rows.columns, (F.col("_own") + F.coalesce("_before", F.lit(0))).cast("int").alias("rank"))
+
+
 def source_rows(sources: DataFrame, key: str, limit: int = 20) -> DataFrame:
     """The first ``limit`` (ord, title, uri, type, text) of each key: rank, and a JSON object without nulls, the text cut to 500 characters."""
     rank = F.row_number().over(W.partitionBy(key).orderBy("ord"))

@@ -5,7 +5,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from folioscope.operators import grids, lexical_index, search, structure, table_layout
+from folioscope.operators import grids, lexical_index, metadata, search, structure, table_layout
 from folioscope.operators.lexical_index import LexicalIndex
 from folioscope.plans import catalogue
 from folioscope.sources.tables import table
@@ -97,3 +97,16 @@ def test_segments_deal_out_no_text_that_is_not_asked_for(spark):
     got = sorted(map(str, map(tuple, narrow.collect())))
     assert got == sorted(map(str, [(1, 1, "articulo", 1), (1, 2, "articulo", 2), (1, 3, "articulo", 1), (2, 0, "preambulo", 2), *((2, i, "articulo", 1) for i in (1, 2, 3)), (3, 4, "pagina", 1), (3, 5, "pagina", 1), (None, 0, "preambulo", 1)]))
     assert {r["segment_no"]: r["text"] for r in found.where("doc_id = 1").collect()} == {1: "ARTÍCULO 1. Uno", 2: "ARTÍCULO 2. Dos\nb", 3: "ARTÍCULO 3. Tres"}
+
+
+def test_a_long_key_is_ranked_in_ranges(spark):
+    rows = [("a", i * 7 % 1000) for i in range(1000)] + [("a", None), ("a", None)] + [(None, i) for i in range(300)] + [("b", i) for i in range(5)] + [("c", 4)] * 150
+    frame = spark.createDataFrame(rows, "k string, n long").withColumn("text", F.lit("x"))
+    found = metadata.long_ranked(frame, "k", "n", 100)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["k"], []).append((r["rank"], r["n"]))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {"a": [None, None, *range(1000)], None: list(range(300)), "b": list(range(5)), "c": [4] * 150}
+    assert all([i for i, _ in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+    assert found.columns == ["k", "n", "text", "rank"] and "hashpartitioning(k#" in plan(found) and "_range" in plan(found)
+    assert metadata.long_ranked(frame.limit(0), "k", "n").collect() == []
