@@ -5,7 +5,8 @@ that any page can be read without those before it.  A page has a text and images
 reads the last bytes of each file; a task reads the bytes of one range of pages.  Conditions on the path and the
 page number leave out files and ranges before anything is read.
 
-``spark.read.format("paged").option("range", 50).load(folder)`` after ``register``; any store that pyarrow opens.
+``spark.read.format("paged").option("range", 50).load(folder)`` gives each range to a task of its own; with
+``option("task", bytes)`` a task reads ranges, of several files too, until it has so many bytes.  Both after ``register``; any store that pyarrow opens.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 MARK, SUFFIX, RANGE = b"PAGES001", ".paged", 50
+#: Bytes of the ranges that ``read_paged`` gives to a task, so that the tasks follow the bytes and not the files.
+TASK_BYTES = 4 << 20
 IMAGES = "array<struct<x0:double,y0:double,x1:double,y1:double,digest:string>>"
 SCHEMA = f"path string, page int, text string, digest string, images {IMAGES}"
 
@@ -85,9 +89,18 @@ class PageRange(InputPartition):
         self.path, self.first, self.last = path, first, last
 
 
+@dataclass
+class PageRanges(InputPartition):
+    ranges: list[PageRange]
+
+    def __init__(self, ranges: list[PageRange]):
+        super().__init__([(r.path, r.first, r.last) for r in ranges])
+        self.ranges = ranges
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.range = options["path"], int(options.get("range", RANGE))
+        self.folder, self.range, self.task = options["path"], int(options.get("range", RANGE)), int(options.get("task", 0))
         self.first, self.last, self.paths = 1, 1 << 31, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - a name that the engine calls
@@ -122,30 +135,49 @@ class PagedReader(DataSourceReader):
             raise ValueError("not a paged document")
         return int.from_bytes(tail[:8], "little")
 
-    def partitions(self) -> list[PageRange]:
+    def partitions(self) -> list[PageRange] | list[PageRanges]:
         where, _ = _opened(self.folder)
-        out = []
+        out, sizes = [], []
         for path in self.files():
             with where.open_input_file(path) as source:
-                n = self.count(source)
+                n, size = self.count(source), source.size()
             last = min(n, self.last)
-            out += [PageRange(path, a, min(last, a + self.range - 1)) for a in range(self.first, last + 1, self.range)]
-        return out
-
-    def read(self, partition: PageRange) -> Iterator[tuple]:
+            own = [PageRange(path, a, min(last, a + self.range - 1)) for a in range(self.first, last + 1, self.range)]
+            out += own
+            sizes += [size * (r.last - r.first + 1) / n for r in own]
+        if not self.task:
+            return out
+        packs, held = [], 0.0
+        for one, size in zip(out, sizes, strict=True):
+            if not packs or held + size > self.task:
+                packs.append([])
+                held = 0.0
+            packs[-1].append(one)
+            held += size
+        return [PageRanges(p) for p in packs]
+
+    def read(self, partition: PageRange | PageRanges) -> Iterator[tuple]:
         where, _ = _opened(self.folder)
-        with where.open_input_file(partition.path) as source:
-            n = self.count(source)
-            source.seek(source.size() - 16 - 8 * (n + 1) + 8 * (partition.first - 1))
-            raw = source.read(8 * (partition.last - partition.first + 2))
-            ends = [int.from_bytes(raw[i : i + 8], "little") for i in range(0, len(raw), 8)]
-            for k in range(len(ends) - 1):
-                source.seek(ends[k])
-                page = json.loads(source.read(ends[k + 1] - ends[k]))
-                text = cleaned(page["text"])
-                images = [(*map(float, i[:4]), short_digest(bytes.fromhex(i[4]))) for i in page["images"]]
-                if text or images:
-                    yield partition.path, partition.first + k, text, short_digest(text.encode()), images
+        ranges = partition.ranges if isinstance(partition, PageRanges) else [partition]
+        for path, own in groupby(ranges, key=lambda r: r.path):
+            with where.open_input_file(path) as source:
+                n = self.count(source)
+                for r in own:
+                    yield from self.pages(source, n, r)
+
+    @staticmethod
+    def pages(source, n: int, own: PageRange) -> Iterator[tuple]:
+        """The rows of one range of an open file of n pages."""
+        source.seek(source.size() - 16 - 8 * (n + 1) + 8 * (own.first - 1))
+        raw = source.read(8 * (own.last - own.first + 2))
+        ends = [int.from_bytes(raw[i : i + 8], "little") for i in range(0, len(raw), 8)]
+        for k in range(len(ends) - 1):
+            source.seek(ends[k])
+            page = json.loads(source.read(ends[k + 1] - ends[k]))
+            text = cleaned(page["text"])
+            images = [(*map(float, i[:4]), short_digest(bytes.fromhex(i[4]))) for i in page["images"]]
+            if text or images:
+                yield own.path, own.first + k, text, short_digest(text.encode()), images
 
 
 class PagedSource(DataSource):
@@ -165,10 +197,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedSource)
 
 
-def read_paged(spark: SparkSession, folder: str, pages: int = RANGE) -> DataFrame:
-    """(path, page, text, digest, images) of all pages that have a text or an image, ``pages`` of a file to a task."""
+def read_paged(spark: SparkSession, folder: str, pages: int = RANGE, task: int = TASK_BYTES) -> DataFrame:
+    """(path, page, text, digest, images) of all pages that have a text or an image, in ranges of ``pages`` pages, some ``task`` bytes of them to a task."""
     register(spark)
-    return spark.read.format("paged").option("range", str(pages)).load(folder)
+    return spark.read.format("paged").option("range", str(pages)).option("task", str(task)).load(folder)
 
 
 def repeated_images(pages: DataFrame, least: int = 3, share: float = 0.01) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import grids, lexical_index, metadata, search, structure, table_layout
 from folioscope.operators.lexical_index import LexicalIndex
 from folioscope.plans import catalogue
+from folioscope.sources import paged
 from folioscope.sources.tables import table
 
 
@@ -110,3 +111,16 @@ def test_a_long_key_is_ranked_in_ranges(spark):
     assert all([i for i, _ in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
     assert found.columns == ["k", "n", "text", "rank"] and "hashpartitioning(k#" in plan(found) and "_range" in plan(found)
     assert metadata.long_ranked(frame.limit(0), "k", "n").collect() == []
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.paged").write_bytes(paged.packed([{"text": f"{i} {j} " + "x" * 1000} for j in range(i % 12)]))
+    read = paged.read_paged(spark, str(tmp_path), 5, task=40_000)
+    size = sum(f.stat().st_size for f in tmp_path.iterdir())
+    assert size / 40_000 <= read.rdd.getNumPartitions() <= 2 * size / 40_000
+    whole = sorted((i, j) for i in range(60) for j in range(i % 12))
+    assert sorted(tuple(map(int, r["text"].split()[:2])) for r in read.collect()) == whole
+    assert sorted(tuple(map(int, r["text"].split()[:2])) for r in read.where("page > 2 AND page < 8").collect()) == [(i, j) for i, j in whole if 2 <= j <= 6]
+    big = paged.PagedReader({"path": str(tmp_path), "range": "5", "task": "1"}).partitions()
+    assert all(len(p.ranges) == 1 for p in big) and len(big) == sum(-(-(i % 12) // 5) for i in range(60))
