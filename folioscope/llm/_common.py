@@ -33,11 +33,12 @@ def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage through the shared folder in spark.checkpoint.dir.
 
     Where it is unset, as in tests, a local session gets a folder of its own, which goes with the process;
     a cluster has to name one, as its executors share no local folder.
+    ``keep``: as the rows are dealt out, which later joins by the same key then know; a plan that adapts does not tell.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -49,25 +50,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="folioscope-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    with passing_shuffles(spark):
+    with passing_shuffles(spark), setting(spark, "spark.sql.adaptive.enabled", "false" if keep else None):
         return df.select("*").checkpoint(eager=True)
 
 
 @contextmanager
-def passing_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Frames made in here drop their shuffle files as soon as they have run, so that the steps of a long job don't add up on disk."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # read when a DataFrame is made
+def setting(spark: SparkSession, key: str, value: str | None) -> Iterator[None]:
+    """A setting of the session for the frames made in here; none: as it is."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    if value is not None:
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
+        if value is not None and before is None:
             spark.conf.unset(key)
-        else:
+        elif value is not None:
             spark.conf.set(key, before)
 
 
+def passing_shuffles(spark: SparkSession):
+    """Frames made in here drop their shuffle files as soon as they have run, so that the steps of a long job don't add up on disk."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # read when a DataFrame is made
+
+
 def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A checkpoint in partitions of about so many rows, so that small tables between steps don't cost a task for each shuffle partition."""
     out = checkpoint(df)

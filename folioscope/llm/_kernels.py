@@ -102,7 +102,7 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray, starts: np.ndarray, ends:
     pieces = (size + 7) >> 3
     begin = np.cumsum(pieces) - pieces
     within = np.arange(int(pieces.sum())) - np.repeat(begin, pieces)
-    shift = np.resize(np.arange(8, dtype=np.uint8), len(own)) - np.repeat((first & 7).astype(np.uint8), size)
+    shift = np.tile(np.arange(256, dtype=np.uint8), len(own) // 256 + 1)[: len(own)] - np.repeat((first & 7).astype(np.uint8), size)
     shift = (shift & np.uint8(7)) << np.uint8(3)
     packed = np.add.reduceat(own.astype(np.uint64) << shift, np.repeat(first, pieces) + 8 * within)
     return mix(np.add.reduceat(mix(packed + (within.astype(np.uint64) + np.uint64(1)) * _BASE), begin) + size.astype(np.uint64) * _M2)

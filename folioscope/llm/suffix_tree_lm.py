@@ -9,7 +9,9 @@ distribution of its suffix; the root is the add-one distribution of all training
 scored by the longest suffix of what precedes it that is in the tree.
 
 Counts cover all training rows, those with crc32(doc_id as text) mod 7 not 2.  No part of the tree is
-collected or broadcast.  The texts are dealt to chunks; a chunk sends its distinct strings of k tokens
+collected or broadcast.  A task parts its texts into chunks, each of them kept as its tokens: their hashes,
+and for each place the number of its token, the most frequent first, so that it takes a byte or two.
+A chunk sends its distinct strings of k tokens
 with their counts to the parts that own them and gets the totals back.  It sends a string of k + 1 tokens
 only if both of its strings of k are frequent, which holds for every frequent one.  One of the chunks that
 sent a string is told to account for it; so each follower that stays is added once to the mass that its
@@ -18,8 +20,7 @@ probabilities of its own tokens.  Answers are packed: a bit for each string aske
 for those that are frequent or have a mass.  Tokens are known by 64-bit hashes.
 
 Defined results: a null text is empty and has only its end; a null id counts as held out; repeated rows
-give repeated results; rows that share an id are dealt by their texts too; a very long text is a chunk of
-its own; ties do not arise; without training rows every token has log10 probability 0 at the root; an
+give repeated results, as do rows that share an id; a very long text is a chunk of its own; ties do not arise; without training rows every token has log10 probability 0 at the root; an
 empty table gives an empty table; only the id and text columns are read, so other columns cannot clash.
 """
 
@@ -27,16 +28,19 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.llm._common import checkpoint, conf_int, id_field, table
-from folioscope.llm._kernels import mix, text_bytes, word_hashes
+from folioscope.llm._kernels import mix, slices, text_bytes, word_hashes
 
 DEPTH, GAIN, DISCOUNT, ESCAPE = 3, 6.0, 0.75, 0.02
 LOWEST = 2
@@ -115,6 +119,19 @@ def unpacked_hashes(raw: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def packed_places(which: np.ndarray, uses: np.ndarray) -> bytes:
+    """The number of each place's token among all by falling use, one byte of all numbers after the other; compressed."""
+    number = np.empty(len(uses), dtype="<u4")
+    number[np.argsort(-uses, kind="stable")] = np.arange(len(uses), dtype="<u4")
+    return pa.compress(np.ascontiguousarray(number[which].view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_places(raw: bytes, uses: np.ndarray) -> np.ndarray:
+    planes = pa.decompress(raw, decompressed_size=4 * int(uses.sum()), codec="zstd", asbytes=True)
+    number = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.argsort(-uses, kind="stable").astype(np.int32)[number]
+
+
 def packed(values: np.ndarray, own: np.ndarray, kind: int) -> bytes:
     """Answers in the order of the strings asked for: bits, then the numbers of those that have one, and whether the asker accounts for them; compressed."""
     have = values > 0 if kind == 1 or kind > _MASS else values >= LOWEST
@@ -122,7 +139,8 @@ def packed(values: np.ndarray, own: np.ndarray, kind: int) -> bytes:
         left = np.where(values > 1 - ESCAPE, -values, 1 - values)
         return zlib.compress(np.uint32(len(values)).tobytes() + b"m" + np.packbits(have).tobytes() + left[have].astype("<f4").tobytes(), 1)
     wide = bool(len(values)) and values.max() >= 1 << 32
-    numbers = values[have].astype("<u8" if wide else "<u4").tobytes()
+    numbers = values[have].astype("<u8" if wide else "<u4")
+    numbers = numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()  # the highest bytes, mostly zeros, together
     return zlib.compress(np.uint32(len(values)).tobytes() + (b"w" if wide else b"n") + np.packbits(have).tobytes() + numbers + np.packbits(own[have]).tobytes(), 1)
 
 
@@ -137,27 +155,42 @@ def unpacked(raw: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
         kept = int(have.sum())
         form = {b"m": "<f4", b"w": "<u8", b"n": "<u4"}[x[4:5]]
         value, own = np.full(n, nothing, dtype=values[0].dtype), np.zeros(n, dtype=bool)
-        value[have] = np.frombuffer(x, form, kept, at)
+        width = np.dtype(form).itemsize
+        value[have] = np.frombuffer(x, form, kept, at) if kind > _MASS else np.ascontiguousarray(np.frombuffer(x, np.uint8, kept * width, at).reshape(width, kept).T).view(form).ravel()
         if kind <= _MASS:
-            own[have] = np.unpackbits(np.frombuffer(x, np.uint8, offset=at + kept * np.dtype(form).itemsize), count=kept).astype(bool)
+            own[have] = np.unpackbits(np.frombuffer(x, np.uint8, offset=at + kept * width), count=kept).astype(bool)
         values.append(value)
         owns.append(own)
     return np.concatenate(values), np.concatenate(owns)
 
 
+def tokenized(chunk: int, t: pa.Table, ids: pa.DataType) -> pa.RecordBatch:
+    """The row that keeps a chunk of (id, text, held_out) rows as its tokens."""
+    one, which, edge = tokens_of(t.column("text"))
+    uses = np.bincount(which, minlength=len(one)).astype("<i4")
+    listed = lambda c, kind: pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c).combine_chunks().cast(kind))
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), listed("doc_id", ids), listed("held_out", pa.bool_()), *(pa.array([x], pa.binary()) for x in (edge.astype("<i8").tobytes(), packed_hashes(one), pa.compress(uses.tobytes(), codec="zstd", asbytes=True), packed_places(which, uses)))], names=["chunk", "ids", "held", "edge", "hashes", "uses", "places"])
+
+
 class Chunk:
     """A chunk's strings of tokens, with what the answers so far say about them."""
 
-    def __init__(self, t: pa.Table, answers: pa.Table):
-        self.rows = t.num_rows
-        self.one, self.which, self.edge = tokens_of(t.column("text"))
+    def __init__(self, t: pa.Table, answers: pa.Table | None = None):
+        raw = lambda c: t.column(c)[0].as_py()
+        self.edge, self.one = np.frombuffer(raw("edge"), "<i8"), unpacked_hashes(raw("hashes"))
+        self.rows = len(self.edge) - 1
+        uses = np.frombuffer(pa.decompress(raw("uses"), decompressed_size=4 * len(self.one), codec="zstd", asbytes=True), "<i4")
+        self.which = unpacked_places(raw("places"), uses)
+        self.ids, self.held = (t.column(c)[0].values for c in ("ids", "held"))
         self.at = np.arange(len(self.which))
         self.gram = self.one[self.which]
         self.place = self.at - np.repeat(self.edge[:-1], np.diff(self.edge))
-        self.train = np.repeat(~t.column("held_out").to_numpy(zero_copy_only=False), np.diff(self.edge)) & (self.place > 0)
-        order = answers.sort_by([("kind", "ascending"), ("part", "ascending")])
-        kinds, raw = order.column("kind").to_numpy(), order.column("answers").to_pylist()
-        self.answers = {int(k): unpacked([raw[i] for i in np.flatnonzero(kinds == k)], int(k)) for k in np.unique(kinds)}
+        self.train = np.repeat(~self.held.to_numpy(zero_copy_only=False), np.diff(self.edge)) & (self.place > 0)
+        self.answers = {}
+        if answers is not None:
+            order = answers.sort_by([("kind", "ascending"), ("part", "ascending")])
+            kinds, packs = order.column("kind").to_numpy(), order.column("answers").to_pylist()
+            self.answers = {int(k): unpacked([packs[i] for i in np.flatnonzero(kinds == k)], int(k)) for k in np.unique(kinds)}
         self.count, self.total = np.zeros(0), np.zeros(0)
 
     def longer(self, k: int) -> None:
@@ -179,7 +212,7 @@ class Chunk:
 
     def take_counts(self, k: int) -> np.ndarray:
         """Sets the count of the string that ends at each place; which distinct strings this chunk accounts for."""
-        got, own = self.answers[k]
+        got, own = self.answers.get(k) or unpacked([], k)
         self.total, self.count = self.count, np.zeros(len(self.gram), dtype=np.int64)
         self.count[self.at] = got[self.which]
         return own
@@ -205,11 +238,12 @@ class Chunk:
             used[strings[at - 1]] = True
             context, which = named[used], (np.cumsum(used) - 1)[strings[at - 1]]
             count, total = self.count[at], np.concatenate([[0], self.total[:-1]])[at]
-            most = np.maximum(total, count).astype(float)
-            often = count >= LOWEST
-            gain = count * np.log(np.maximum(np.maximum(count, 1) / most / value[at], 1e-300))
-            keep = often & (gain >= GAIN)
-            share = np.where(keep, (1 - ESCAPE) * np.maximum(count - DISCOUNT, 0) / most, 0.0)
+            often = np.flatnonzero(count >= LOWEST)
+            times = count[often].astype(float)
+            most = np.maximum(total[often], times)
+            keep = times * np.log(np.maximum(times / most / value[at[often]], 1e-300)) >= GAIN
+            share = np.zeros(len(at))
+            share[often[keep]] = (1 - ESCAPE) * (times[keep] - DISCOUNT) / most[keep]
             if rounds == depth + 1:
                 first = np.zeros(len(self.one), dtype=np.int64)
                 first[self.which[::-1]] = self.at[::-1]
@@ -220,7 +254,7 @@ class Chunk:
                 if depth == DEPTH:
                     return [(_MASS + depth, *mass)]
                 continue
-            left = self.answers[_MASS + depth][0]
+            left = (self.answers.get(_MASS + depth) or unpacked([], _MASS + depth))[0]
             scale = np.where(left < 0, (1 - ESCAPE) / np.maximum(-left, 1e-300), 1.0)  # counts of a context at text ends
             rest = np.where(left < 0, ESCAPE, left)
             value = value.copy()
@@ -228,7 +262,8 @@ class Chunk:
         return root, value
 
 
-_ANSWERS = "chunk int, kind int, part int, answers binary, tokens long, distinct long"
+_ASKED = "chunk long, kind int, part int, hashes binary, values binary"
+_ANSWERS = "chunk long, kind int, part int, answers binary, tokens long, distinct long"
 
 
 def answer(batches):
@@ -239,7 +274,7 @@ def answer(batches):
             asked.setdefault(kind, []).append(row)
     for kind in sorted(asked):
         rows = sorted(asked.pop(kind), key=lambda r: r[:2])
-        chunk, part = (np.array([r[c] for r in rows], dtype=np.int32) for c in (0, 1))
+        chunk, part = (np.array([r[c] for r in rows], dtype=kept) for c, kept in ((0, np.int64), (1, np.int32)))
         hashes = [unpacked_hashes(r[2]) for r in rows]
         values = np.concatenate([np.frombuffer(r[3], "<f4" if kind > _MASS else "<i4") for r in rows])
         del rows
@@ -270,24 +305,52 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Chunks and the parts that own strings follow the text; with little of it there are no more than it fills.
     chunks = max(math.ceil(size / CHUNK_BYTES), min(4 * shuffled, math.ceil(size / (1 << 18))), 1)
     parts = max(math.ceil(size / OWNER_BYTES), min(shuffled, math.ceil(size / (1 << 20))), 1)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    answers, tokens, distinct = spark.createDataFrame([], _ANSWERS), 0, 0
+    budget = max(math.ceil(size / chunks), 1)
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's texts in chunks of about ``budget`` bytes; a longer text is one of its own."""
+        held, full, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for some in slices(batch, "text", budget):
+                size = some.column(1).nbytes
+                if held and full + size > budget:
+                    yield tokenized(number, pa.Table.from_batches(held), id_type)
+                    held, full, number = [], 0, number + 1
+                held.append(some)
+                full += size
+        if held:
+            yield tokenized(number, pa.Table.from_batches(held), id_type)
+
+    state = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("held", T.ArrayType(T.BooleanType())), *(T.StructField(c, T.BinaryType()) for c in ("edge", "hashes", "uses", "places"))])
+    # The copy in the checkpoint stays dealt out by chunk, so that a round shuffles answers only.
+    dealt = checkpoint(docs.mapInArrow(deal, state).repartition(shuffled, "chunk"), keep=True)
+    answers, tokens, distinct = None, 0, 0
 
     def asking(rounds: int, tokens: int, distinct: int):
-        def ask(t: pa.Table, answers: pa.Table) -> pa.Table:
-            out = []
+        def ask(t: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+            chunk, out = t.column("chunk")[0].as_py(), []
             for kind, hashes, values in Chunk(t, answers).run(rounds, tokens, distinct):
                 cut = np.searchsorted(_part(hashes, parts), np.arange(parts + 1))
-                pack = lambda x, form: pa.array([form(x[cut[p] : cut[p + 1]]) for p in range(parts)], pa.binary())  # noqa: E731, B023
-                out.append(pa.table({"chunk": pa.array(np.full(parts, t.column("chunk")[0].as_py(), np.int32)), "kind": pa.array(np.full(parts, kind, np.int32)), "part": pa.array(np.arange(parts, dtype=np.int32)), "hashes": pack(hashes, packed_hashes), "values": pack(values, np.ndarray.tobytes)}))
+                own = np.flatnonzero(np.diff(cut))  # the parts that are asked for something
+                pack = lambda x, form: pa.array([form(x[cut[p] : cut[p + 1]]) for p in own], pa.binary())  # noqa: E731, B023
+                out.append(pa.table({"chunk": pa.array(np.full(len(own), chunk)), "kind": pa.array(np.full(len(own), kind, np.int32)), "part": pa.array(own.astype(np.int32)), "hashes": pack(hashes, packed_hashes), "values": pack(values, np.ndarray.tobytes)}))
             return pa.concat_tables(out)
 
         return ask
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = asking(0, 0, 0)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from ask(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
     for rounds in range(DEPTH + 2):
-        ask = asking(rounds, tokens, distinct)
-        both = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-        got = checkpoint(both.applyInArrow(ask, "chunk int, kind int, part int, hashes binary, values binary").repartition(parts, "part").mapInArrow(answer, _ANSWERS))
+        if not rounds:
+            asked = dealt.mapInArrow(first, _ASKED)
+        else:
+            asked = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(asking(rounds, tokens, distinct), _ASKED)
+        got = checkpoint(asked.repartition(parts, "part").mapInArrow(answer, _ANSWERS))
         if not rounds:
             sums = got.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("d")).first()
             tokens, distinct = int(sums["t"] or 0), int(sums["d"] or 0)
@@ -302,7 +365,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         row = np.repeat(np.arange(n), np.diff(own.edge))
         add = lambda x: np.bincount(row[real], x[real], minlength=n)
         return pa.table({
-            "doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(np.diff(own.edge) - 1), "n_known": pa.array(add(root * (tokens + distinct + 1) > 1.5).astype(np.int64)),
+            "doc_id": own.ids, "held_out": own.held, "n_tokens": pa.array(np.diff(own.edge) - 1), "n_known": pa.array(add(root * (tokens + distinct + 1) > 1.5).astype(np.int64)),
             "base_score": pa.array(add(np.log10(root))), "score": pa.array(add(np.log10(value))),
         })
 

@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from folioscope.llm import suffix_tree_lm as lm
 from tests.llm.helpers import documents, texts
@@ -121,3 +123,21 @@ def test_nulls_and_empty(spark):
     got = lm.score_texts(documents(spark, [(None, "a b"), (1, None), (1, None)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 3), (1, 1), (1, 1)]
     assert lm.score_texts(documents(spark, ["x"]).limit(0)).collect() == []
+
+
+def test_texts_are_tokenized_once_and_rounds_shuffle_answers_only(spark):
+    rows = [(i, t) for i, t in enumerate(texts(n=60))] + [(None, "one two three four"), (5, "one two three four"), (6, " a\x0bB ")]
+    docs = documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = lm.score_texts(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "text" not in plan
+    got = sorted(((r["doc_id"] or "", r["n_tokens"]) for r in found.collect()))
+    assert got == sorted(("" if i is None else str(i), len(words(t)) + 1) for i, t in rows)
+
+
+def test_a_chunk_is_kept_whole():
+    rows = pa.table({"doc_id": pa.array([4, None, 4]), "text": pa.array(["b a B " * 300, None, " ".join(map(str, range(70_000)))]), "held_out": pa.array([False, True, False])})
+    one, which, edge = lm.tokens_of(rows.column("text"))
+    kept = lm.Chunk(pa.Table.from_batches([lm.tokenized(7, rows, pa.int64())]))
+    assert (kept.one == one).all() and (kept.which == which).all() and (kept.edge == edge).all()
+    assert kept.ids.to_pylist() == [4, None, 4] and kept.held.to_pylist() == [False, True, False]
