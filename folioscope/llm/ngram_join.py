@@ -7,7 +7,9 @@ their prefixes, the first n - ceil(3n/4) + 1 tokens, so prefix postings find eve
 1. Posting lists with two or more nodes are kept.  Each list pairs its nodes with its smallest one, a
    star, whose likely pairs are verified.  Linked nodes are of one group; a node whose likely pairs
    fail goes to the group of the likeliest.  This partitions similar documents into groups without all
-   pairs of a group.
+   pairs of a group.  In a list of ``LONG`` or more nodes the smallest one may link with few of the others:
+   there each node joins the group of the list's smallest node of its size, linked or not, so that the
+   nodes of long lists are in few groups.
 2. The matrix of tokens and groups stores which tokens the prefixes of each group hold together.  The
    number of a node's prefix tokens in a group's union bounds its overlap with every member, given the
    range of the members' sizes; only groups that the bound leaves open are opened for the node.
@@ -48,6 +50,7 @@ from folioscope.llm.components import components
 FREQUENT, MOST_FREQUENT = 5, 2_000_000
 LOW = np.uint64(int(0.35 * (1 << 63)))
 REPS = 7
+LONG = 64
 HELD = 1_000_000
 HOLD = 2_000_000
 SMALL = 200_000
@@ -189,7 +192,10 @@ def _slot(tokens: np.ndarray, size: int) -> np.ndarray:
 
 
 def posting_lists(docs: DataFrame, bits: np.ndarray, parts: int, k: int) -> DataFrame:
-    """token, node, n, place, leader, leader_n of every prefix token that several nodes hold; place is the token's in the node's set, the leader the list's smallest node."""
+    """token, node, n, place, leader, leader_n, near of every prefix token that several nodes hold.
+
+    place is the token's in the node's set, the leader the list's smallest node, and near, null in a list of fewer than ``LONG`` nodes, the smallest of about the node's size.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def deal(batches):
@@ -253,13 +259,21 @@ def posting_lists(docs: DataFrame, bits: np.ndarray, parts: int, k: int) -> Data
         size = np.diff(np.append(first, len(token)))
         lead = np.repeat(first, size)
         keep = np.repeat(size > 1, size)
+        # Sizes of one class allow a link.  Inside a class the nodes ascend, so the first is the smallest.
+        kind = np.floor(np.log(n) / np.log(4 / 3)).astype(np.int64)
+        by = np.lexsort((node, kind, lead))
+        head = np.ones(len(token), dtype=bool)
+        head[1:] = (lead[by][1:] != lead[by][:-1]) | (kind[by][1:] != kind[by][:-1])
+        near = np.empty_like(node)
+        near[by] = node[by][np.flatnonzero(head)[np.cumsum(head) - 1]]
+        short = np.repeat(size < LONG, size)
         for i in range(0, len(token), 1 << 18):
             s = np.flatnonzero(keep[i : i + (1 << 18)]) + i
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(n[s].astype(np.int64)), pa.array(place[s].astype(np.int64)), pa.array(node[lead[s]]), pa.array(n[lead[s]].astype(np.int64))], names=["token", "node", "n", "place", "leader", "leader_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[s].view(np.int64)), pa.array(node[s]), pa.array(n[s].astype(np.int64)), pa.array(place[s].astype(np.int64)), pa.array(node[lead[s]]), pa.array(n[lead[s]].astype(np.int64)), pa.array(near[s], mask=short[s])], names=["token", "node", "n", "place", "leader", "leader_n", "near"])
 
     dealt = docs.select("text").mapInArrow(deal, "part int, tokens binary, nodes binary, sizes binary, places binary")
-    return dealt.repartition(parts, "part").mapInArrow(gather, "token long, node long, n long, place long, leader long, leader_n long")
+    return dealt.repartition(parts, "part").mapInArrow(gather, "token long, node long, n long, place long, leader long, leader_n long, near long")
 
 
 def may_link(n_a, n_b):
@@ -320,6 +334,23 @@ def similar_groups(stars: DataFrame, roots: DataFrame) -> DataFrame:
     return first.join(of, "leader", "left").select("node", F.coalesce("root", "_at", "node").alias("grp"))
 
 
+def joined_groups(grouped: DataFrame, lists: DataFrame) -> DataFrame:
+    """(node, grp): the groups of ``grouped``, those that meet in long lists made one; also of the nodes that only long lists group.
+
+    Each group, or node without one, joins that of the ``near`` node with which it shares most.
+    """
+    meet = compact(lists.where("near != node").groupBy("near", "node").agg(F.count("*").alias("shared")))
+    if meet.isEmpty():
+        return grouped
+    known = grouped.select("node", "grp")
+    ends = meet.join(known, "node", "left").withColumn("a", F.coalesce("grp", "node")).drop("grp")
+    ends = ends.join(known.select(F.col("node").alias("near"), "grp"), "near", "left").withColumn("b", F.coalesce("grp", "near"))
+    best = ends.where("a != b").groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("minus"), "b")).alias("m")).select("a", "m.b")
+    roots = compact(components(best)).select(F.col("node").alias("grp"), "root")
+    every = known.unionByName(meet.select(F.explode(F.array("near", "node")).alias("node")).distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("grp")))
+    return every.join(roots, "grp", "left").select("node", F.coalesce("root", "grp").alias("grp"))
+
+
 def open_groups(lists: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
     """(node, grp, size): groups of as many or more nodes that the token-group bounds leave open to a node of another.
 
@@ -448,7 +479,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     links = verified(stars, whole_sets(stars.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, k))
     so_far = compact(components(links))
-    grouped = compact(similar_groups(stars, so_far).join(nodes.select("node", "n"), "node"))
+    grouped = compact(joined_groups(compact(similar_groups(stars, so_far)), lists).join(nodes.select("node", "n"), "node"))
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     groups = grouped.join(sizes, "grp").select("node", "grp", "size", "low", "high")
     left = compact(open_groups(lists, groups, parts))

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from folioscope.llm import ngram_join
 from folioscope.llm.ngram_join import ngram_components
 from tests.llm.helpers import documents, texts
 
@@ -88,3 +89,31 @@ def test_a_very_long_text(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words[:29_000])), (3, " ".join(words[15_000:]))]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(documents(spark, rows)).collect()}
     assert got == {1: (29_996, 1), 2: (28_996, 1), 3: (14_996, 3)}
+
+
+def apart(edits, seed, size=100):
+    """Copies of one text, each with as many words of its own as ``edits`` has."""
+    rng = random.Random(seed)
+    out = []
+    for i, n in enumerate(edits):
+        words = [f"b{j}" for j in range(size)]
+        for at in rng.sample(range(2, size - 2), n):
+            words[at] = f"e{i}_{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_a_large_group_apart_from_its_leaders_opens_few_pairs(spark, monkeypatch):
+    """The more of a copy is changed, the fewer of its lists are long ones; each kind of list has another leader, so none is a likely pair."""
+    rows = list(enumerate(apart([4] * 120 + [3] * 80 + [2] * 60, seed=6)))
+    seen, open_groups = [], ngram_join.open_groups
+
+    def counted(*args):
+        out = open_groups(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "open_groups", counted)
+    got = ngram_components(documents(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows)
+    assert seen[0] <= len(rows)
