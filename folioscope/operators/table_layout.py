@@ -4,17 +4,19 @@ Words are rows (region, x0, y0, x1, y1, text) of any number of regions; a region
 are rows (region, at, low, high, upright) of drawn lines.  The cascade reads a region by its rulings, else by the
 gaps between its words, else takes what a model has read from its picture, else leaves the picture alone.
 
-Every step is an aggregate or a window over a region, so Spark deals regions out by their key; what a task holds
-at a time is one page's words.  Words with a null in a coordinate are left out.
+Words and rulings are gathered by region once, and everything else is found row by row, so that the disk holds
+one shuffle of them and nothing between the steps; what a task holds at a time is an Arrow batch of regions, read
+in parts of ``table_boxes.WORDS``.  Words with a null or NaN in a coordinate are left out.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.lineage import cut
+from folioscope.operators import table_boxes
 from folioscope.operators.grids import clean_grid, is_consistent, is_prose, merged_headers, table_state, to_markdown
 
 #: Part of a region's digest, so that a change of these rules reads all regions anew.
@@ -23,79 +25,35 @@ LAYOUT_VERSION = "1"
 SPACE, LEADING, STROKE = 6.0, 0.0, 2.0
 #: Share of the lines that a gap between columns may be crossed by, as headings do that span columns.
 CROSSED = 0.2
+BOX, STROKES = ("x0", "y0", "x1", "y1", "text"), ("at", "low", "high", "upright")
 # Fixed value: lines below a table that belong to it.
 FOOTNOTE = r"(?i)^\s*(?:\*+\s|\(\d+\)\s|\d\)\s|Notas?\b|Fuente\b)"
 
 
-def banded(boxes: DataFrame, keys: list[str], low: str, high: str, gap: float, name: str) -> DataFrame:
-    """``name``: the number, from 1, of the band of each box; bands are more than ``gap`` apart."""
-    order = W.partitionBy(*keys).orderBy(low, high)
-    before = F.max(high).over(order.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.coalesce(F.col(low) > before + gap, F.lit(True)).cast("int")
-    return boxes.withColumn("_opens", opens).withColumn(name, F.sum("_opens").over(order)).drop("_opens")
+def _gathered(words: DataFrame, rulings: DataFrame | None = None) -> DataFrame:
+    """(region, words, rulings): what is drawn in each region as lists in one row; one shuffle of the words and the rulings."""
+    word, ruling = F.struct(*BOX), F.struct(*STROKES)
+    if rulings is None:
+        empty = F.array().cast("array<struct<at:double,low:double,high:double,upright:boolean>>")
+        return words.groupBy("region").agg(F.collect_list(word).alias("words")).withColumn("rulings", empty)
+    both = words.select("region", word.alias("word")).unionByName(rulings.select("region", ruling.alias("ruling")), allowMissingColumns=True)
+    return both.groupBy("region").agg(F.collect_list("word").alias("words"), F.collect_list("ruling").alias("rulings"))
 
 
-def phrases(words: DataFrame, space: float = SPACE, leading: float = LEADING) -> DataFrame:
-    """(region, line, x0, x1, y0, y1, text): the words of a line, joined where the space between them is small."""
-    whole = words.dropna(subset=["x0", "y0", "x1", "y1"])
-    lined = banded(whole, ["region"], "y0", "y1", leading, "line")
-    joined = banded(lined, ["region", "line"], "x0", "x1", space, "_phrase").groupBy("region", "line", "_phrase")
-    text = F.array_join(F.sort_array(F.collect_list(F.struct("x0", "y0", "text")))["text"], " ")
-    return joined.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), text.alias("text")).drop("_phrase")
+def _boxes(words: Column, rulings: Column, space: float = SPACE, leading: float = LEADING, crossed: float = CROSSED, stroke: float = STROKE) -> Column:
+    """struct(ruled, spaced, lines) of the lists of a region."""
 
+    @F.arrow_udf("struct<ruled:array<array<string>>,spaced:array<array<string>>,lines:array<string>>")
+    def boxes(words: pa.Array, rulings: pa.Array) -> pa.Array:
+        return table_boxes.read(words, rulings, space, leading, crossed, stroke)
 
-def main_block(found: DataFrame) -> DataFrame:
-    """Phrases with ``inside``: whether their line is in the largest run of lines that have two phrases or more.
-
-    Windows over one deal of the regions, without a join of the phrases with themselves.
-    """
-    line, down, run = W.partitionBy("region", "line"), W.partitionBy("region").orderBy("line"), W.partitionBy("region", "_wide", "_run")
-    whole = lambda c, w: (F.max(c + "1").over(w) - F.min(c + "0").over(w)).alias(c)
-    wide = found.withColumn("_wide", F.count("*").over(line) > 1).withColumn("_first", F.row_number().over(line.orderBy("x0")) == 1)
-    # Lines that follow each other have one difference of their number and the wide lines so far.
-    runs = wide.withColumn("_run", F.col("line") - F.sum((F.col("_wide") & F.col("_first")).cast("long")).over(down.rangeBetween(W.unboundedPreceding, 0)))
-    sized = runs.select("*", (whole("x", run) * whole("y", run)).alias("_area"), F.min("line").over(run).alias("_from"))
-    best = F.max(F.when(F.col("_wide"), F.struct("_area", -F.col("_from"), "_run"))).over(W.partitionBy("region"))
-    marked = sized.withColumn("_best", best["_run"]).withColumn("inside", F.coalesce(F.col("_wide") & (F.col("_run") == F.col("_best")), F.lit(False)))
-    return marked.select(*found.columns, "inside")
-
-
-def column_spans(found: DataFrame, crossed: float = CROSSED) -> DataFrame:
-    """(region, spans): the stretches of x that more lines cover than may cross a gap, in order.
-
-    The lines that cover each x are counted by a sweep over the begins and ends of their phrases.
-    """
-    ends = found.select("region", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("turn")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("turn")))).alias("e"))
-    steps = ends.groupBy("region", F.col("e.x").alias("x")).agg(F.sum("e.turn").alias("turn"))
-    order = W.partitionBy("region").orderBy("x")
-    allowed = found.groupBy("region").agg(F.floor(crossed * F.countDistinct("line")).alias("_allowed"))
-    covered = steps.withColumns({"_lines": F.sum("turn").over(order), "_to": F.lead("x").over(order)}).join(allowed, "region").where("_lines > _allowed")
-    # Stretches that touch are one.
-    joined = banded(covered, ["region"], "x", "_to", 0.0, "_span").groupBy("region", "_span").agg(F.min("x").alias("x0"), F.max("_to").alias("x1"))
-    return joined.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("spans"))
-
-
-def _grid(cells: DataFrame) -> DataFrame:
-    """(region, grid) of the texts at (region, line, column): rows in the order of lines, cells that have none are empty."""
-    merged = cells.groupBy("region", "line", "column").agg(F.array_join(F.sort_array(F.collect_list(F.struct("y0", "x0", "text")))["text"], " ").alias("text"))
-    rows = merged.groupBy("region", "line").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("_cells"), F.max("column").alias("_last"))
-    wide = rows.withColumn("_width", F.max("_last").over(W.partitionBy("region")))
-    row = F.transform(F.sequence(F.lit(0), F.col("_width")), lambda j: F.coalesce(F.element_at(F.col("_cells"), j), F.lit("")))
-    return wide.groupBy("region").agg(F.sort_array(F.collect_list(F.struct(F.col("line"), row.alias("r"))))["r"].alias("grid"))
+    return boxes(words, rulings)
 
 
 def read_by_gaps(words: DataFrame, space: float = SPACE, leading: float = LEADING, crossed: float = CROSSED) -> DataFrame:
     """(region, grid): columns are parted by gaps that run through the lines of the region's largest table-like block."""
-    return gaps_of(phrases(words, space, leading), crossed)
-
-
-def gaps_of(found: DataFrame, crossed: float = CROSSED) -> DataFrame:
-    """``read_by_gaps`` of phrases; the block is cut, as its spans and its cells are made of it."""
-    block = cut(main_block(found).where("inside"))
-    placed = block.join(column_spans(block, crossed), "region")
-    # A phrase goes to the first column that it doesn't lie wholly to the right of.
-    column = F.size(F.filter("spans", lambda s: s["x1"] <= F.col("x0")))
-    return _grid(placed.select("region", "line", "x0", "y0", "text", F.least(column, F.size("spans") - 1).alias("column")))
+    found = _gathered(words).select("region", _boxes(F.col("words"), F.col("rulings"), space, leading, crossed)["spaced"].alias("grid"))
+    return found.where("region IS NOT NULL AND grid IS NOT NULL")
 
 
 def read_by_rulings(words: DataFrame, rulings: DataFrame, stroke: float = STROKE) -> DataFrame:
@@ -104,86 +62,85 @@ def read_by_rulings(words: DataFrame, rulings: DataFrame, stroke: float = STROKE
     A ruling that ends short of a cell doesn't part it, so merged cells keep their text in their first place.
     Regions without three rulings each way have no grid.
     """
-    own = banded(rulings.where("at IS NOT NULL"), ["region", "upright"], "at", "at", stroke, "_stroke")
-    lines = own.groupBy("region", "upright", "_stroke").agg(F.min("at").alias("at"), F.collect_list(F.struct("low", "high")).alias("parts"))
-    drawn = lines.groupBy("region").agg(*(F.sort_array(F.collect_list(F.when(F.col("upright") == up, F.struct("at", "parts")))).alias(n) for n, up in (("_v", True), ("_h", False))))
-    drawn = drawn.where((F.size("_v") >= 3) & (F.size("_h") >= 3))
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-
-    def place(lines: str, at: Column, across: Column) -> Column:
-        """The number of the last line before ``at`` that reaches ``across``; null outside of the lines."""
-        reaches = F.transform(lines, lambda s, i: F.when((s["at"] <= at) & F.exists(s["parts"], lambda p: (p["low"] <= across) & (across <= p["high"])), i))
-        return F.when(at <= F.element_at(F.col(lines), -1)["at"], F.array_max(reaches))
-
-    # As the element of an array, a place is found once; a filter would be pushed through the projection and find it again.
-    placed = F.inline(F.array(F.struct(place("_h", y, x).alias("line"), place("_v", x, y).alias("column"))))
-    # Merged, as a broadcast would leave the work to the few tasks that the rulings fill.
-    cells = words.dropna(subset=["x0", "y0", "x1", "y1"]).hint("merge").join(drawn, "region").select("region", placed, "x0", "y0", "text")
-    return _grid(cells.where("line IS NOT NULL AND column IS NOT NULL"))
+    found = _gathered(words, rulings).select("region", _boxes(F.col("words"), F.col("rulings"), stroke=stroke)["ruled"].alias("grid"))
+    return found.where("region IS NOT NULL AND grid IS NOT NULL")
 
 
 def footnotes(words: DataFrame, space: float = SPACE, leading: float = LEADING) -> DataFrame:
     """(region, notes): the lines of a region that read as notes to its table."""
-    return notes_of(phrases(words, space, leading))
+    found = _gathered(words).select("region", _boxes(F.col("words"), F.col("rulings"), space, leading)["lines"].alias("lines"))
+    return found.select("region", notes_of(F.col("lines")).alias("notes")).where("notes IS NOT NULL")
 
 
-def notes_of(found: DataFrame) -> DataFrame:
-    """``footnotes`` of phrases."""
-    lines = found.groupBy("region", "line").agg(F.array_join(F.sort_array(F.collect_list(F.struct("x0", "text")))["text"], " ").alias("text"))
-    kept = lines.where(F.rlike("text", F.lit(FOOTNOTE)))
-    return kept.groupBy("region").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text")))["text"], F.trim), " · ").alias("notes"))
+def notes_of(lines: Column) -> Column:
+    """Those of the lines that read as notes, null without any."""
+    notes = F.array_join(F.transform(F.filter(lines, lambda t: F.rlike(t, F.lit(FOOTNOTE))), F.trim), " · ")
+    return F.when(F.exists(lines, lambda t: F.rlike(t, F.lit(FOOTNOTE))), notes)
 
 
-def region_digests(words: DataFrame, rulings: DataFrame, version: str = LAYOUT_VERSION) -> DataFrame:
-    """(region, digest): 16 hex digits of what is drawn in a region and of the version of the rules."""
-    point = lambda *c: F.concat_ws(":", *(F.col(x).cast("string") for x in c))
-    marks = words.select("region", F.concat_ws("|", point("x0", "y0", "x1", "y1"), "text").alias("m")).unionByName(rulings.select("region", F.concat(F.lit("ruling|"), point("at", "low", "high", "upright")).alias("m")))
-    return marks.groupBy("region").agg(F.substring(F.sha2(F.concat_ws("\n", F.lit(version), F.array_join(F.sort_array(F.collect_list("m")), "\n")), 256), 1, 16).alias("digest"))
+def region_digest(words: Column, rulings: Column, version: str = LAYOUT_VERSION) -> Column:
+    """16 hex digits of what is drawn in a region and of the version of the rules."""
+    point = lambda s, *c: F.concat_ws(":", *(s[x].cast("string") for x in c))
+    boxes = F.transform(words, lambda w: F.concat_ws("|", point(w, "x0", "y0", "x1", "y1"), w["text"]))
+    strokes = F.transform(rulings, lambda r: F.concat(F.lit("ruling|"), point(r, "at", "low", "high", "upright")))
+    marks = F.sort_array(F.concat(boxes, strokes))
+    drawn = F.concat_ws("\n", F.lit(version), F.when(F.size(marks) > 0, F.array_join(marks, "\n")))
+    return F.substring(F.sha2(drawn, 256), 1, 16)
 
 
-RESULT = ("region", "digest", "method", "state", "headers", "body", "notes", "markdown")
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The frame with columns that are found once: what reads the element of an array doesn't repeat the expression that made it."""
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def extracted_tables(regions: DataFrame, words: DataFrame, rulings: DataFrame, pictures: DataFrame | None = None, previous: DataFrame | None = None, version: str = LAYOUT_VERSION) -> DataFrame:
-    """One row of ``RESULT`` for each of the ``regions`` (region, title, scanned).
+def read_regions(regions: DataFrame) -> DataFrame:
+    """One row of ``RESULT`` for each row (region, title, scanned, words, rulings, picture, digest) of what is drawn in a region.
 
-    ``pictures``: what a model has read (region, headers, body, truncated), where it was asked.  A region of a
-    scan is not read by its words.  Two readings that agree in their rows, to a tenth, verify each other.
-    ``previous``: results of an earlier run; a region with the same digest and a grid is taken over as it is.
+    Nothing is shuffled or kept; a task reads the boxes of a batch of regions at a time.
     """
-    key = f"region {regions.schema['region'].dataType.simpleString()}"
-    words, rulings = cut(words), cut(rulings)
-    pictures = regions.sparkSession.createDataFrame([], f"{key}, headers array<string>, body array<array<string>>, truncated boolean") if pictures is None else pictures
-    todo = regions.join(region_digests(words, rulings, version), "region", "left").withColumn("digest", F.coalesce("digest", F.substring(F.sha2(F.lit(version), 256), 1, 16)))
-    if previous is not None:
-        kept = previous.where("headers IS NOT NULL").select(*RESULT).join(todo.select("region", "digest"), ["region", "digest"], "left_semi").select(*RESULT)
-        todo = todo.join(kept.select("region"), "region", "left_anti")
-    legible = words.join(todo.where("NOT scanned").select("region"), "region", "left_semi")
-
-    def usable(grids: DataFrame, name: str, prose: bool) -> DataFrame:
-        # Cut apart: a filter that is pushed through these steps would repeat them for each of its terms.
-        clean = cut(grids.select("region", clean_grid(F.col("grid")).alias("grid")))
-        t = cut(clean.select("region", merged_headers(F.col("grid")).alias("t")).where("t IS NOT NULL"))
-        good = is_consistent(F.col("t.headers"), F.col("t.body"))
-        if prose:
-            good = good & ~is_prose(F.col("t.headers"), F.col("t.body"))
-        return t.where(good).select("region", F.col("t").alias(name))
-
-    ruled = usable(read_by_rulings(legible, rulings), "_ruled", False)
-    found = cut(phrases(legible))
-    # The second reading is only made where the first has found no table.
-    spaced = usable(gaps_of(found.join(ruled.select("region"), "region", "left_anti")), "_spaced", True)
-    seen = pictures.select("region", F.struct("headers", "body").alias("_seen"), F.coalesce("truncated", F.lit(False)).alias("_cut"))
-    joined = todo.join(ruled, "region", "left").join(spaced, "region", "left").join(seen, "region", "left").join(notes_of(found), "region", "left")
+    # Words and rulings are columns before they go to Python, as Spark doesn't send arguments that hold a lambda.
+    legible = _once(regions, words=F.when(~F.col("scanned"), F.col("words")), rulings=F.col("rulings"))
+    read = legible.withColumn("_read", _boxes(F.col("words"), F.col("rulings")))
+    clean = _once(read, _ruled=clean_grid(F.col("_read.ruled")), _spaced=clean_grid(F.col("_read.spaced")), notes=notes_of(F.col("_read.lines")))
+    # The second reading only counts where the first has found no table.
+    table = _once(clean, _ruled=merged_headers(F.col("_ruled")), _spaced=merged_headers(F.col("_spaced")))
+    good = lambda n: is_consistent(F.col(f"{n}.headers"), F.col(f"{n}.body"))
+    usable = _once(table, _ruled=F.when(good("_ruled"), F.col("_ruled")), _spaced=F.when(good("_spaced") & ~is_prose(F.col("_spaced.headers"), F.col("_spaced.body")), F.col("_spaced")))
+    seen = F.when(F.col("picture").isNotNull(), F.struct("picture.headers", "picture.body"))
     n = lambda t: F.when(t.isNotNull(), F.size(t["body"]))
-    geo = joined.withColumn("_geo", F.coalesce("_ruled", "_spaced"))
-    counted = geo.withColumns({"_n": n(F.col("_geo")), "_m": n(F.col("_seen")), "_final": F.coalesce("_seen", "_geo")})
-    judged = cut(counted).withColumn("state", table_state(F.col("_n"), F.col("_m"), F.col("_cut")))
+    geo = F.coalesce("_ruled", "_spaced")
+    counted = _once(usable, _n=n(geo), _m=n(seen), _final=F.coalesce(seen, geo), _cut=F.coalesce("picture.truncated", F.lit(False)))
+    judged = _once(counted, state=table_state(F.col("_n"), F.col("_m"), F.col("_cut")))
     method = F.when(F.col("_n").isNotNull() & (F.col("state") == "verificada"), "vision+geo").when(F.col("_m").isNotNull(), "vision")
     method = method.when(F.col("_ruled").isNotNull(), "lattice").when(F.col("_spaced").isNotNull(), "text").otherwise("none")
     differ = F.col("_n").isNotNull() & F.col("_m").isNotNull() & (F.col("state") == "revision")
     notes = F.when(differ, F.concat(F.lit("geo="), "_n", F.lit(" / vision="), "_m")).when(F.col("_m").isNull() & F.col("_n").isNotNull(), F.col("notes"))
     headers, body = F.col("_final.headers"), F.col("_final.body")
     markdown = F.when(F.col("_final").isNotNull(), to_markdown(F.coalesce("title", F.col("region").cast("string")), headers, body))
-    fresh = judged.select("region", "digest", method.alias("method"), "state", headers.alias("headers"), body.alias("body"), notes.alias("notes"), markdown.alias("markdown"))
+    return judged.select("region", "digest", method.alias("method"), "state", headers.alias("headers"), body.alias("body"), notes.alias("notes"), markdown.alias("markdown"))
+
+
+RESULT = ("region", "digest", "method", "state", "headers", "body", "notes", "markdown")
+
+
+def extracted_tables(regions: DataFrame, words: DataFrame, rulings: DataFrame, pictures: DataFrame | None = None, previous: DataFrame | None = None, version: str = LAYOUT_VERSION) -> DataFrame:
+    """One row of ``RESULT`` for each of the ``regions`` (region, title, scanned).
+
+    ``pictures``: what a model has read (region, headers, body, truncated), where it was asked.  A region of a
+    scan is not read by its words.  Two readings that agree in their rows, to a tenth, verify each other.
+    ``previous``: results of an earlier run; a region with the same digest and a grid is taken over as it is.
+    """
+    words_of, rulings_of = (F.coalesce(n, F.array()) for n in ("words", "rulings"))
+    drawn = regions.select("region", "title", "scanned").hint("merge").join(_gathered(words, rulings), "region", "left").withColumns({"words": words_of, "rulings": rulings_of})
+    drawn = drawn.withColumn("digest", region_digest(F.col("words"), F.col("rulings"), version))
+    if previous is not None:
+        # Cut, as both what is kept and what is read anew are made of it.
+        drawn = cut(drawn)
+        kept = previous.where("headers IS NOT NULL").select(*RESULT).join(drawn.select("region", "digest"), ["region", "digest"], "left_semi").select(*RESULT)
+        drawn = drawn.join(kept.select("region"), "region", "left_anti")
+    if pictures is None:
+        todo = drawn.withColumn("picture", F.lit(None).cast("struct<headers:array<string>,body:array<array<string>>,truncated:boolean>"))
+    else:
+        todo = drawn.join(pictures.select("region", F.struct("headers", "body", "truncated").alias("picture")), "region", "left")
+    fresh = read_regions(todo)
     return fresh if previous is None else fresh.unionByName(kept)

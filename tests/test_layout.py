@@ -1,9 +1,16 @@
 """Tables read back from boxes: headings that span columns, merged cells, prose, notes, readings that are kept."""
 
+from pathlib import Path
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from folioscope.lineage import shared_folder
+from folioscope.operators import table_boxes
 from folioscope.operators import table_layout as ops
 from folioscope.operators.table_layout import RESULT
+from folioscope.plans import catalogue
 
 WORDS, RULINGS, REGIONS = "region long, x0 double, y0 double, x1 double, y1 double, text string", "region long, at double, low double, high double, upright boolean", "region long, title string, scanned boolean"
 
@@ -66,3 +73,34 @@ def test_prose_is_left_to_the_picture_and_notes_are_kept(spark):
 def test_no_regions(spark):
     empty = [spark.createDataFrame([], s) for s in (REGIONS, WORDS, RULINGS)]
     assert ops.extracted_tables(*empty).collect() == []
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [("table_cascade", 1), ("table_cascade_states", 2)])
+def test_the_disk_holds_one_shuffle_of_the_lines_as_they_are_stored(spark, sf, name, shuffles):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("*"))
+    got = catalogue.queries()[name](spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange ") == shuffles and "Join" not in plan and "Window" not in plan
+    # No text that is set from a line is dealt out.
+    exchanged = plan[plan.index("Exchange hashpartitioning(region"):]
+    assert "concat" not in exchanged and "date_format" not in exchanged
+    assert got.count() and set(folder.rglob("*")) == before
+
+
+def test_regions_read_in_small_parts_are_the_same(monkeypatch):
+    lines = [[None], *GRID[1:], ["", "z", None], ["a", "b", "c"]]
+    listed = [[w[1:] for w in words(i, lines[: i % 7])] for i in range(20)]
+    listed[5] = [*listed[5], (float("nan"), 0.0, 5.0, 8.0, "lost"), (0.0, 0.0, 5.0, 8.0, None), (0.0, 0.0, 5.0, 8.0, "tie"), (0.0, 0.0, 5.0, 8.0, "even")]
+    listed[6] = None
+    drawn = [[(at, 0.0, 300.0, True) for at in (-1.0, 99.0, 99.5, 199.0, 299.0)] + [(at, -1.0, 300.0, False) for at in (-2.0, 10.0, 22.0, 34.0, 100.0)] + [(None, 0.0, 1.0, True), (5.0, None, 1.0, True), (5.0, 0.0, 1.0, None)] if i % 3 else None for i in range(20)]
+    box, ruling = [(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")] + [("text", pa.string())], [(c, pa.float64()) for c in ("at", "low", "high")] + [("upright", pa.bool_())]
+    arrays = [pa.array([None if r is None else [dict(zip([n for n, _ in kind], v, strict=True)) for v in r] for r in rows], pa.list_(pa.struct(kind))) for rows, kind in ((listed, box), (drawn, ruling))]
+    whole = table_boxes.read(*arrays, 6.0, 0.0, 0.2, 2.0)
+    assert whole[5]["lines"][0].as_py() == "even tie" and whole[6].as_py() == {"ruled": None, "spaced": None, "lines": []}
+    assert whole[4]["ruled"].as_py() == [["", "", "gr total", "um"], ["Pletinas y láminas", "", "458", "65,4"], ["Pernos", "", "381", "54,5"]]
+    monkeypatch.setattr(table_boxes, "WORDS", 3)
+    monkeypatch.setattr(table_boxes, "PAIRS", 5)
+    assert table_boxes.read(*arrays, 6.0, 0.0, 0.2, 2.0).equals(whole)
+    assert table_boxes.read(*(a.slice(3, 9) for a in arrays), 6.0, 0.0, 0.2, 2.0).to_pylist() == whole.slice(3, 9).to_pylist()
+    assert len(table_boxes.read(*(a.slice(0, 0) for a in arrays), 6.0, 0.0, 0.2, 2.0)) == 0
